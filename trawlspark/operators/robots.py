@@ -10,9 +10,6 @@ from ..functions.robots import allowed, parse_robots
 # Fixed value: rules are reloaded after one day.
 EXPIRY_MS = 24 * 60 * 60 * 1000
 
-# Rules tables up to this many bytes of estimated size are broadcast.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 def robots_rules(files: DataFrame, user_agent: str | Column, body: str = "body") -> DataFrame:
     """Parse one robots file per row for ``user_agent``; narrow, no shuffle."""
@@ -24,19 +21,14 @@ def robots_rules(files: DataFrame, user_agent: str | Column, body: str = "body")
     )
 
 
-def sized(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only when the optimizer's size estimate is within ``limit``.
+def with_rules(uris: DataFrame, rules: DataFrame, *columns: str) -> DataFrame:
+    """Left join of URIs to the rules of their (user_agent, site).
 
-    Beyond it the join stays a shuffled one, where AQE splits hot sites.
+    Without a hint: Spark broadcasts the rules while their size is below its
+    threshold; beyond it AQE splits the sites that hold too many URIs.
     """
-    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(small) if size <= limit else small
-
-
-def with_rules(uris: DataFrame, rules: DataFrame, *columns: str) -> DataFrame:
-    """Left join of URIs to the rules of their (user_agent, site)."""
     return uris.join(
-        sized(rules.select("user_agent", "site", *columns)), ["user_agent", "site"], "left"
+        rules.select("user_agent", "site", *columns), ["user_agent", "site"], "left"
     )
 
 
