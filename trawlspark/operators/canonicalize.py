@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.uri import canonical
 
 
+@lru_cache(maxsize=64)
+def _parts(url: str, base: str | None) -> Column:
+    """The expression is large, so it is built once per pair of column names."""
+    return F.inline(F.array(canonical(F.col(url), None if base is None else F.col(base))))
+
+
 def canonicalize(df: DataFrame, url: str = "url", base: str | None = None) -> DataFrame:
     """Add ``uri, scheme, authority, path, site, fail_message`` to each row.
 
     ``inline`` makes the columns outputs of a generator, so that filters and
     join keys on ``uri`` further up do not evaluate the whole expression again.
     """
-    parts = canonical(F.col(url), None if base is None else F.col(base))
-    return df.select("*", F.inline(F.array(parts)))
+    return df.select("*", _parts(url, base))
 
 
 def duplicate_urls(df: DataFrame, url: str = "url") -> DataFrame:

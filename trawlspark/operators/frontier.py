@@ -106,7 +106,6 @@ def crawl(
     max_depth: int,
     max_fetches: int | None = None,
     keep: Callable[[DataFrame], DataFrame] | None = None,
-    max_levels: int = 100_000,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """All URIs a crawl would fetch, in fetch order.
@@ -121,64 +120,67 @@ def crawl(
     seen URIs and is checkpointed, so neither plans nor lost executors reach back
     beyond it. Jobs whose fetch budget is spent are not expanded any further.
     """
-    spark = seeds.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid, spread = salted_edges(
         edges.select("page_uri", F.col("uri").alias("_to")), "page_uri", "_to", parts, hot_rows
     )
 
-    def ranked(level: DataFrame, before: DataFrame | None) -> DataFrame:
+    def placed(fresh: DataFrame, previous: DataFrame | None, largest: int) -> DataFrame:
         """Queue places: after the job's earlier levels, by (parent_pos, uri)."""
         out = running(
-            level, ["job_id"], ["parent_pos", "uri"], {"pos": Running(F.lit(1))}, hot_rows
+            fresh,
+            ["job_id"],
+            ["parent_pos", "uri"],
+            {"pos": Running(F.lit(1).cast("bigint"))},
+            hot_rows,
+            largest,
         )
-        if before is None:
+        if previous is None:
             return out
+        # a job that goes on had rows in the level before; one row per job
+        last = previous.groupBy("job_id").agg(F.max("pos").alias("_last"))
         return (
-            out.join(before.select("job_id", "_fetched"), "job_id")
-            .withColumn("pos", F.col("pos") + F.col("_fetched"))
-            .drop("_fetched")
+            out.join(last, "job_id").withColumn("pos", F.col("pos") + F.col("_last")).drop("_last")
         )
 
-    def totals(levels: DataFrame) -> DataFrame:
-        return levels.groupBy("job_id").agg(
-            F.count("*").alias("_fetched"),
-            F.count_if(status_class(F.col("status")) == "success").alias("_ok"),
-        )
-
-    fresh = seeds.select("job_id", "uri").dropDuplicates()
-    fresh = (keep(fresh) if keep else fresh).select(
-        "job_id", "uri", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("parent_pos")
-    )
+    fresh = seeds.select("job_id", "uri").dropDuplicates().withColumn("parent_pos", F.lit(0))
     levels: list[DataFrame] = []
     seen: list[DataFrame] = []
-    before: DataFrame | None = None
-    for depth in range(max_levels):
-        level = ranked(fresh, before)
+    spent: DataFrame | None = None
+    depth = 0
+    while True:
+        fresh = (keep(fresh) if keep else fresh).select(
+            "job_id",
+            "uri",
+            F.lit(depth).alias("depth"),
+            F.col("parent_pos").cast("bigint").alias("parent_pos"),
+        ).checkpoint()
+        sizes = fresh.groupBy("job_id").agg(F.count("*").alias("n"))
+        largest = sizes.agg(F.max("n")).first()[0]
+        if depth > 0 and not largest:
+            break
+        level = placed(fresh, levels[-1] if levels else None, largest or 0)
         level = (
             look_up(level, responses)
             if responses is not None
             else level.withColumn("status", F.lit(200))
         )
         level = level.select("job_id", "uri", "depth", "parent_pos", "pos", "status").checkpoint()
-        if depth > 0 and not level.take(1):
-            break
         levels.append(level)
-        if depth >= max_depth:
+        if depth >= max_depth or not largest:
             break
         if len(seen) >= SEEN_LEVELS:
             seen = [reduce(DataFrame.unionByName, seen).checkpoint()]
         seen.append(level.select("job_id", "uri"))
-        done = totals(level)
-        if before is not None:
-            done = done.unionByName(before).groupBy("job_id").agg(
-                F.sum("_fetched").alias("_fetched"), F.sum("_ok").alias("_ok")
-            )
-        # one row per job
-        before = done.checkpoint()
         parents = level.filter(status_class(F.col("status")) == "success")
         if max_fetches is not None:
-            open_jobs = before.filter(F.col("_ok") < max_fetches).select("job_id")
+            fetched_well = parents.groupBy("job_id").agg(F.count("*").alias("_ok"))
+            if spent is not None:
+                fetched_well = (
+                    fetched_well.unionByName(spent).groupBy("job_id").agg(F.sum("_ok").alias("_ok"))
+                )
+            spent = fetched_well.checkpoint()
+            open_jobs = spent.filter(F.col("_ok") < max_fetches).select("job_id")
             parents = parents.join(open_jobs, "job_id", "left_semi")
         parents = salted(
             parents.select("job_id", F.col("uri").alias("page_uri"), F.col("pos").alias("_p")),
@@ -191,9 +193,7 @@ def crawl(
             .agg(F.min("_p").alias("parent_pos"))
         )
         fresh = unseen(found, reduce(DataFrame.unionByName, seen))
-        fresh = (keep(fresh) if keep else fresh).select(
-            "job_id", "uri", F.lit(depth + 1).alias("depth"), "parent_pos"
-        )
+        depth += 1
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -5,6 +5,8 @@ Extraction is narrow: no row leaves its task until links are counted by target.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,53 +30,34 @@ from ..functions.uri import canonical
 PAGE_COLUMNS = ["no_index", "no_follow", "page_error", "links"]
 
 
-def parse_pages(
-    pages: DataFrame, uri: str = "uri", body: str = "html", content_type: str | None = None
-) -> DataFrame:
-    """Replace the body by what was found in it: page flags and distinct links.
+@lru_cache(maxsize=16)
+def _steps(uri: str, body: str, content_type: str | None) -> list[dict[str, Column]]:
+    """Column steps of ``parse_pages``, built once per set of column names.
 
-    ``uri`` must be canonical. Without ``content_type`` all rows are HTML;
-    otherwise HTML and CSS are read by their own rules and other types give no
-    links. A page whose base element is illegal has ``page_error`` and no links.
+    The intermediate texts and arrays are columns of their own: Spark evaluates
+    a column used by several later ones once.
     """
     is_html: Column = F.lit(True)
     is_css: Column = F.lit(False)
     if content_type is not None:
         is_html = http.media_is(F.col(content_type), http.HTML)
         is_css = http.media_is(F.col(content_type), http.CSS)
-    keep = [c for c in pages.columns if c != body]
-    own = F.struct(
-        F.col(uri).alias("uri"), F.lit(None).cast("string").alias("fail_message")
+    href, tags = F.col("_href"), F.col("_tags")
+    own = F.struct(F.col(uri).alias("uri"), F.lit(None).cast("string").alias("fail_message"))
+    based = let(
+        canonical(href, F.col(uri)),
+        lambda c: F.struct(c["uri"].alias("uri"), c["fail_message"].alias("fail_message")),
     )
-    href = F.col("_href")
     found = F.coalesce(
         F.when(
             F.col("_html"),
             F.concat(
-                html_links(link_tags(F.col("_vis"), F.col("_tags")), F.col("_flags.no_follow")),
+                html_links(link_tags(F.col("_vis"), tags), F.col("_flags.no_follow")),
                 import_links(F.col(body)),
             ),
         ).when(F.col("_css"), css_links(F.col(body))),
         F.expr(f"cast(array() as {RAW_LINK_TYPE})"),
     )
-    staged = (
-        pages.withColumns({"_html": is_html, "_css": is_css})
-        .withColumn("_vis", F.when(F.col("_html"), visible(F.col(body))))
-        .withColumn("_tags", open_tags(F.col("_vis")))
-        .withColumns({"_flags": page_flags(F.col("_tags")), "_href": base_href(F.col("_tags"))})
-        .withColumn(
-            "_base",
-            F.when(href.isNull() | (href == ""), own).otherwise(
-                let(
-                    canonical(href, F.col(uri)),
-                    lambda c: F.struct(
-                        c["uri"].alias("uri"), c["fail_message"].alias("fail_message")
-                    ),
-                )
-            ),
-        )
-        .withColumn("_raw", found)
-    )
     page = F.struct(
         F.coalesce(F.col("_flags.no_index"), F.lit(False)).alias("no_index"),
         F.coalesce(F.col("_flags.no_follow"), F.lit(False)).alias("no_follow"),
@@ -86,8 +69,33 @@ def parse_pages(
             ),
         ).alias("links"),
     )
-    # generated columns are computed once, whatever is asked of them further up
-    return staged.select(*keep, F.inline(F.array(page)))
+    return [
+        {"_html": is_html, "_css": is_css},
+        {"_vis": F.when(F.col("_html"), visible(F.col(body)))},
+        {"_tags": open_tags(F.col("_vis"))},
+        {"_flags": page_flags(tags), "_href": base_href(tags)},
+        {"_base": F.when(href.isNull() | (href == ""), own).otherwise(based)},
+        {"_raw": found},
+        # generated columns are computed once, whatever is asked of them further up
+        {"": F.inline(F.array(page))},
+    ]
+
+
+def parse_pages(
+    pages: DataFrame, uri: str = "uri", body: str = "html", content_type: str | None = None
+) -> DataFrame:
+    """Replace the body by what was found in it: page flags and distinct links.
+
+    ``uri`` must be canonical. Without ``content_type`` all rows are HTML;
+    otherwise HTML and CSS are read by their own rules and other types give no
+    links. A page whose base element is illegal has ``page_error`` and no links.
+    """
+    keep = [c for c in pages.columns if c != body]
+    *steps, last = _steps(uri, body, content_type)
+    staged = pages
+    for step in steps:
+        staged = staged.withColumns(step)
+    return staged.select(*keep, last[""])
 
 
 def links(parsed: DataFrame, uri: str = "uri") -> DataFrame:

@@ -26,15 +26,23 @@ def hot_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
 
 
 def ordered_slices(
-    df: DataFrame, keys: list[str], order: list[str], max_rows: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    max_rows: int | None = None,
+    largest: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """Add a slice number that grows with ``order`` inside each key.
 
-    The second result tells whether any key has more than one slice. Rows of hot
-    keys are checkpointed, because slice bounds come from sampling and must be
-    the same for everything computed from them, also after a lost executor.
+    The second result tells whether any key has more than one slice. Keys are
+    counted first (a scan of the key columns), unless the caller knows the
+    ``largest`` group. Rows of hot keys are checkpointed, because slice bounds
+    come from sampling and must be the same for everything computed from them,
+    also after a lost executor.
     """
     max_rows = max_rows or HOT_ROWS
+    if largest is not None and largest <= max_rows:
+        return df.withColumn(SLICE, F.lit(0)), False
     hot = hot_keys(df, keys, max_rows)
     total = hot.agg(F.sum("_n")).first()[0]
     if not total:
@@ -79,9 +87,10 @@ def running(
     order: list[str],
     columns: dict[str, Running],
     max_rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add running values per key in the given order, which must be total."""
-    sliced, hot = ordered_slices(df, keys, order, max_rows)
+    sliced, hot = ordered_slices(df, keys, order, max_rows, largest)
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     out = sliced.withColumns({n: c.over(inside, hot) for n, c in columns.items()})
     if not hot:
@@ -114,11 +123,12 @@ def running(
 
 def salted_edges(
     edges: DataFrame, key: str, spread: str, partitions: int, max_rows: int | None = None
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame | None]:
     """Edges laid out by ``key`` once, for repeated joins without another shuffle.
 
     The rows of a key above ``max_rows`` are spread over several salts by a hash
-    of ``spread``. Also returned: (key, salts) of the spread keys, for ``salted``.
+    of ``spread``. Also returned: (key, _salts) of those keys for ``salted``, or
+    None when there are none.
     """
     max_rows = max_rows or HOT_ROWS
     hot = (
@@ -127,26 +137,20 @@ def salted_edges(
         .checkpoint()
     )
     if not hot.take(1):
-        laid = edges.withColumn("_salt", F.lit(0)).repartition(partitions, key, "_salt")
-    else:
-        laid = (
-            edges.join(F.broadcast(hot), key, "left")
-            .withColumn(
-                "_salt",
-                F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0)),
-            )
-            .drop("_salts")
-            .repartition(partitions, key, "_salt")
-        )
-    return laid.checkpoint(), hot
-
-
-def salted(df: DataFrame, key: str, hot: DataFrame, max_rows: int | None = None) -> DataFrame:
+        plain = edges.withColumn("_salt", F.lit(0)).repartition(partitions, key, "_salt")
+        return plain.checkpoint(), None
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))
+    spread_out = edges.join(F.broadcast(hot), key, "left").withColumn("_salt", salt)
+    return spread_out.drop("_salts").repartition(partitions, key, "_salt").checkpoint(), hot
+
+
+def salted(df: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """Copy each row with a spread key once per salt; other rows get salt 0."""
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     return (
         df.join(F.broadcast(hot), key, "left")
-        .withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-        )
+        .withColumn("_salt", F.explode(copies))
         .drop("_salts")
     )

@@ -35,7 +35,8 @@ def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings every query here relies on, whoever made the session."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
     checkpoint_root(spark)
     return spark
 
