@@ -19,7 +19,7 @@ from ..functions.http import status_class
 from ..functions.robots import allowed
 from ..functions.rules import FIRST_MATCH, Rule, accepts
 from .robots import with_rules
-from .skew import Running, running, salted, salted_edges
+from .skew import Running, lay_out, running
 
 SEEN = "SeenAlready"
 UNSUPPORTED = "UnsupportedScheme"
@@ -94,9 +94,11 @@ def unseen(candidates: DataFrame, seen: DataFrame, keys=("job_id", "uri")) -> Da
 
 def look_up(level: DataFrame, responses: DataFrame) -> DataFrame:
     """Status of each URI from stored responses; missing ones count as 404."""
-    return level.join(responses.select("uri", "status"), "uri", "left").withColumn(
-        "status", F.coalesce("status", F.lit(404))
-    )
+    return missing_as_404(level.join(responses.select("uri", "status"), "uri", "left"))
+
+
+def missing_as_404(looked_up: DataFrame) -> DataFrame:
+    return looked_up.withColumn("status", F.coalesce("status", F.lit(404)))
 
 
 def crawl(
@@ -115,15 +117,16 @@ def crawl(
     (job_id, uri) rows, e.g. by ``decide``. Result: job_id, uri, depth,
     parent_pos, pos (from 1 per job) and status.
 
-    Edges are laid out by page once. Each level joins them with the fetched
+    Edges and responses are bucketed by page once. Each level joins them with the fetched
     pages, keeps the first finder of each URI with a partial aggregation, drops
     seen URIs and is checkpointed, so neither plans nor lost executors reach back
     beyond it. Jobs whose fetch budget is spent are not expanded any further.
     """
-    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid, spread = salted_edges(
-        edges.select("page_uri", F.col("uri").alias("_to")), "page_uri", "_to", parts, hot_rows
+    # edges and responses move once; level after level then moves only itself
+    graph = lay_out(
+        edges.select("page_uri", F.col("uri").alias("_to")), "page_uri", "_to", hot_rows
     )
+    stored = None if responses is None else lay_out(responses.select("uri", "status"), "uri")
 
     def placed(fresh: DataFrame, previous: DataFrame | None, largest: int) -> DataFrame:
         """Queue places: after the job's earlier levels, by (parent_pos, uri)."""
@@ -161,9 +164,9 @@ def crawl(
             break
         level = placed(fresh, levels[-1] if levels else None, largest or 0)
         level = (
-            look_up(level, responses)
-            if responses is not None
-            else level.withColumn("status", F.lit(200))
+            level.withColumn("status", F.lit(200))
+            if stored is None
+            else missing_as_404(stored.join(level, "left"))
         )
         level = level.select("job_id", "uri", "depth", "parent_pos", "pos", "status").checkpoint()
         levels.append(level)
@@ -182,18 +185,20 @@ def crawl(
             spent = fetched_well.checkpoint()
             open_jobs = spent.filter(F.col("_ok") < max_fetches).select("job_id")
             parents = parents.join(open_jobs, "job_id", "left_semi")
-        parents = salted(
-            parents.select("job_id", F.col("uri").alias("page_uri"), F.col("pos").alias("_p")),
-            "page_uri",
-            spread,
-        )
         found = (
-            parents.join(laid, ["page_uri", "_salt"])
+            graph.join(
+                parents.select(
+                    "job_id", F.col("uri").alias("page_uri"), F.col("pos").alias("_p")
+                )
+            )
             .groupBy("job_id", F.col("_to").alias("uri"))
             .agg(F.min("_p").alias("parent_pos"))
         )
         fresh = unseen(found, reduce(DataFrame.unionByName, seen))
         depth += 1
+    for layout in (graph, stored):
+        if layout is not None:
+            layout.drop()
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -9,14 +9,20 @@ slices add up to is joined back on. Results are the same either way.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import work_folder
+
 HOT_ROWS = 2_000_000
 SLICE = "_slice"
 
+# more files than this cost more to list than larger buckets cost to read
+MAX_BUCKETS = 20_000
+
 
 def hot_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
     """Keys with more than ``max_rows`` rows: at most rows / max_rows of them."""
@@ -121,36 +127,71 @@ def running(
     )
 
 
-def salted_edges(
-    edges: DataFrame, key: str, spread: str, partitions: int, max_rows: int | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """Edges laid out by ``key`` once, for repeated joins without another shuffle.
+@dataclass(frozen=True)
+class Layout:
+    """A table bucketed by ``key``, so that joins on it move only the other side.
+
+    ``hot`` holds the keys that were spread over several buckets, with the number
+    of their salts; None when there are none.
+    """
 
-    The rows of a key above ``max_rows`` are spread over several salts by a hash
-    of ``spread``. Also returned: (key, _salts) of those keys for ``salted``, or
-    None when there are none.
+    table: str
+    key: str
+    hot: DataFrame | None
+    spark: SparkSession
+
+    def join(self, df: DataFrame, how: str = "inner") -> DataFrame:
+        """Join ``df`` on the key; rows with a spread key are copied per salt."""
+        stored = self.spark.table(self.table)
+        if self.hot is None:
+            return df.join(stored, self.key, how)
+        copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+        salted = (
+            df.join(F.broadcast(self.hot), self.key, "left")
+            .withColumn("_salt", F.explode(copies))
+            .drop("_salts")
+        )
+        return salted.join(stored, [self.key, "_salt"], how).drop("_salt")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def lay_out(
+    df: DataFrame, key: str, spread: str | None = None, max_rows: int | None = None
+) -> Layout:
+    """Write ``df`` bucketed by ``key`` below the shared folder.
+
+    With ``spread``, a key above ``max_rows`` rows is cut into salts by a hash of
+    that column, and so into several buckets. ``df`` is read twice then, once for
+    the keys only; it should be a stored table rather than a costly plan.
     """
     max_rows = max_rows or HOT_ROWS
-    hot = (
-        hot_keys(edges, [key], max_rows)
-        .select(key, F.ceil(F.col("_n") / max_rows).cast("int").alias("_salts"))
-        .checkpoint()
-    )
-    if not hot.take(1):
-        plain = edges.withColumn("_salt", F.lit(0)).repartition(partitions, key, "_salt")
-        return plain.checkpoint(), None
-    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))
-    spread_out = edges.join(F.broadcast(hot), key, "left").withColumn("_salt", salt)
-    return spread_out.drop("_salts").repartition(partitions, key, "_salt").checkpoint(), hot
-
-
-def salted(df: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """Copy each row with a spread key once per salt; other rows get salt 0."""
-    if hot is None:
-        return df.withColumn("_salt", F.lit(0))
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    return (
-        df.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_salts")
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot, by = None, [key]
+    if spread is not None:
+        counts = df.groupBy(key).agg(F.count("*").alias("_n")).agg(
+            F.sum("_n").alias("total"), F.max("_n").alias("largest")
+        )
+        total, largest = counts.first()
+        buckets = max(buckets, min(math.ceil((total or 0) / max_rows), MAX_BUCKETS))
+        if largest and largest > max_rows:
+            # at most total / max_rows keys
+            hot = (
+                hot_keys(df, [key], max_rows)
+                .select(key, F.ceil(F.col("_n") / max_rows).cast("int").alias("_salts"))
+                .checkpoint()
+            )
+            salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))
+            df = df.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_salts")
+            by = [key, "_salt"]
+    name = f"laid_out_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, *by)
+        .write.option("path", work_folder(spark, name))
+        .bucketBy(buckets, *by)
+        .sortBy(*by)
+        .saveAsTable(name)
     )
+    return Layout(name, key, hot, spark)
