@@ -29,6 +29,10 @@ OKAY = "OkayToFetch"
 
 SCHEMES = ["http", "https"]
 
+# a level of at most this many counted rows is broadcast to the edges; larger ones
+# are shuffled to their buckets
+BROADCAST_ROWS = 200_000
+
 # union plans of more seen levels than this are replaced by one checkpoint
 SEEN_LEVELS = 8
 
@@ -159,7 +163,7 @@ def crawl(
             F.col("parent_pos").cast("bigint").alias("parent_pos"),
         ).checkpoint()
         sizes = fresh.groupBy("job_id").agg(F.count("*").alias("n"))
-        largest = sizes.agg(F.max("n")).first()[0]
+        largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
         if depth > 0 and not largest:
             break
         level = placed(fresh, levels[-1] if levels else None, largest or 0)
@@ -185,12 +189,11 @@ def crawl(
             spent = fetched_well.checkpoint()
             open_jobs = spent.filter(F.col("_ok") < max_fetches).select("job_id")
             parents = parents.join(open_jobs, "job_id", "left_semi")
+        parents = parents.select(
+            "job_id", F.col("uri").alias("page_uri"), F.col("pos").alias("_p")
+        )
         found = (
-            graph.join(
-                parents.select(
-                    "job_id", F.col("uri").alias("page_uri"), F.col("pos").alias("_p")
-                )
-            )
+            graph.join(F.broadcast(parents) if rows <= BROADCAST_ROWS else parents)
             .groupBy("job_id", F.col("_to").alias("uri"))
             .agg(F.min("_p").alias("parent_pos"))
         )

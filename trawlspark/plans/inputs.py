@@ -18,6 +18,16 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan of fewer splits than cores, before parsing.
+
+    A table of ordinary size has more splits than there are cores and is read
+    as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _bare(url: Column) -> Column:
     return F.regexp_replace(url, "[?#].*", "")
 
@@ -48,14 +58,14 @@ def messy_urls(spark: SparkSession, sf: str) -> DataFrame:
     rows = F.array(
         *[F.struct(F.lit(i).alias("variant"), s.alias("url")) for i, s in enumerate(spellings)]
     )
-    return pages(spark, sf).select("page_id", F.inline(rows))
+    return spread(pages(spark, sf).select("page_id", "url")).select("page_id", F.inline(rows))
 
 
 def page_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Pages under their canonical URI: page_id, uri, site, path, html."""
     from ..operators.canonicalize import canonicalize
 
-    return canonicalize(pages(spark, sf)).select("page_id", "uri", "site", "path", "html")
+    return canonicalize(spread(pages(spark, sf))).select("page_id", "uri", "site", "path", "html")
 
 
 def sites(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,8 +117,7 @@ def crawl_docs(spark: SparkSession, sf: str) -> DataFrame:
         doc("text", "text/plain", '<a href="x">', pid, "</a>"),
     )
     return (
-        pages(spark, sf)
-        .select("page_id", site_of(F.col("url")).alias("site"))
+        spread(pages(spark, sf).select("page_id", site_of(F.col("url")).alias("site")))
         .select("page_id", F.inline(docs))
     )
 
@@ -272,7 +281,7 @@ def site_map(spark: SparkSession, sf: str) -> DataFrame:
     customer = edges("customer", uri("nation", "c_nationkey"), uri("customer", "c_custkey"))
     supplier = edges("supplier", uri("nation", "s_nationkey"), uri("supplier", "s_suppkey"))
     orders = edges("orders", uri("customer", "o_custkey"), uri("order", "o_orderkey"))
-    parts = edges("lineitem", uri("order", "l_orderkey"), uri("part", "l_partkey")).distinct()
+    parts = edges("lineitem", uri("order", "l_orderkey"), uri("part", "l_partkey"))
     return (
         nation.unionByName(customer).unionByName(supplier).unionByName(orders).unionByName(parts)
     )
