@@ -149,17 +149,25 @@ def log_progress(log: DataFrame, seeds: int = 1, hot_rows: int | None = None) ->
             "succeeds": Running((kind == "success").cast("bigint"), before=True),
             "fails": Running((kind == "fail").cast("bigint"), before=True),
             "_found": Running(F.col("links_extracted").cast("bigint"), before=True),
+            # the first time of the job, as a running maximum of negated times
+            "started_ms": Running(-F.col("log_ms"), "max"),
         },
         hot_rows,
     )
     return (
-        out.withColumn("seeds", F.lit(seeds))
+        out.withColumn("started_ms", -F.col("started_ms"))
+        .withColumn("seeds", F.lit(seeds))
         .withColumn("attempts", F.col("pos") - 1)
         .withColumn("pending", F.lit(seeds) + F.col("_found") - F.col("attempts"))
         .drop("_found")
     )
 
 
+def timed_out(timeout_ms: int) -> Column:
+    """Has a job run longer than allowed? For rows of ``log_progress``."""
+    return F.col("log_ms") > F.col("started_ms") + timeout_ms
+
+
 def politeness_schedule(
     log: DataFrame, delay_ms: Column, hot_rows: int | None = None
 ) -> DataFrame:

@@ -39,7 +39,7 @@ SEEN_LEVELS = 8
 
 def decide(
     candidates: DataFrame,
-    rules: list[Rule],
+    rules: list[Rule] | Callable[[Column], Column],
     robots: DataFrame | None = None,
     kind: str = FIRST_MATCH,
     seen: DataFrame | None = None,
@@ -47,13 +47,17 @@ def decide(
 ) -> DataFrame:
     """Add ``decision`` to candidates (uri, scheme, path, site, user_agent).
 
+    ``rules`` are accept/reject rules or any function from the URI column to a
+    boolean one. ``seen`` has one row per key; ``robots`` one per (user_agent,
+    site). Both joins are plain, so AQE can split a URI or site that many
+    candidates share.
+
     Cheap tests come first: a candidate that is seen, of another scheme or
     rejected by the filter has a null join key and never meets the robots join.
     """
-    early = (
-        F.when(~F.col("scheme").isin(*SCHEMES), UNSUPPORTED)
-        .when(~accepts(F.col("uri"), rules, kind), REJECTED)
-    )
+    uri = F.col("uri")
+    accepted = rules(uri) if callable(rules) else accepts(uri, rules, kind)
+    early = F.when(~F.col("scheme").isin(*SCHEMES), UNSUPPORTED).when(~accepted, REJECTED)
     out = candidates
     if seen is not None:
         marks = seen.select(*seen_keys).withColumn("_seen", F.lit(True))
@@ -248,19 +252,24 @@ def with_outcome(
     max_fetches: int,
     max_fail: float,
     timed_out: Column | None = None,
+    rule: Column | None = None,
 ) -> DataFrame:
-    """Add the answer of the stop rule before each fetch: ``state``, ``message``."""
-    rule = stop.stop_outcome(
-        F.col("pending"),
-        F.col("succeeds"),
-        F.col("attempts"),
-        F.col("fails"),
-        F.col("seeds"),
-        F.lit(max_queue),
-        F.lit(max_fetches),
-        F.lit(max_fail),
-        timed_out,
-    )
+    """Add the answer of the stop rule before each fetch: ``state``, ``message``.
+
+    Another ``rule`` is any struct<state, message> column over the progress columns.
+    """
+    if rule is None:
+        rule = stop.stop_outcome(
+            F.col("pending"),
+            F.col("succeeds"),
+            F.col("attempts"),
+            F.col("fails"),
+            F.col("seeds"),
+            F.lit(max_queue),
+            F.lit(max_fetches),
+            F.lit(max_fail),
+            timed_out,
+        )
     return progress.select("*", F.inline(F.array(rule)))
 
 

@@ -8,6 +8,7 @@ from .queries import (
     DAY,
     LEVEL_DEPTH,
     LOG_RULE,
+    LOG_TIMEOUT_MS,
     MAP_DEPTH,
     MAX_BYTES,
     PAGE_RULES,
@@ -512,6 +513,14 @@ SELECT job_id, count(DISTINCT uri) AS uris_seen FROM l GROUP BY job_id""",
 SELECT *, uris_seen - pos AS uris_queued FROM x""",
     "stop_point": f"WITH {LOG_STOPS} SELECT job_id, sp AS stop_pos FROM y WHERE sp IS NOT NULL",
     "job_outcome": OUTCOMES,
+    "job_timeout": f"""WITH {LOG}, x AS (
+  SELECT job_id, row_number() OVER ({W}) AS pos, log_ms, min(log_ms) OVER (PARTITION BY job_id) AS m
+  FROM l),
+y AS (SELECT job_id, max(pos) AS last, min(CASE WHEN log_ms > m + {LOG_TIMEOUT_MS} THEN pos END)
+  AS sp FROM x GROUP BY job_id)
+SELECT job_id, coalesce(sp, last + 1) AS stop_pos,
+  CASE WHEN sp IS NULL THEN '{stop.COMPLETED[0]}' ELSE '{stop.TIMEOUT[0]}' END AS state,
+  CASE WHEN sp IS NULL THEN '{stop.COMPLETED[1]}' ELSE '{stop.TIMEOUT[1]}' END AS message FROM y""",
     "politeness_schedule": f"""WITH {LOG}, x AS (
   SELECT *, greatest(event_id % 7 * 100, 250) AS delay_ms FROM l)
 SELECT job_id, event_id, delay_ms, (sum(delay_ms) OVER ({W})

@@ -39,6 +39,7 @@ MAX_BYTES = 4000
 RETENTION_ASOF_MS = 1_706_659_200_000
 DAY = "2024-01-15"
 LOG_RULE = {"seeds": 20, "max_queue": 30, "max_fetches": 40, "max_fail": 0.5}
+LOG_TIMEOUT_MS = 10 * 24 * 60 * 60 * 1000
 MAP_DEPTH = 4
 LEVEL_DEPTH = 3
 CHAIN_DEPTH = 3
@@ -467,6 +468,14 @@ def job_outcome(spark, sf):
     return frontier.outcomes(_judged(spark, sf))
 
 
+def job_timeout(spark, sf):
+    judged = frontier.with_outcome(
+        fetchlog.log_progress(I.fetch_log(spark, sf), 1000), 1_000_000_000, 1_000_000_000, 1.1,
+        fetchlog.timed_out(LOG_TIMEOUT_MS),
+    )
+    return frontier.outcomes(judged)
+
+
 def _log_delay():
     """Delay of a log row: the longer of the site's and the configured one."""
     site_ms = F.when(F.col("event_id") % 7 > 0, (F.col("event_id") % 7) * 100)
@@ -726,6 +735,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fetch_log_running": fetch_log_running,
     "stop_point": stop_point,
     "job_outcome": job_outcome,
+    "job_timeout": job_timeout,
     "politeness_schedule": politeness_schedule,
     "politeness_gap": politeness_gap,
     "jobs_latest": jobs_latest,

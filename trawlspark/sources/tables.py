@@ -34,12 +34,11 @@ def bucket_of(job: Column | str) -> Column:
 
 
 def _write_by_job(df: DataFrame, path: str, order: list[str], mode: str) -> None:
-    # a random salt spreads a hot job's bucket over several writers and files
+    # rebalancing gathers a bucket, and cuts it again where a hot job makes it too
+    # large for one writer
     (
         df.withColumn("job_bucket", bucket_of(F.col("job_id").cast("string")))
-        .withColumn("_spread", F.pmod(F.xxhash64(*order), 8))
-        .repartition("job_bucket", "_spread")
-        .drop("_spread")
+        .hint("rebalance", "job_bucket")
         .sortWithinPartitions("job_bucket", "job_id", *order)
         .write.mode(mode)
         .partitionBy("job_bucket")
@@ -85,7 +84,7 @@ def log_of_job(spark: SparkSession, path: str, job_id: str, first: bool = False)
 def write_jobs(jobs: DataFrame, by_date: str, by_crawler: str, mode: str = "append") -> None:
     """The same rows in two layouts, one per access path."""
     (
-        jobs.repartition("partition_date")
+        jobs.hint("rebalance", "partition_date")
         .sortWithinPartitions(F.desc("created_ms"), "job_id")
         .write.mode(mode)
         .partitionBy("partition_date")
