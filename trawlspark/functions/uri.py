@@ -62,24 +62,29 @@ def clean(url: Column) -> Column:
     return F.replace(F.translate(url, "\r\n", ""), F.lit(" "), F.lit("%20"))
 
 
-def _encoded(text: Column, keep: str, plus_is_space: bool) -> Column:
-    """Percent-encode every octet outside ``[A-Za-z0-9._*-]`` and ``keep``."""
-    out = F.url_encode(text)
-    if not plus_is_space:
-        out = F.replace(out, F.lit("+"), F.lit("%20"))
-    for ch in keep:
-        out = F.replace(out, F.lit(f"%{ord(ch):02X}"), F.lit(ch))
-    return out
+# Characters that stay as they are in a path segment and in a query key or value.
+_PATH_KEEP = r"A-Za-z0-9._~!$&'()*+,;=:@-"
+_QUERY_KEEP = r"A-Za-z0-9._~!$'()*,:@/?-"
+
+
+def _encoded(text: Column, keep: str, space: str) -> Column:
+    """Percent-encode the runs of characters outside ``keep``."""
+
+    def run(r: Column) -> Column:
+        return F.when(r.rlike(f"^[{keep}]"), r).otherwise(
+            F.replace(F.url_encode(r), F.lit("+"), F.lit(space))
+        )
+
+    runs = F.regexp_extract_all(text, F.lit(f"[{keep}]++|[^{keep}]++"), F.lit(0))
+    return F.when(text.rlike(f"^[{keep}]*+$"), text).otherwise(joined(F.transform(runs, run)))
 
 
 def encode_path(text: Column) -> Column:
-    plain = text.rlike(r"^[A-Za-z0-9._~!$&'()*+,;=:@-]*+$")
-    return F.when(plain, text).otherwise(_encoded(text, "~!$&'()+,;=:@", False))
+    return _encoded(text, _PATH_KEEP, "%20")
 
 
 def encode_query(text: Column) -> Column:
-    plain = text.rlike(r"^[A-Za-z0-9._~!$'()*,:@/?-]*+$")
-    return F.when(plain, text).otherwise(_encoded(text, "~!$'(),:@/?", True))
+    return _encoded(text, _QUERY_KEEP, "+")
 
 
 def _decode_path(text: Column) -> Column:
