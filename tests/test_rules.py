@@ -35,7 +35,10 @@ def test_rules_in_a_column_agree_with_unrolled_rules(spark):
     rows = [
         (i, [f"{'accept' if a else 'reject'}: {r}" for a, r in rules], uri, kind, want)
         for i, (rules, uri, first, priority) in enumerate(CASES)
-        for kind, want in ((R.FIRST_MATCH, first), (R.PRIORITY_REJECT, priority))
+        for kind, want in (
+            (R.FIRST_MATCH, first), (R.PRIORITY_REJECT, priority),
+            ("some.package." + R.PRIORITY_REJECT, priority),
+        )
     ]
     df = spark.createDataFrame(
         rows, "i int, lines array<string>, uri string, kind string, want boolean"

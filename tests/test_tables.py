@@ -140,3 +140,9 @@ def test_configs(spark):
 def test_json_dates(spark):
     df = spark.range(1).select(F.timestamp_millis(F.lit(1500)).alias("t"))
     assert configs.rows_as_json(df).first().json == '{"t":"1970-01-01T00:00:01.500Z"}'
+
+
+def test_packed_media_counters(spark):
+    df = spark.createDataFrame([({"text/html": "3,783"},)], "m map<string,string>")
+    got = df.select(tables.unpack_media(F.col("m"))).first()[0]
+    assert {k: tuple(v) for k, v in got.items()} == {"text/html": (3, 783)}

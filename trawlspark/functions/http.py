@@ -31,9 +31,22 @@ def effective_status(status: Column, content: Column, limit: int = MAX_CONTENT_B
     return F.when(F.octet_length(content) > limit, F.lit(-1)).otherwise(status)
 
 
+def is_success(status: Column) -> Column:
+    return status.between(200, 299)
+
+
+def is_redirect(status: Column) -> Column:
+    return status.between(300, 399)
+
+
+def is_fail(status: Column) -> Column:
+    """Everything else, -1 for requests without a response included."""
+    return ~status.between(200, 399)
+
+
 def status_class(status: Column) -> Column:
     return (
-        F.when(status.between(200, 299), "success")
-        .when(status.between(300, 399), "redirect")
+        F.when(is_success(status), "success")
+        .when(is_redirect(status), "redirect")
         .otherwise("fail")
     )

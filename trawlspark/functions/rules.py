@@ -107,7 +107,11 @@ def accepts(uri: Column, rules: list[Rule], kind: str = FIRST_MATCH) -> Column:
 
 
 def matched_rule_of(uri: Column, rules: Column, kind: Column) -> Column:
-    """As ``matched_rule`` for rules held in a column (one configuration per row)."""
+    """As ``matched_rule`` for rules held in a column (one configuration per row).
+
+    ``kind`` may carry a package name before the filter's name.
+    """
+    kind = F.substring_index(kind, ".", -1)
     hits = F.filter(rules, lambda r: _matches(uri, r["regex"]))
     rejects = F.filter(hits, lambda r: ~r["accept"])
     return F.when(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.http import status_class
+from ..functions.http import is_fail, is_redirect, is_success
 from ..functions.text import format_bytes, format_elapsed
 from .skew import Running, running
 
@@ -18,12 +18,12 @@ ORDER = ["log_time", "event_id"]
 
 
 def fetch_counters(log: DataFrame) -> DataFrame:
-    kind = status_class(F.col("status"))
+    status = F.col("status")
     return log.groupBy("job_id").agg(
         F.count("*").alias("fetch_attempts"),
-        F.count_if(kind == "success").alias("fetch_succeeds"),
-        F.count_if(kind == "fail").alias("fetch_fails"),
-        F.count_if(kind == "redirect").alias("redirects"),
+        F.count_if(is_success(status)).alias("fetch_succeeds"),
+        F.count_if(is_fail(status)).alias("fetch_fails"),
+        F.count_if(is_redirect(status)).alias("redirects"),
     )
 
 
@@ -36,7 +36,7 @@ def response_counters(log: DataFrame) -> DataFrame:
 def media_counters(log: DataFrame) -> DataFrame:
     """Documents and bytes per full content type, successful fetches only."""
     return (
-        log.filter(status_class(F.col("status")) == "success")
+        log.filter(is_success(F.col("status")))
         .groupBy("job_id", F.coalesce("content_type", F.lit("undefined")).alias("media_type"))
         .agg(
             F.count("*").alias("documents"),
@@ -83,15 +83,15 @@ def counter_maps(log: DataFrame) -> DataFrame:
 
 def job_summary(log: DataFrame) -> DataFrame:
     """One line per job from a single aggregation of the log."""
-    kind = status_class(F.col("status"))
-    ok = kind == "success"
+    status = F.col("status")
+    ok = is_success(status)
     size = F.when(ok, F.col("content_length").cast("bigint"))
     sums = log.groupBy("job_id").agg(
         (F.max("log_ms") - F.min("log_ms")).alias("duration_ms"),
         F.count_if(ok).alias("files"),
         F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"),
-        F.count_if(kind == "redirect").alias("redirects"),
-        F.count_if(kind == "fail").alias("fails"),
+        F.count_if(is_redirect(status)).alias("redirects"),
+        F.count_if(is_fail(status)).alias("fails"),
     )
     average = F.floor(F.col("duration_ms") / F.greatest(F.col("files"), F.lit(1)))
     return sums.withColumn("avg_fetch_ms", average).withColumns(
@@ -118,7 +118,7 @@ def running_log(
 ) -> DataFrame:
     """Totals each log row carries: ``fetches`` with this row; ``uris_seen`` before
     its links are added; ``uris_queued`` = seen - taken from the queue."""
-    ok = (status_class(F.col("status")) == "success").cast("bigint")
+    ok = (is_success(F.col("status"))).cast("bigint")
     out = running(
         log,
         ["job_id"],
@@ -139,15 +139,15 @@ def running_log(
 
 def log_progress(log: DataFrame, seeds: int = 1, hot_rows: int | None = None) -> DataFrame:
     """State just before each logged fetch, as the stop rule is asked for it."""
-    kind = status_class(F.col("status"))
+    status = F.col("status")
     out = running(
         log,
         ["job_id"],
         ORDER,
         {
             "pos": Running(F.lit(1).cast("bigint")),
-            "succeeds": Running((kind == "success").cast("bigint"), before=True),
-            "fails": Running((kind == "fail").cast("bigint"), before=True),
+            "succeeds": Running((is_success(status)).cast("bigint"), before=True),
+            "fails": Running((is_fail(status)).cast("bigint"), before=True),
             "_found": Running(F.col("links_extracted").cast("bigint"), before=True),
             # the first time of the job, as a running maximum of negated times
             "started_ms": Running(-F.col("log_ms"), "max"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stop
-from ..functions.http import status_class
+from ..functions.http import is_fail, is_success
 from ..functions.robots import allowed
 from ..functions.rules import FIRST_MATCH, Rule, accepts
 from .robots import with_rules
@@ -183,7 +183,7 @@ def crawl(
         if len(seen) >= SEEN_LEVELS:
             seen = [reduce(DataFrame.unionByName, seen).checkpoint()]
         seen.append(level.select("job_id", "uri"))
-        parents = level.filter(status_class(F.col("status")) == "success")
+        parents = level.filter(is_success(F.col("status")))
         if max_fetches is not None:
             fetched_well = parents.groupBy("job_id").agg(F.count("*").alias("_ok"))
             if spent is not None:
@@ -223,15 +223,15 @@ def with_progress(crawled: DataFrame, hot_rows: int | None = None) -> DataFrame:
     rows = crawled.join(new_links, ["job_id", "pos"], "left").withColumn(
         "new_links", F.coalesce("new_links", F.lit(0))
     )
-    kind = status_class(F.col("status"))
+    status = F.col("status")
     seed = (F.col("depth") == 0).cast("bigint")
     out = running(
         rows,
         ["job_id"],
         ["pos"],
         {
-            "succeeds": Running((kind == "success").cast("bigint"), before=True),
-            "fails": Running((kind == "fail").cast("bigint"), before=True),
+            "succeeds": Running((is_success(status)).cast("bigint"), before=True),
+            "fails": Running((is_fail(status)).cast("bigint"), before=True),
             "_found": Running(F.col("new_links"), before=True),
         },
         hot_rows,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.http import status_class
+from ..functions.http import is_success
 
 # Days a row is kept, per table; crawler configurations stay.
 RETENTION_DAYS = {
@@ -134,4 +134,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def succeeded(responses: DataFrame) -> DataFrame:
-    return responses.filter(status_class(F.col("status")) == "success")
+    return responses.filter(is_success(F.col("status")))
+
+
+def unpack_media(packed: Column) -> Column:
+    """Media counters stored as ``"count,bytes"`` text, as a map of structs."""
+    return F.transform_values(
+        packed,
+        lambda _, v: F.struct(
+            F.split(v, ",")[0].cast("bigint").alias("count"),
+            F.split(v, ",")[1].cast("bigint").alias("total_bytes"),
+        ),
+    )

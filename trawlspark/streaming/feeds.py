@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.http import status_class
+from ..functions.http import is_fail, is_redirect, is_success
 from ..functions.rules import FIRST_MATCH, Rule
 from ..operators.frontier import decide
 from .journal import JOB_COLUMNS
@@ -13,12 +13,12 @@ from .journal import JOB_COLUMNS
 
 def running_counters(events: DataFrame) -> DataFrame:
     """Counters per job for ``update`` mode; pre-aggregated before the shuffle."""
-    kind = status_class(F.col("status"))
+    status = F.col("status")
     return events.groupBy("job_id").agg(
         F.count("*").alias("fetch_attempts"),
-        F.count_if(kind == "success").alias("fetch_succeeds"),
-        F.count_if(kind == "fail").alias("fetch_fails"),
-        F.count_if(kind == "redirect").alias("redirects"),
+        F.count_if(is_success(status)).alias("fetch_succeeds"),
+        F.count_if(is_fail(status)).alias("fetch_fails"),
+        F.count_if(is_redirect(status)).alias("redirects"),
     )
 
 

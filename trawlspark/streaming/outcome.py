@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import stop
-from ..functions.http import status_class
+from ..functions.http import is_fail, is_success
 from ..operators.fetchlog import log_progress
 
 STATE = "job_id bigint, n bigint, ok bigint, bad bigint, found bigint, stopped boolean"
@@ -72,11 +72,11 @@ def write_batch(
         )
         stops.write.mode("overwrite").parquet(f"{path}/outcome/batch_id={batch_id}")
         emitted = spark.read.parquet(f"{path}/outcome/batch_id={batch_id}")
-        kind = status_class(F.col("status"))
+        status = F.col("status")
         added = batch.groupBy("job_id").agg(
             F.count("*").alias("n"),
-            F.count_if(kind == "success").alias("ok"),
-            F.count_if(kind == "fail").alias("bad"),
+            F.count_if(is_success(status)).alias("ok"),
+            F.count_if(is_fail(status)).alias("bad"),
             F.sum(F.col("links_extracted").cast("bigint")).alias("found"),
             F.lit(False).alias("stopped"),
         )
