@@ -288,35 +288,26 @@ def site_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def site_map_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored responses of the site map. Every seventh customer and tenth order is
-    missing, so it counts as 404; every fifth supplier redirects."""
+    """Stored responses of the site map. Customers in debt and pending orders are
+    missing, so they count as 404; suppliers in debt redirect."""
 
-    def rows(name: str, kind: str, key: str, status: Column) -> DataFrame:
-        return table(spark, sf, name).select(
+    def rows(df: DataFrame, kind: str, key: str, status: Column) -> DataFrame:
+        return df.select(
             F.concat(F.lit(f"/{kind}/"), F.col(key).cast("string")).alias("uri"),
             status.cast("int").alias("status"),
         )
 
     ok = F.lit(200)
+    customer = table(spark, sf, "customer").filter(F.col("c_acctbal") >= 0)
+    orders = table(spark, sf, "orders").filter(F.col("o_orderstatus") != "P")
+    moved = F.when(F.col("s_acctbal") < 0, 302).otherwise(200)
     return (
-        rows("region", "region", "r_regionkey", ok)
-        .unionByName(rows("nation", "nation", "n_nationkey", ok))
-        .unionByName(
-            rows("customer", "customer", "c_custkey", ok).filter(
-                F.regexp_extract("uri", "[0-9]+", 0).cast("bigint") % 7 != 0
-            )
-        )
-        .unionByName(
-            rows(
-                "supplier", "supplier", "s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, 302).otherwise(200)
-            )
-        )
-        .unionByName(
-            rows("orders", "order", "o_orderkey", ok).filter(
-                F.regexp_extract("uri", "[0-9]+", 0).cast("bigint") % 10 != 0
-            )
-        )
-        .unionByName(rows("part", "part", "p_partkey", ok))
+        rows(table(spark, sf, "region"), "region", "r_regionkey", ok)
+        .unionByName(rows(table(spark, sf, "nation"), "nation", "n_nationkey", ok))
+        .unionByName(rows(customer, "customer", "c_custkey", ok))
+        .unionByName(rows(table(spark, sf, "supplier"), "supplier", "s_suppkey", moved))
+        .unionByName(rows(orders, "order", "o_orderkey", ok))
+        .unionByName(rows(table(spark, sf, "part"), "part", "p_partkey", ok))
     )
 
 

@@ -11,6 +11,7 @@ from .queries import (
     LOG_TIMEOUT_MS,
     MAP_DEPTH,
     MAX_BYTES,
+    MID_MONTH_MS,
     PAGE_RULES,
     RETENTION_ASOF_MS,
     ROBOTS_CONFIG_MS,
@@ -213,10 +214,10 @@ EDGES = """e AS (
 st AS (
   SELECT '/region/' || r_regionkey AS uri, 200 AS status FROM region
   UNION ALL SELECT '/nation/' || n_nationkey, 200 FROM nation
-  UNION ALL SELECT '/customer/' || c_custkey, 200 FROM customer WHERE c_custkey % 7 <> 0
-  UNION ALL SELECT '/supplier/' || s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 302 ELSE 200 END
+  UNION ALL SELECT '/customer/' || c_custkey, 200 FROM customer WHERE c_acctbal >= 0
+  UNION ALL SELECT '/supplier/' || s_suppkey, CASE WHEN s_acctbal < 0 THEN 302 ELSE 200 END
     FROM supplier
-  UNION ALL SELECT '/order/' || o_orderkey, 200 FROM orders WHERE o_orderkey % 10 <> 0
+  UNION ALL SELECT '/order/' || o_orderkey, 200 FROM orders WHERE o_orderstatus <> 'P'
   UNION ALL SELECT '/part/' || p_partkey, 200 FROM part),
 seeds AS (
   SELECT r_regionkey::BIGINT AS job_id, '/region/' || r_regionkey AS uri FROM region
@@ -453,13 +454,13 @@ FROM r WHERE rn = 1 GROUP BY day
 UNION ALL SELECT 'crawler', crawler_id::VARCHAR, count(*), max(snapshot_ms)
 FROM r WHERE rn = 1 GROUP BY crawler_id""",
     "frontier_decisions": f"""WITH {CANDIDATES} SELECT page_id, uri,
-  CASE WHEN uri IN (SELECT uri FROM p WHERE page_id % 2 = 0) THEN 'SeenAlready'
+  CASE WHEN uri IN (SELECT uri FROM p WHERE contains(uri, '?')) THEN 'SeenAlready'
   ELSE {DECISION} END AS decision FROM k""",
     "decision_counts": f"""WITH {CANDIDATES}, x AS (SELECT site, {DECISION} AS decision FROM k)
 SELECT site, decision, count(*) AS n FROM x GROUP BY site, decision""",
     "unseen_links": f"""WITH {PAGES}, {HREFS}, {LINKS}
 SELECT DISTINCT site AS job_id, uri FROM l
-EXCEPT SELECT site, uri FROM l WHERE page_id % 2 = 0""",
+EXCEPT SELECT site, uri FROM l WHERE contains(page_uri, '?')""",
     "crawl_seeds": f"""WITH {SITES} SELECT site AS config_id, site || x AS uri, 0 AS depth
 FROM s, (SELECT unnest(['', '/fr/']) AS x) WHERE length(site) % 5 > 0""",
     "crawl_levels": f"""WITH {EDGES}, {crawl_levels(LEVEL_DEPTH, True)}
@@ -539,12 +540,14 @@ SELECT job_id, event_id, log_ms, uri, status FROM r WHERE rn = 1""",
     "retention": f"""WITH {LOG}
 SELECT job_id, event_id, log_ms FROM l WHERE log_ms >= {RETENTION_ASOF_MS} - 7 * 86400000""",
     "upsert_jobs": f"""WITH {SNAPSHOTS}, r AS (
-  SELECT *, event_id % 2 AS odd, row_number() OVER (PARTITION BY job_id, event_id % 2
-    ORDER BY snapshot_ms DESC, event_id DESC) AS rn FROM j),
-n AS (SELECT * FROM r WHERE rn = 1 AND odd = 1 AND job_id % 3 = 0)
+  SELECT *, snapshot_ms >= {MID_MONTH_MS} AS later FROM j
+  WHERE snapshot_ms < {MID_MONTH_MS} OR state = 'Completed'),
+k AS (SELECT *, row_number() OVER (PARTITION BY job_id, later
+  ORDER BY snapshot_ms DESC, event_id DESC) AS rn FROM r),
+n AS (SELECT * FROM k WHERE rn = 1 AND later)
 SELECT job_id, snapshot_ms, event_id, state, message FROM n
-UNION ALL SELECT job_id, snapshot_ms, event_id, state, message FROM r
-WHERE rn = 1 AND odd = 0 AND job_id NOT IN (SELECT job_id FROM n)""",
+UNION ALL SELECT job_id, snapshot_ms, event_id, state, message FROM k
+WHERE rn = 1 AND NOT later AND job_id NOT IN (SELECT job_id FROM n)""",
     "config_json": f"""WITH {CONFIGS} SELECT site AS crawler_id,
   CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'bot' END AS user_agent,
   CASE WHEN n % 5 = 0 THEN '' ELSE site || '|' || site || '/fr/' END AS seeds,
@@ -555,7 +558,7 @@ WHERE rn = 1 AND odd = 0 AND job_id NOT IN (SELECT job_id FROM n)""",
 FROM c""",
     "config_list": f"""WITH {SITES}
 SELECT site AS crawler_id, 'Crawl of ' || upper(site) AS crawler_name FROM s""",
-    "config_delete": f"WITH {SITES} SELECT site AS crawler_id FROM s WHERE length(site) % 3 <> 0",
+    "config_delete": f"WITH {SITES} SELECT site AS crawler_id FROM s WHERE NOT ends_with(site, '.org')",
     "job_configs": f"""WITH {PAGES} SELECT page_id, site AS crawler_id,
   'Crawl of ' || upper(site) AS crawler_name, length(site) * 2 AS max_fetches FROM p""",
     "export_json": f"""WITH {LOG} SELECT '{{"id":' || event_id || ',"jobId":' || job_id

@@ -39,6 +39,7 @@ MAX_BYTES = 4000
 RETENTION_ASOF_MS = 1_706_659_200_000
 DAY = "2024-01-15"
 LOG_RULE = {"seeds": 20, "max_queue": 30, "max_fetches": 40, "max_fail": 0.5}
+MID_MONTH_MS = 1_705_363_200_000
 LOG_TIMEOUT_MS = 10 * 24 * 60 * 60 * 1000
 MAP_DEPTH = 4
 LEVEL_DEPTH = 3
@@ -343,8 +344,8 @@ def _candidates(spark, sf):
 
 
 def frontier_decisions(spark, sf):
-    # pages of even id were fetched before
-    seen = I.page_rows(spark, sf).filter(F.col("page_id") % 2 == 0).select("uri")
+    # pages with a query were fetched by an earlier crawl
+    seen = I.page_rows(spark, sf).filter(F.col("uri").contains("?")).select("uri")
     return frontier.decide(
         _candidates(spark, sf), PAGE_RULES, _rules(spark, sf), seen=seen, seen_keys=("uri",)
     ).select("page_id", "uri", "decision")
@@ -359,9 +360,9 @@ def unseen_links(spark, sf):
     found = links.targets(_parsed(spark, sf), F.col("site").alias("job_id")).select(
         "job_id", "uri"
     ).distinct()
-    # links already met on pages of even id
-    even = I.page_rows(spark, sf).filter(F.col("page_id") % 2 == 0)
-    seen = links.targets(links.parse_pages(even), F.col("site").alias("job_id")).select(
+    # links already met on pages with a query
+    before = I.page_rows(spark, sf).filter(F.col("uri").contains("?"))
+    seen = links.targets(links.parse_pages(before), F.col("site").alias("job_id")).select(
         "job_id", "uri"
     )
     return frontier.unseen(found, seen)
@@ -526,14 +527,14 @@ def retention(spark, sf):
 
 
 def upsert_jobs(spark, sf):
-    days = I.snapshots_of(I.fetch_log(spark, sf)).select(
+    """A table written at mid-month takes in the jobs that finished afterwards."""
+    rows = I.snapshots_of(I.fetch_log(spark, sf)).select(
         "job_id", "snapshot_ms", "event_id", "state", "message"
     )
-    old = jobs.latest(days.filter(F.col("event_id") % 2 == 0), ["job_id"], ["snapshot_ms", "event_id"])
-    new = jobs.latest(
-        days.filter((F.col("event_id") % 2 == 1) & (F.col("job_id") % 3 == 0)),
-        ["job_id"], ["snapshot_ms", "event_id"],
-    )
+    later = F.col("snapshot_ms") >= MID_MONTH_MS
+    order = ["snapshot_ms", "event_id"]
+    old = jobs.latest(rows.filter(~later), ["job_id"], order)
+    new = jobs.latest(rows.filter(later & (F.col("state") == "Completed")), ["job_id"], order)
     return tables.upsert(old, new, ["job_id"])
 
 
@@ -560,7 +561,7 @@ def config_list(spark, sf):
 
 
 def config_delete(spark, sf):
-    gone = I.sites(spark, sf).filter(F.length("site") % 3 == 0).select(
+    gone = I.sites(spark, sf).filter(F.col("site").endswith(".org")).select(
         F.col("site").alias("crawler_id")
     )
     return config_source.delete_configs(_stored(spark, sf), gone).select("crawler_id")
