@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trawlspark.llm import quality
+from trawlspark.llm import langid, quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
@@ -14,7 +15,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.assess(docs).where("kept").select(docs.columns)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found without doubt."""
+    found = langid.identify(docs, langid.learn(docs.select("doc_id", "text", "lang")))
+    return found.where(~F.col("ambiguous")).select(docs.columns)
+
+
+STAGES = [("quality_rules", quality_rules), ("language_id", language_id)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
