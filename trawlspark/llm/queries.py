@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlspark.llm import langid, quality
+from trawlspark.llm import langid, mixing, quality
 from trawlspark.session import prepare
 
 
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.assess(docs, keep_text=False).select(
@@ -32,5 +36,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op4_mix_sources": op4_mix_sources,
         "op6_quality_rules": op6_quality_rules,
     }
