@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlspark.llm import langid, mixing, quality
+from trawlspark.llm import langid, mixing, neardup, quality
 from trawlspark.session import prepare
 
 
@@ -33,9 +33,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op4_mix_sources": op4_mix_sources,
         "op6_quality_rules": op6_quality_rules,
+        "op9_near_duplicates": op9_near_duplicates,
     }
