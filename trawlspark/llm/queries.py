@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlspark.llm import langid, mixing, neardup, quality
-from trawlspark.session import prepare
+from trawlspark.llm import idblocks, langid, mixing, neardup, packing, quality
+from trawlspark.llm.tokens import vocabulary_path
+from trawlspark.session import prepare, work_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = work_folder(spark, "idblocks")
+    idblocks.write_ids(docs, path, vocabulary_path("word_bpe_49k.json"), drops_space=True, end_id=2)
+    return idblocks.read_ids(spark, path)
+
+
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=1)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -40,6 +52,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_token_blocks": op2_token_blocks,
+        "op3_pack_sequences": op3_pack_sequences,
         "op4_mix_sources": op4_mix_sources,
         "op6_quality_rules": op6_quality_rules,
         "op9_near_duplicates": op9_near_duplicates,
