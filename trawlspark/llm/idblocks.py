@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trawlspark.llm.stage import ship
 from trawlspark.llm.tokens import encoder
 
 BLOCK = 512
@@ -162,6 +163,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, drops_space: bool, end
         f"shard bigint, segment bigint, start bigint, n_ids bigint, "
         f"docs array<struct<doc_id:{kind},n_tokens:bigint>>, body binary"
     )
+    ship(docs.sparkSession)
     ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
 
 
@@ -171,7 +173,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     start counts the ids of all documents before: the shard's (one row a shard is summed up) and the
     segment's.
     """
-    table = spark.read.parquet(path)
+    table = ship(spark).read.parquet(path)
     kind = table.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trawlspark.llm.stage import ship
+
 BUCKETS = 4096
 #: Most labelled rows the classifiers are fitted on, over all languages together.
 SAMPLE_ROWS = 1200
@@ -167,6 +169,7 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
                 names=["places", "shares", "lang"],
             )
 
+    ship(docs.sparkSession)
     got = sample(docs, rows).mapInArrow(vectors, "places binary, shares binary, lang string").collect()
     x = np.zeros((len(got), BUCKETS), dtype=np.float32)
     for i, r in enumerate(got):
@@ -182,6 +185,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     is no model. Only the text is read for a prediction, so repeated rows get equal results.
     """
     added = ("lang_pred", "score", "ambiguous")
+    ship(docs.sparkSession)
     docs = docs.drop(*added)
     at = docs.columns.index(text)
     schema = T.StructType(docs.schema.fields[:])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlspark.llm.stage import written
+from trawlspark.llm.stage import ship, written
 
 DEPTH = 5
 TREES = 36
@@ -289,6 +289,7 @@ def deduplicate(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     linked with nothing. Rows with a null doc_id take part; their own id never is a component_id
     unless no other is in the component. Repeated rows get the same answer.
     """
+    ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets = written(_sets(docs, width), "sets")
     classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))

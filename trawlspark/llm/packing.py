@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawlspark.llm.stage import ship
 from trawlspark.llm.tokens import encoder
 
 LIMIT = 2048
@@ -179,6 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, limit: int = LIMIT, with_
         if counts:
             yield close(batch.schema.field(0).type)
 
+    ship(docs.sparkSession)
     schema = f"doc_id {kind}, {_SCHEMA}" + (", ids array<int>" if with_ids else "")
     schema_names = ["doc_id", *[c.split()[0] for c in _SCHEMA.split(", ")], *(["ids"] if with_ids else [])]
     columns = docs.select("doc_id", "text", F.xxhash64("text").alias("__x"))

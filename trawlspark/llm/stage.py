@@ -1,11 +1,19 @@
-"""Cutting lineage between the steps of an operator."""
+"""Cutting lineage between the steps of an operator, and code for the executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import tempfile
+import zipfile
+from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+
+import trawlspark
 from trawlspark.session import work_folder
 
+_shipped: set[str] = set()
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table below the shared folder of spark.checkpoint.dir, read again.
@@ -16,3 +24,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package's source to the executors, once an application: their functions import it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(trawlspark.__file__).parent
+        target = os.path.join(tempfile.mkdtemp(prefix="ship-"), "trawlspark.zip")
+        with zipfile.ZipFile(target, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, file.relative_to(root.parent))
+        context.addPyFile(target)
+        _shipped.add(context.applicationId)
+    return spark
