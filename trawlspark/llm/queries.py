@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlspark.llm import idblocks, langid, mixing, neardup, packing, quality
+from trawlspark.llm import idblocks, langid, mixing, neardup, packing, quality, warc
 from trawlspark.llm.tokens import vocabulary_path
 from trawlspark.session import prepare, work_folder
 
@@ -37,6 +37,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(pages, work_folder(spark, "warc"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.assess(docs, keep_text=False).select(
@@ -55,6 +60,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_blocks": op2_token_blocks,
         "op3_pack_sequences": op3_pack_sequences,
         "op4_mix_sources": op4_mix_sources,
+        "op5_warc_chunks": op5_warc_chunks,
         "op6_quality_rules": op6_quality_rules,
         "op9_near_duplicates": op9_near_duplicates,
     }
