@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlspark.llm import idblocks, langid, mixing, neardup, packing, quality, warc
+from trawlspark.llm import idblocks, langid, mixing, neardup, packing, quality, topk, warc
 from trawlspark.llm.tokens import vocabulary_path
 from trawlspark.session import prepare, work_folder
 
@@ -50,6 +50,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.deduplicate(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -62,5 +66,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": op4_mix_sources,
         "op5_warc_chunks": op5_warc_chunks,
         "op6_quality_rules": op6_quality_rules,
+        "op8_top_k_search": op8_top_k_search,
         "op9_near_duplicates": op9_near_duplicates,
     }
