@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlspark.llm import idblocks, langid, mixing, neardup, packing, quality, topk, warc
+from trawlspark.llm import edits, idblocks, langid, mixing, neardup, packing, quality, topk, warc
 from trawlspark.llm.tokens import vocabulary_path
 from trawlspark.session import prepare, work_folder
 
@@ -58,6 +58,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.deduplicate(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op10_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    log = edits.derived_edits(docs.select("doc_id", "n_chars", "source"))
+    return edits.edited_counts(docs.select("doc_id", "text"), log, vocabulary_path("byte_bpe_50k.json"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -68,4 +74,5 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": op6_quality_rules,
         "op8_top_k_search": op8_top_k_search,
         "op9_near_duplicates": op9_near_duplicates,
+        "op10_edited_token_counts": op10_edited_token_counts,
     }

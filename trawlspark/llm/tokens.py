@@ -33,8 +33,13 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.drops_space = drops_space
 
-    def _split(self, text: str) -> list[str]:
-        if _ODD.search(text) if not text.isascii() else any(c in text for c in "\x1c\x1d\x1e\x1f"):
+    def whole(self, text: str) -> bool:
+        """Must the text be encoded as a whole?"""
+        return bool(_ODD.search(text)) if not text.isascii() else any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+    def pieces(self, text: str) -> list[str]:
+        """Parts that can be encoded one by one; they make up the text unless white space is dropped."""
+        if self.whole(text):
             return [text]
         return (_WORD if self.drops_space else _SPACED).findall(text)
 
@@ -47,8 +52,26 @@ class Encoder:
             for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.words[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
 
+    def learn(self, texts: list[str]) -> None:
+        """Put the words of the texts in the cache."""
+        missing = set().union(*map(self.pieces, texts)).difference(self.words)
+        if missing:
+            self._learn(missing)
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        """Number of ids of each of some pieces."""
+        missing = [p for p in pieces if p not in self.words]
+        if missing:
+            self._learn(set(missing))
+            self._learn({p for p in pieces if p not in self.words})
+        return [len(self.words[p]) >> 2 for p in pieces]
+
+    def counts_of_runs(self, runs: list[str]) -> list[int]:
+        """Number of ids of texts that each are some pieces."""
+        return [sum(self.counts(self.pieces(r))) for r in runs]
+
     def _group(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
+        split = [self.pieces(t) for t in texts]
         missing = set().union(*split).difference(self.words)
         if missing:
             size = len(self.words)
