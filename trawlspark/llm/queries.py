@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlspark.llm import edits, idblocks, langid, mixing, neardup, packing, quality, topk, warc
+from trawlspark.llm import edits, idblocks, langid, maintext, mixing, neardup, packing, quality, topk, warc
 from trawlspark.llm.tokens import vocabulary_path
 from trawlspark.session import prepare, work_folder
 
@@ -50,6 +50,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return maintext.extract(pages)
+
+
 def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +77,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": op4_mix_sources,
         "op5_warc_chunks": op5_warc_chunks,
         "op6_quality_rules": op6_quality_rules,
+        "op7_main_text": op7_main_text,
         "op8_top_k_search": op8_top_k_search,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_edited_token_counts": op10_edited_token_counts,
