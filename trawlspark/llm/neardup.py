@@ -10,7 +10,10 @@
    first of the longest run with one prefix (near the centre of a group of mutated copies).
 3. Pairs with a pivot are confirmed first. What they connect needs no further comparison, so of the
    other candidates only those between different components are confirmed, on the full sets.
-4. Components come from alternating large-star and small-star steps, cut by written tables.
+4. In dense regions the best-connected documents (hubs) are then compared with every row of the region
+   in another component, until a round finds no link: so members of a group that are linked with its
+   centre only are found too.
+5. Components come from alternating large-star and small-star steps, cut by written tables.
 
 At the similarity bound itself a pair shares no region with probability
 (1 - 0.8^DEPTH)^TREES = 6e-7, above it with less.
@@ -115,8 +118,9 @@ _PAIRS = "a bigint, b bigint, pivot boolean, region bigint, v bigint, n bigint"
 
 
 def _scan(percent: int):
-    """Candidates of sorted rows (region, deep, v, n). Rows at both ends of a task whose region may go
-    on in another task come out as (region, v, n) instead of a pair."""
+    """Candidates of sorted rows (region, deep, v, n). Rows at both ends of a task, whose region may go
+    on in another task, come out once more as (region, v, n); all rows of dense regions and of these
+    come out as (region, v, pivot)."""
 
     def pairs(region: np.ndarray, deep: np.ndarray, v: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
@@ -155,7 +159,7 @@ def _scan(percent: int):
         on = (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent) & (v[a] != v[b])
         return out(v[a[on]], v[b[on]], kind[on], None)
 
-    def out(a, b, kind, edge) -> pa.RecordBatch:
+    def out(a, b, kind, edge, dense=False) -> pa.RecordBatch:
         m = len(a)
         if edge is None:
             rest = [pa.nulls(m, pa.int64())] * 3
@@ -163,7 +167,8 @@ def _scan(percent: int):
             lead = [pa.array(low), pa.array(high), pa.array(kind)]
         else:
             m = len(edge[0])
-            lead = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_())]
+            marks = pa.array(np.ones(m, dtype=bool)) if dense else pa.nulls(m, pa.bool_())
+            lead = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), marks]
             rest = [pa.array(x) for x in edge]
         return pa.RecordBatch.from_arrays([*lead, *rest], names=["a", "b", "pivot", "region", "v", "n"])
 
@@ -176,6 +181,13 @@ def _scan(percent: int):
             on = np.unique(np.r_[on[:NEIGHBOURS], low, on[-NEIGHBOURS:]])
         return out([], [], [], (region[on], rows[2][on], rows[3][on]))
 
+    def crowded(rows: list[np.ndarray]) -> pa.RecordBatch:
+        region = rows[0]
+        start = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+        length = np.diff(np.r_[start, len(region)])
+        many = (np.repeat(length, length) > REGION) | (region == region[0]) | (region == region[-1])
+        return out([], [], [], (region[many], rows[2][many], rows[3][many]), dense=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         first = True
@@ -193,6 +205,7 @@ def _scan(percent: int):
                 yield ends(rows, last=False)
                 first = False
             yield pairs(*rows)
+            yield crowded(rows)
             # the last region goes on: all its rows if few, else its pivot and nearest rows
             on = np.flatnonzero(rows[0] == rows[0][-1])
             if len(on) > REGION:
@@ -204,6 +217,7 @@ def _scan(percent: int):
                 yield ends(rows, last=False)
             yield ends(rows, last=True)
             yield pairs(*rows)
+            yield crowded(rows)
 
     return run
 
@@ -221,16 +235,22 @@ def _across(edges: DataFrame, percent: int) -> DataFrame:
     return edges.select("region", F.col("v").alias("deep"), "v", "n").mapInArrow(go, _PAIRS).select("a", "b", "pivot")
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b, pivot), a < b, of classes (v, n, regions, deeper); written once."""
+def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b, pivot), a < b, of classes (v, n, regions, deeper), and the (region, v) of dense
+    regions; written once."""
     trees = classes.select("v", "n", F.inline(F.arrays_zip("regions", "deeper"))).select(
         F.col("regions").alias("region"), F.col("deeper").alias("deep"), "v", "n"
     )
     ordered = trees.repartitionByRange("region", "deep", "v").sortWithinPartitions("region", "deep", "v")
     found = written(ordered.mapInArrow(_scan(percent), _PAIRS), "forest")
     own = found.where("a is not null").select("a", "b", "pivot")
-    pairs = own.unionByName(_across(found.where("region is not null").select("region", "v", "n"), percent))
-    return written(pairs.groupBy("a", "b").agg(F.max("pivot").alias("pivot")), "pairs")
+    pairs = own.unionByName(_across(found.where("region is not null and pivot is null").select("region", "v", "n"), percent))
+    dense = found.where("region is not null and pivot").select("region", "v").distinct()
+    # only regions of several rows matter
+    several = dense.groupBy("region").count().where("count > 1").select("region")
+    return written(pairs.groupBy("a", "b").agg(F.max("pivot").alias("pivot")), "pairs"), written(
+        dense.join(several, "region"), "dense"
+    )
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -254,6 +274,22 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _hub_pairs(dense: DataFrame, links: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs of each dense region's rows with its two hubs: the vertex with most links, and the one
+    with most links in another component; only rows of other components."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("v"))
+    rows = dense.join(label, "v", "left").join(ends.groupBy("v").agg(F.count("*").alias("d")), "v", "left")
+    rows = written(rows.select("region", "v", F.coalesce("label", "v").alias("l"), F.coalesce("d", F.lit(0)).alias("d")), "rows")
+    found = None
+    for _ in range(2):
+        best = rows.groupBy("region").agg(F.max(F.struct("d", "v", "l")).alias("hub")).select("region", F.col("hub.v").alias("h"), F.col("hub.l").alias("hl"))
+        rows = rows.join(best, "region").where("l <> hl")
+        new = rows.select(F.least("v", "h").alias("a"), F.greatest("v", "h").alias("b"))
+        rows = rows.drop("h", "hl")
+        found = new if found is None else found.unionByName(new)
+    return found.distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex reachable, for all vertices of links (a, b).
 
@@ -297,8 +333,8 @@ def deduplicate(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     keys = ["k1", "k2"]
     members = sets.where("n > 0").join(classes, keys).where(F.col("doc_id").eqNullSafe(F.col("rep")))
     forest = written(members.dropDuplicates(keys).select("v", "n", "rep", "k1", "k2", "regions", "deeper"), "members")
-    pairs = candidates(forest.select("v", "n", "regions", "deeper"), percent)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    pairs, dense = candidates(forest.select("v", "n", "regions", "deeper"), percent)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).unionByName(dense.select("v")).distinct()
     needed = forest.join(wanted, "v").select("v", "rep", "k1", "k2")
     texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["rep"])).select("v", "k1", "k2", "text")
     texts = written(_of_class(texts, width).dropDuplicates(["v"]), "texts")
@@ -309,7 +345,14 @@ def deduplicate(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
         own = label.select(F.col("v").alias(side), F.col("label").alias(f"l{side}"))
         open_pairs = open_pairs.join(own, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
     others = confirm(open_pairs.where("la <> lb").select("a", "b"), texts, width, percent)
-    label = components(stars.unionByName(others))
+    links = written(stars.unionByName(others), "confirmed")
+    label = components(links)
+    while True:
+        more = written(confirm(_hub_pairs(dense, links, label), texts, width, percent), "hubs")
+        if more.isEmpty():
+            break
+        links = written(links.unionByName(more), "confirmed")
+        label = components(links)
     own = F.coalesce("label", "v")
     named = written(classes.join(label, "v", "left").select("k1", "k2", "rep", own.alias("label")), "named")
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
