@@ -218,3 +218,24 @@ def test_log_jobs_do_not_depend_on_the_hot_limit(spark, sf):
         assert sorted(map(str, cut.select(plain.columns).collect())) == sorted(
             map(str, plain.collect())
         )
+
+
+def test_chains_to_the_end_and_cycles(spark):
+    links = [(f"a{i}", f"a{i + 1}") for i in range(37)] + [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("x", "a30")]
+    edges = spark.createDataFrame(links, "page_uri string, uri string")
+    seeds = spark.createDataFrame([("p", "a0"), ("q", "c1"), ("q", "x"), ("r", "lone")], "job_id string, uri string")
+    got = {(r.job_id, r.uri): r.depth for r in frontier.crawl_chains(seeds, edges).collect()}
+    want = {("p", f"a{i}"): i for i in range(38)} | {("q", "c1"): 0, ("q", "c2"): 1, ("q", "c0"): 2, ("q", "x"): 0, ("r", "lone"): 0}
+    assert got == want | {("q", f"a{30 + i}"): i + 1 for i in range(8)}
+
+
+def test_repeated_responses_and_seen_rows_change_nothing(spark):
+    seeds = spark.createDataFrame([(1, "/s")], "job_id bigint, uri string")
+    edges = spark.createDataFrame([("/s", "/a"), ("/s", "/b")], "page_uri string, uri string")
+    replies = spark.createDataFrame([("/s", 200), ("/s", 200), ("/a", 200), ("/a", 200)], "uri string, status int")
+    rows = frontier.crawl(seeds, edges, replies, 2).collect()
+    assert sorted((r.uri, r.pos, r.status) for r in rows) == [("/a", 2, 200), ("/b", 3, 404), ("/s", 1, 200)]
+    found = spark.createDataFrame([(1, "http://k.example/a", "http", "/a", "http://k.example", "bot")],
+                                  "job_id bigint, uri string, scheme string, path string, site string, user_agent string")
+    seen = found.select("job_id", "uri").union(found.select("job_id", "uri"))
+    assert [r.decision for r in frontier.decide(found, [(True, "http")], seen=seen).collect()] == [frontier.SEEN]

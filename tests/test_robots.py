@@ -4,33 +4,27 @@ from pyspark.sql import functions as F
 from trawlspark.functions.robots import allowed, parse_line
 from trawlspark.operators import robots
 
-TWO = """User-agent: *
-Disallow: /abc
 
-User-agent: other
-Disallow: /never
 
-User-agent: custom_agent
-Sitemap: http://site.com/sitemap.xml
-Disallow: /abc
-Disallow: /def
-Allow: /gh
-Host: www.site.com
-"""
-LAST = """User-agent: custom_agent
-Disallow: /abc
+def record(agent, *lines):
+    return "\n".join([f"User-agent: {agent}", *lines]) + "\n"
 
-User-agent: other
-Disallow: /never
 
-User-agent: *
-Disallow: /jkl
-"""
+# records of three agents; those of the asking agent and of everyone count, in file order
+MIXED = "\n".join([
+    record("finch", "Allow: /seed", "Disallow: /nest"),
+    record("heron", "Disallow: /pond"),
+    record("*", "Disallow: /moor", "Sitemap: https://birds.example/map", "Host: birds.example"),
+])
+GENERAL_FIRST = "\n".join([record("*", "Disallow: /moor", "Allow: /reed"), record("finch", "Disallow: /moor")])
 
 PARSED = [
-    ("custom_agent", TWO, ["/gh"], ["/abc", "/abc", "/def"], ["http://site.com/sitemap.xml"],
-     ["www.site.com"], None),
-    ("custom_agent", LAST, [], ["/abc", "/jkl"], [], [], None),
+    ("finch", MIXED, ["/seed"], ["/nest", "/moor"], ["https://birds.example/map"], ["birds.example"], None),
+    ("heron", MIXED, [], ["/pond", "/moor"], ["https://birds.example/map"], ["birds.example"], None),
+    ("finch", GENERAL_FIRST, ["/reed"], ["/moor", "/moor"], [], [], None),
+    # control characters inside a line start no record
+    ("bot", "User-agent: other\nDisallow: /a\x01*\nDisallow: /", [], [], [], [], None),
+    ("bot", "User-agent: bot\nDisallow: /a\x02b\x01", [], ["/ab"], [], [], None),
     ("nobody", "User-agent: a\nDisallow: x\n", [], [], [], [], None),
     ("a", "User-agent: a\r\nCrawl-delay: 2\r\nDisallow: x", [], ["x"], [], [], 2000),
     ("a", "User-agent: a\nCrawl-delay: 1.5\nCrawl-delay: 9", [], [], [], [], 1500),

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .html import CSS_ELEMENT
-from .lang import let
+from .html import BRACKETS, CSS_ELEMENT, address
+from .lang import joined, let
 
-# Fixed value: pattern of a URL function in a style sheet.
-CSS_URL = r"""(?s)(?i)url\s*\(\s*["']?(.*?)["']?\s*\)"""
+CSS_URL = rf"(?i)url{BRACKETS}"
+
+
+def without_comments(css: Column) -> Column:
+    """What is left of each part between comment starts; an unclosed comment reaches to the end."""
+    return joined(
+        F.transform(
+            F.split(css, r"/\*"),
+            lambda part, i: F.when(i == 0, part)
+            .when(F.locate("*/", part) > 0, F.substring(part, F.locate("*/", part) + 2, F.length(part)))
+            .otherwise(""),
+        )
+    )
 
 
 def css_links(css: Column) -> Column:
@@ -18,13 +29,13 @@ def css_links(css: Column) -> Column:
     An illegal URL is reported with its whole ``url(...)`` text.
     """
     return let(
-        F.regexp_replace(css, r"(?s)/\*.*?\*/", ""),
+        without_comments(css),
         lambda text: F.zip_with(
             F.regexp_extract_all(text, F.lit(CSS_URL), F.lit(0)),
             F.regexp_extract_all(text, F.lit(CSS_URL), F.lit(1)),
             lambda whole, url: F.struct(
                 F.lit(CSS_ELEMENT).alias("element"),
-                url.alias("uri_attribute"),
+                address(url).alias("uri_attribute"),
                 F.lit("").alias("link_text"),
                 F.lit(False).alias("no_follow"),
                 whole.alias("source"),

@@ -7,7 +7,7 @@ back-tracking can occur on hostile input. Whole texts are read.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,8 +21,10 @@ URL_ATTRIBUTES = ["href", "src", "cite", "data"]
 # Fixed value: element name given to links found in style sheets.
 CSS_ELEMENT = "css_url"
 
-# Fixed value: pattern of an import inside a style element.
-CSS_IMPORT = r"""(?si)@import\s+url\s*\(\s*(["']?)(.*?)\1\s*\)"""
+# The bracketed address of a URL function in a style sheet, quoted or without brackets and quotes.
+# All repeats are possessive and end where the next function begins, so any text is passed once.
+BRACKETS = r"""\s*+\(\s*+("[^"]*+"|'[^']*+'|[^()"']*+)\s*+\)"""
+CSS_IMPORT = rf"(?i)@import\s++url{BRACKETS}"
 
 # links before resolution; ``source`` is the text reported when the URL is illegal
 RAW_LINK_TYPE = (
@@ -95,25 +97,35 @@ def value_of(items: Column, name: str) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Decode numeric and named (HTML 4) character references ending in ``;``."""
+    """Decode character references by the rules of HTML 5.
+
+    Numbers have any length; names are those of HTML 5, and the old ones among them need no semicolon
+    unless a letter, digit or equals sign follows.
+    """
     # one text literal keeps the plan small; Spark folds it to a map once
-    table = "\n".join(f"{name}\t{chr(code)}" for name, code in name2codepoint.items())
-    names = F.str_to_map(F.lit(table), F.lit("\n"), F.lit("\t"))
+    closed = "\n".join(f"{n[:-1]}\t{v}" for n, v in html5.items() if n.endswith(";") and "\n" not in v and "\t" not in v)
+    names = F.str_to_map(F.lit(closed), F.lit("\n"), F.lit("\t"))
+    old = "\n".join(f"{n}\t{v}" for n, v in html5.items() if not n.endswith(";"))
+    old_names = F.str_to_map(F.lit(old), F.lit("\n"), F.lit("\t"))
 
-    def code_point(number: Column) -> Column:
+    def code_point(digits: Column, base: int) -> Column:
+        number = F.when(F.length(digits) <= 8, F.conv(digits, base, 10).cast("bigint"))
         ok = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
 
     def piece(p: Column) -> Column:
-        ref = F.regexp_extract(p, r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);", 1)
-        number = F.when(
-            ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 10), 16, 10).cast("bigint")
-        ).when(ref.startswith("#"), F.substring(ref, 2, 10).cast("bigint"))
-        char = F.when(ref.startswith("#"), code_point(number)).otherwise(
-            F.try_element_at(names, ref)
+        ref = F.regexp_extract(p, r"^(#[0-9]++;?+|#[xX][0-9a-fA-F]++;?+|[A-Za-z][A-Za-z0-9]*+;?+)", 1)
+        bare = F.rtrim(ref, F.lit(";"))
+        digits = F.regexp_replace(bare, "^#[xX]?0*+", "")
+        follows = F.substring(p, F.length(ref) + 1, F.lit(1))
+        char = (
+            F.when(bare.rlike("^#[xX]"), code_point(digits, 16))
+            .when(bare.startswith("#"), code_point(digits, 10))
+            .when(F.endswith(ref, F.lit(";")), F.try_element_at(names, bare))
+            .when(follows != "=", F.try_element_at(old_names, bare))
         )
         return F.when(
-            char.isNotNull(), F.concat(char, F.substring(p, F.length(ref) + 2, F.length(p)))
+            char.isNotNull(), F.concat(char, F.substring(p, F.length(ref) + 1, F.length(p)))
         ).otherwise(F.concat(F.lit("&"), p))
 
     return F.when(
@@ -244,11 +256,16 @@ def html_links(tags: Column, page_nofollow: Column) -> Column:
     return F.flatten(F.transform(tags, of_tag))
 
 
+def address(inside: Column) -> Column:
+    """What stands in the brackets, without quotes and white space around it."""
+    return squeeze(F.regexp_replace(squeeze(inside), r"^[\"']|[\"']$", ""))
+
+
 def import_links(html: Column) -> Column:
     urls = F.flatten(
         F.transform(
             F.regexp_extract_all(html, F.lit(_STYLE), F.lit(2)),
-            lambda css: F.regexp_extract_all(css, F.lit(CSS_IMPORT), F.lit(2)),
+            lambda css: F.transform(F.regexp_extract_all(css, F.lit(CSS_IMPORT), F.lit(1)), address),
         )
     )
     return F.when(

@@ -64,7 +64,8 @@ def parse_robots(body: Column, agent: Column) -> Column:
             )
         )
 
-    lines = F.transform(F.split(body, "\r?\n"), clean_line)
+    # the marks below may not come from the file itself
+    lines = F.transform(F.split(F.translate(body, mark + off, ""), "\r?\n"), clean_line)
     blocks = F.split(F.array_join(F.transform(lines, tagged), ""), mark)
 
     def active(block: Column) -> Column:

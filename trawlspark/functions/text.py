@@ -6,15 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Units of sizes, by thousands.
+_UNITS = ["kB", "MB", "GB", "TB", "PB", "EB"]
+
+
 def format_bytes(n: Column) -> Column:
-    exp = F.floor(F.log(n.cast("double")) / F.log(F.lit(1000.0))).cast("int")
-    return F.when(n < 1000, F.concat(n.cast("string"), F.lit(" b "))).otherwise(
-        F.format_string(
-            "%.1f %sB",
-            n.cast("double") / F.pow(F.lit(1000.0), exp),
-            F.substring(F.lit("kMGTPE"), exp, F.lit(1)),
-        )
-    )
+    """Bytes below 1,000 as they are, else one decimal in the largest unit that the size reaches."""
+    out = F.concat(n.cast("string"), F.lit(" b "))
+    for power, unit in enumerate(_UNITS, start=1):
+        size = 10 ** (3 * power)
+        out = F.when(n >= size, F.format_string(f"%.1f {unit}", n.cast("double") / float(size))).otherwise(out)
+    return out
 
 
 def format_elapsed(ms: Column) -> Column:

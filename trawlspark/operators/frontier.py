@@ -29,9 +29,9 @@ OKAY = "OkayToFetch"
 
 SCHEMES = ["http", "https"]
 
-# a level of at most this many counted rows is broadcast to the edges; larger ones
+# a level of at most this many counted bytes is broadcast to the edges; larger ones
 # are shuffled to their buckets
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 # union plans of more seen levels than this are replaced by one checkpoint
 SEEN_LEVELS = 8
@@ -53,21 +53,25 @@ def decide(
     candidates share.
 
     Cheap tests come first: a candidate that is seen, of another scheme or
-    rejected by the filter has a null join key and never meets the robots join.
+    rejected by the filter gets a join key that no site has, spread by its URI, and
+    never meets the robots rules. Repeated keys of ``seen`` count once.
     """
     uri = F.col("uri")
     accepted = rules(uri) if callable(rules) else accepts(uri, rules, kind)
     early = F.when(~F.col("scheme").isin(*SCHEMES), UNSUPPORTED).when(~accepted, REJECTED)
     out = candidates
     if seen is not None:
-        marks = seen.select(*seen_keys).withColumn("_seen", F.lit(True))
+        marks = seen.select(*seen_keys).distinct().withColumn("_seen", F.lit(True))
         out = out.join(marks, list(seen_keys), "left")
         early = F.when(F.col("_seen"), SEEN).otherwise(early)
     out = out.select("*", F.inline(F.array(F.struct(early.alias("_early"))))).drop("_seen")
     if robots is None:
         return out.withColumn("decision", F.coalesce("_early", F.lit(OKAY))).drop("_early")
     asked = out.withColumn("_site", F.col("site")).withColumn(
-        "site", F.when(F.col("_early").isNull(), F.col("site"))
+        "site",
+        F.when(F.col("_early").isNull(), F.col("site")).otherwise(
+            F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("uri"), F.lit(4096)).cast("string"))
+        ),
     )
     return (
         with_rules(asked, robots, "allows", "disallows")
@@ -102,7 +106,12 @@ def unseen(candidates: DataFrame, seen: DataFrame, keys=("job_id", "uri")) -> Da
 
 def look_up(level: DataFrame, responses: DataFrame) -> DataFrame:
     """Status of each URI from stored responses; missing ones count as 404."""
-    return missing_as_404(level.join(responses.select("uri", "status"), "uri", "left"))
+    return missing_as_404(level.join(one_response(responses), "uri", "left"))
+
+
+def one_response(responses: DataFrame) -> DataFrame:
+    """One status a URI; of several stored ones the smallest counts."""
+    return responses.groupBy("uri").agg(F.min("status").alias("status"))
 
 
 def missing_as_404(looked_up: DataFrame) -> DataFrame:
@@ -134,7 +143,7 @@ def crawl(
     graph = lay_out(
         edges.select("page_uri", F.col("uri").alias("_to")), "page_uri", "_to", hot_rows
     )
-    stored = None if responses is None else lay_out(responses.select("uri", "status"), "uri")
+    stored = None if responses is None else lay_out(one_response(responses), "uri")
 
     def placed(fresh: DataFrame, previous: DataFrame | None, largest: int) -> DataFrame:
         """Queue places: after the job's earlier levels, by (parent_pos, uri)."""
@@ -159,54 +168,87 @@ def crawl(
     seen: list[DataFrame] = []
     spent: DataFrame | None = None
     depth = 0
+    try:
+        while True:
+            fresh = (keep(fresh) if keep else fresh).select(
+                "job_id",
+                "uri",
+                F.lit(depth).alias("depth"),
+                F.col("parent_pos").cast("bigint").alias("parent_pos"),
+            ).checkpoint()
+            sizes = fresh.groupBy("job_id").agg(
+                F.count("*").alias("n"), F.sum(F.octet_length("uri") + 64).alias("b")
+            )
+            largest, size = sizes.agg(F.max("n"), F.sum("b")).first()
+            if depth > 0 and not largest:
+                break
+            level = placed(fresh, levels[-1] if levels else None, largest or 0)
+            level = (
+                level.withColumn("status", F.lit(200))
+                if stored is None
+                else missing_as_404(stored.join(level, "left"))
+            )
+            level = level.select("job_id", "uri", "depth", "parent_pos", "pos", "status").checkpoint()
+            levels.append(level)
+            if depth >= max_depth or not largest:
+                break
+            if len(seen) >= SEEN_LEVELS:
+                seen = [reduce(DataFrame.unionByName, seen).checkpoint()]
+            seen.append(level.select("job_id", "uri"))
+            parents = level.filter(is_success(F.col("status")))
+            if max_fetches is not None:
+                fetched_well = parents.groupBy("job_id").agg(F.count("*").alias("_ok"))
+                if spent is not None:
+                    fetched_well = (
+                        fetched_well.unionByName(spent).groupBy("job_id").agg(F.sum("_ok").alias("_ok"))
+                    )
+                spent = fetched_well.checkpoint()
+                open_jobs = spent.filter(F.col("_ok") < max_fetches).select("job_id")
+                parents = parents.join(open_jobs, "job_id", "left_semi")
+            parents = parents.select(
+                "job_id", F.col("uri").alias("page_uri"), F.col("pos").alias("_p")
+            )
+            found = (
+                graph.join(F.broadcast(parents) if size <= BROADCAST_BYTES else parents)
+                .groupBy("job_id", F.col("_to").alias("uri"))
+                .agg(F.min("_p").alias("parent_pos"))
+            )
+            fresh = unseen(found, reduce(DataFrame.unionByName, seen))
+            depth += 1
+    finally:
+        for layout in (graph, stored):
+            if layout is not None:
+                layout.drop()
+    return reduce(DataFrame.unionByName, levels)
+
+
+def crawl_chains(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(job_id, uri, depth) of crawls over pages with one link each, to the end of every chain.
+
+    ``seeds``: job_id, uri. ``edges``: page_uri, uri; of several links of a page the
+    smallest counts. Round k reaches what lies up to 2^k steps further and then
+    doubles the steps, so a chain of n pages takes log n rounds instead of n levels.
+    Cycles end by themselves: a URI keeps its smallest depth.
+    """
+    reached = seeds.select("job_id", "uri", F.lit(0).alias("depth")).dropDuplicates().checkpoint()
+    jump = edges.groupBy("page_uri").agg(F.min("uri").alias("_to")).checkpoint()
+    step, known = 1, reached.count()
     while True:
-        fresh = (keep(fresh) if keep else fresh).select(
-            "job_id",
-            "uri",
-            F.lit(depth).alias("depth"),
-            F.col("parent_pos").cast("bigint").alias("parent_pos"),
-        ).checkpoint()
-        sizes = fresh.groupBy("job_id").agg(F.count("*").alias("n"))
-        largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
-        if depth > 0 and not largest:
-            break
-        level = placed(fresh, levels[-1] if levels else None, largest or 0)
-        level = (
-            level.withColumn("status", F.lit(200))
-            if stored is None
-            else missing_as_404(stored.join(level, "left"))
+        ahead = reached.join(jump, reached["uri"] == jump["page_uri"]).select(
+            "job_id", F.col("_to").alias("uri"), (F.col("depth") + step).alias("depth")
         )
-        level = level.select("job_id", "uri", "depth", "parent_pos", "pos", "status").checkpoint()
-        levels.append(level)
-        if depth >= max_depth or not largest:
-            break
-        if len(seen) >= SEEN_LEVELS:
-            seen = [reduce(DataFrame.unionByName, seen).checkpoint()]
-        seen.append(level.select("job_id", "uri"))
-        parents = level.filter(is_success(F.col("status")))
-        if max_fetches is not None:
-            fetched_well = parents.groupBy("job_id").agg(F.count("*").alias("_ok"))
-            if spent is not None:
-                fetched_well = (
-                    fetched_well.unionByName(spent).groupBy("job_id").agg(F.sum("_ok").alias("_ok"))
-                )
-            spent = fetched_well.checkpoint()
-            open_jobs = spent.filter(F.col("_ok") < max_fetches).select("job_id")
-            parents = parents.join(open_jobs, "job_id", "left_semi")
-        parents = parents.select(
-            "job_id", F.col("uri").alias("page_uri"), F.col("pos").alias("_p")
+        reached = (
+            reached.unionByName(ahead)
+            .groupBy("job_id", "uri")
+            .agg(F.min("depth").alias("depth"))
+            .checkpoint()
         )
-        found = (
-            graph.join(F.broadcast(parents) if rows <= BROADCAST_ROWS else parents)
-            .groupBy("job_id", F.col("_to").alias("uri"))
-            .agg(F.min("_p").alias("parent_pos"))
-        )
-        fresh = unseen(found, reduce(DataFrame.unionByName, seen))
-        depth += 1
-    for layout in (graph, stored):
-        if layout is not None:
-            layout.drop()
-    return reduce(DataFrame.unionByName, levels)
+        now = reached.count()
+        if now == known:
+            return reached
+        known, step = now, 2 * step
+        onward = jump.select(F.col("page_uri").alias("_to"), F.col("_to").alias("_next"))
+        jump = jump.join(onward, "_to").select("page_uri", F.col("_next").alias("_to")).checkpoint()
 
 
 def with_progress(crawled: DataFrame, hot_rows: int | None = None) -> DataFrame:

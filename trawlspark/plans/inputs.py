@@ -258,14 +258,14 @@ def journal_events_of(events: DataFrame) -> DataFrame:
     )
 
 
+def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of part files."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet")
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of files."""
-    schema = table(spark, sf, "events").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events*.parquet")
-        .parquet(sf)
-    )
+    return table_stream(spark, sf, "events")
 
 
 def site_map(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from .queries import (
     BUDGETS,
-    CHAIN_DEPTH,
     DAY,
     LEVEL_DEPTH,
     LOG_RULE,
@@ -478,8 +477,7 @@ SELECT job_id, CASE WHEN status BETWEEN 200 AND 299 THEN 'success'
 GROUP BY 1, 2""",
     "crawl_chain": f"""WITH {PAGES}, r AS (
   SELECT site, page_id, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS d FROM p)
-SELECT site AS job_id, site || '/page/' || page_id AS uri, d::INT AS depth FROM r
-WHERE d <= {CHAIN_DEPTH}""",
+SELECT site AS job_id, site || '/page/' || page_id AS uri, d::INT AS depth FROM r""",
     "fetch_counters": FETCH_COUNTERS,
     "response_counters": f"""WITH {LOG}
 SELECT job_id, status::VARCHAR AS status_code, count(*) AS responses FROM l GROUP BY 1, 2""",
@@ -562,7 +560,7 @@ SELECT site AS crawler_id, 'Crawl of ' || upper(site) AS crawler_name FROM s""",
     "job_configs": f"""WITH {PAGES} SELECT page_id, site AS crawler_id,
   'Crawl of ' || upper(site) AS crawler_name, length(site) * 2 AS max_fetches FROM p""",
     "export_json": f"""WITH {LOG} SELECT '{{"id":' || event_id || ',"jobId":' || job_id
-  || ',"logTime":"' || strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000') || 'Z","uri":"'
+  || ',"logTime":"' || strftime(ts + to_milliseconds(event_id % 1000), '%Y-%m-%dT%H:%M:%S.%g') || '+0000","uri":"'
   || uri || '","statusCode":' || status
   || coalesce(',"contentType":"' || content_type || '"', '') || '}}' AS json FROM l""",
     "journal_log": f"""WITH {LOG} SELECT job_id, event_id, uri, status::BIGINT AS status, log_ms

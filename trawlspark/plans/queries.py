@@ -43,7 +43,6 @@ MID_MONTH_MS = 1_705_363_200_000
 LOG_TIMEOUT_MS = 10 * 24 * 60 * 60 * 1000
 MAP_DEPTH = 4
 LEVEL_DEPTH = 3
-CHAIN_DEPTH = 3
 BUDGETS = {
     "fetches": (1_000_000_000, 700, 1.1),
     "queue": (300, 1_000_000_000, 1.1),
@@ -419,7 +418,7 @@ def crawl_fetched(spark, sf):
 
 def crawl_chain(spark, sf):
     seeds, edges = I.chains(spark, sf)
-    return frontier.crawl(seeds, edges, None, CHAIN_DEPTH).select("job_id", "uri", "depth")
+    return frontier.crawl_chains(seeds, edges)
 
 
 # --- fetch log --------------------------------------------------------------------
@@ -581,7 +580,7 @@ def export_json(spark, sf):
     rows = I.fetch_log(spark, sf).select(
         F.col("event_id").alias("id"),
         F.col("job_id").alias("jobId"),
-        F.date_trunc("second", "log_time").alias("logTime"),
+        (F.col("log_time") + F.make_dt_interval(secs=(F.col("event_id") % 1000) / 1000)).alias("logTime"),
         "uri",
         F.col("status").alias("statusCode"),
         F.col("content_type").alias("contentType"),
@@ -665,11 +664,7 @@ def seen_stream(spark, sf):
 
 def decided_stream(spark, sf):
     folder = work_folder(spark, "decided")
-    pages = (
-        spark.readStream.schema(I.pages(spark, sf).schema)
-        .option("pathGlobFilter", "pages*.parquet")
-        .parquet(sf)
-    )
+    pages = I.table_stream(spark, sf, "pages")
     uris = canonicalize(pages).select("page_id", "uri", "scheme", "path", "site").withColumn(
         "user_agent", F.lit(I.AGENT)
     )

@@ -13,7 +13,7 @@ CONFIG_SCHEMA = (
 )
 
 # Fixed value: format of dates in JSON.
-JSON_DATE = "yyyy-MM-dd'T'HH:mm:ss.SSSXX"
+JSON_DATE = "yyyy-MM-dd'T'HH:mm:ss.SSSxx"
 
 
 def parse_configs(crawlers: DataFrame, text: str = "config_json") -> DataFrame:
