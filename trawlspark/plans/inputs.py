@@ -259,9 +259,13 @@ def journal_events_of(events: DataFrame) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table as a stream of its files, be it one file or a folder of part files."""
+    """A table as a stream of its files, be it one file or a folder of part files.
+
+    The path is given as a pattern that only the table matches: a stream takes a
+    plain path for a folder and would refuse a single file.
+    """
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet")
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:

@@ -447,6 +447,27 @@ SELECT page_id, content_type, coalesce(starts_with(content_type, 'text/html'), f
   CASE WHEN page_id % 3 > 0 THEN 'text/html' ELSE 'undefined' END AS content_type,
   (page_id % 4)::INT AS depth, '200' AS response_status, page_id * 1000 AS fetched_ms,
   strlen(html) AS content_length, strlen(html) AS stored_bytes FROM p""",
+    "document_read": f"""WITH {PAGES}, d AS (SELECT 'job-' || (page_id % 7) AS job_id, uri,
+  CASE WHEN page_id % 3 > 0 THEN 'text/html' ELSE 'undefined' END AS content_type,
+  strlen(html) AS stored_bytes FROM p WHERE page_id % 7 IN (2, 5)),
+k AS (SELECT job_id, min(uri) AS uri FROM d WHERE contains(uri, '?') GROUP BY job_id)
+SELECT job_id, uri, content_type, stored_bytes FROM d JOIN k USING (job_id, uri)""",
+    "metadata_read": f"""WITH {PAGES} SELECT 'job-3' AS job_id, uri, (page_id % 4)::INT AS depth,
+  page_id * 1000 AS fetched_ms, '200' AS response_status FROM p WHERE page_id % 7 = 3""",
+    "log_read": f"""WITH {LOG} SELECT job_id, event_id, log_ms, uri, status FROM l
+WHERE job_id = (SELECT max_by(job_id, event_id) FROM l)""",
+    "jobs_of_crawler": f"""WITH {DAILY} SELECT job_id, created_ms, snapshot_ms, state, message
+FROM r WHERE rn = 1 AND crawler_id = 3""",
+    "jobs_json": f"""WITH {DAILY} SELECT '{{"jobId":' || job_id || ',"crawlerId":' || crawler_id
+  || ',"createdDate":"' || strftime(make_timestamp(created_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g')
+  || '+0000","snapshotDate":"'
+  || strftime(make_timestamp((snapshot_ms + event_id % 1000) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || '+0000"'
+  || coalesce(',"finishedDate":"' || strftime(make_timestamp(finished_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || '+0000"', '')
+  || ',"state":"' || state || '","message":"' || message || '"}}' AS json FROM r WHERE rn = 1""",
+    "metadata_json": f"""WITH {PAGES} SELECT '{{"crawlerId":"crawler","jobId":"job-' || (page_id % 7)
+  || '","uri":"' || uri || '","contentType":"' || CASE WHEN page_id % 3 > 0 THEN 'text/html' ELSE 'undefined' END
+  || '","contentLength":' || strlen(html) || ',"depth":' || (page_id % 4) || ',"fetched":"'
+  || strftime(make_timestamp(page_id * 1000000), '%Y-%m-%dT%H:%M:%S.%g') || '+0000","responseStatus":"200"}}' AS json FROM p""",
     "jobs_tables": f"""WITH {DAILY}
 SELECT 'day' AS layout, day::VARCHAR AS key, count(*) AS n, max(snapshot_ms) AS newest_ms
 FROM r WHERE rn = 1 GROUP BY day

@@ -267,7 +267,8 @@ def response_fields(spark, sf):
 # --- tables -----------------------------------------------------------------------
 
 
-def document_tables(spark, sf):
+def _document_tables(spark, sf) -> str:
+    """Write the document and metadata tables; returns their folder."""
     folder = work_folder(spark, "documents")
     rows = I.page_rows(spark, sf).select(
         F.lit("crawler").alias("crawler_id"),
@@ -282,6 +283,11 @@ def document_tables(spark, sf):
     )
     tables.write_documents(tables.document_rows(rows), f"{folder}/document", "overwrite")
     tables.write_metadata(tables.metadata_rows(rows), f"{folder}/metadata", "overwrite")
+    return folder
+
+
+def document_tables(spark, sf):
+    folder = _document_tables(spark, sf)
     docs = spark.read.parquet(f"{folder}/document").drop("job_bucket")
     meta = spark.read.parquet(f"{folder}/metadata").drop("job_bucket")
     return docs.join(
@@ -294,6 +300,74 @@ def document_tables(spark, sf):
     )
 
 
+def document_read(spark, sf):
+    """Point read of each job's document with the smallest URI that has a query."""
+    folder = _document_tables(spark, sf)
+    keys = (
+        spark.read.parquet(f"{folder}/document")
+        .filter(F.col("job_id").isin("job-2", "job-5") & F.contains("uri", F.lit("?")))
+        .groupBy("job_id")
+        .agg(F.min("uri"))
+        .collect()
+    )
+    found = [tables.find_document(spark, f"{folder}/document", job, uri) for job, uri in keys]
+    rows = reduce(DataFrame.unionByName, found) if found else spark.read.parquet(f"{folder}/document").limit(0)
+    return rows.select("job_id", "uri", "content_type", F.octet_length("content").cast("bigint").alias("stored_bytes"))
+
+
+def metadata_read(spark, sf):
+    folder = _document_tables(spark, sf)
+    return tables.metadata_of_job(spark, f"{folder}/metadata", "job-3").select(
+        "job_id", "uri", "depth", F.unix_millis("fetched").alias("fetched_ms"), "response_status"
+    )
+
+
+def log_read(spark, sf):
+    """Log of the job that fetched last, newest first."""
+    folder = work_folder(spark, "log")
+    log = I.fetch_log(spark, sf)
+    tables.write_log(log, folder, "overwrite")
+    job = log.agg(F.max_by("job_id", "event_id")).first()[0]
+    return tables.log_of_job(spark, folder, job).select("job_id", "event_id", "log_ms", "uri", "status")
+
+
+def jobs_of_crawler(spark, sf):
+    folder = work_folder(spark, "jobs")
+    rows = jobs.latest(
+        I.snapshots_of(I.fetch_log(spark, sf)), ["job_id", "partition_date"], ["snapshot_ms", "event_id"]
+    )
+    tables.write_jobs(rows, f"{folder}/by_date", f"{folder}/by_crawler", "overwrite")
+    return jobs.jobs_of_crawler(spark.read.parquet(f"{folder}/by_crawler"), 3).select(
+        "job_id", "created_ms", "snapshot_ms", "state", "message"
+    )
+
+
+def jobs_json(spark, sf):
+    """Latest state of each job as JSON, dates with milliseconds and zone."""
+    rows = jobs.latest(
+        I.snapshots_of(I.fetch_log(spark, sf)), ["job_id", "partition_date"], ["snapshot_ms", "event_id"]
+    ).select(
+        F.col("job_id").alias("jobId"),
+        F.col("crawler_id").alias("crawlerId"),
+        F.timestamp_millis("created_ms").alias("createdDate"),
+        F.timestamp_millis(F.col("snapshot_ms") + F.col("event_id") % 1000).alias("snapshotDate"),
+        F.timestamp_millis("finished_ms").alias("finishedDate"),
+        "state",
+        "message",
+    )
+    return config_source.rows_as_json(rows)
+
+
+def metadata_json(spark, sf):
+    folder = _document_tables(spark, sf)
+    rows = spark.read.parquet(f"{folder}/metadata").select(
+        F.col("crawler_id").alias("crawlerId"), F.col("job_id").alias("jobId"), "uri",
+        F.col("content_type").alias("contentType"), F.col("content_length").alias("contentLength"),
+        "depth", "fetched", F.col("response_status").alias("responseStatus"),
+    )
+    return config_source.rows_as_json(rows)
+
+
 def jobs_tables(spark, sf):
     folder = work_folder(spark, "jobs")
     rows = jobs.latest(
@@ -712,7 +786,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "broken_links": broken_links,
     "response_fields": response_fields,
     "document_tables": document_tables,
+    "document_read": document_read,
+    "metadata_read": metadata_read,
+    "log_read": log_read,
     "jobs_tables": jobs_tables,
+    "jobs_of_crawler": jobs_of_crawler,
+    "jobs_json": jobs_json,
+    "metadata_json": metadata_json,
     "frontier_decisions": frontier_decisions,
     "decision_counts": decision_counts,
     "unseen_links": unseen_links,
