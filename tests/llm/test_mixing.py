@@ -67,7 +67,7 @@ def test_at_most_one_document_of_a_source_is_cut(spark):
 def test_tilt_changes_documents_not_words(spark):
     rows = [(i, "ab"[i % 2], "w " * 10, 50.0 if i % 4 == 1 else 1.0) for i in range(400)]
     docs = spark.createDataFrame(rows, SCHEMA + ", likes double")
-    even, tilted = mixing.mix(docs), mixing.mix(docs, tilt="likes")
+    even, tilted = mixing.mix(docs, share=1.2), mixing.mix(docs, share=1.2, tilt="likes")
     words = [r.groupBy("source").sum("taken").orderBy("source").collect() for r in (even, tilted)]
     assert words[0] == words[1]
     liked = [r.where("doc_id % 4 = 1 and source = 'b'").selectExpr("sum(taken)").first()[0] for r in (even, tilted)]

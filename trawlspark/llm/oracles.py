@@ -1,5 +1,48 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
+MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS u
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight,
+    2.0 * source_size AS bound, 1.5 * sum(source_size) OVER () AS wanted FROM s
+), f AS (
+  SELECT *, (wanted - coalesce(sum(bound) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+    row_number() OVER (ORDER BY bound / weight, source NULLS LAST) AS k FROM w
+), g AS (
+  SELECT source, source_size, CASE WHEN bound <= l * weight THEN bound ELSE l * weight END AS target
+  FROM f, (SELECT coalesce(arg_min(level, k) FILTER (bound / weight > level), max(bound / weight)) AS l FROM f)
+), h AS (
+  SELECT *, floor(target / greatest(source_size, 1))::BIGINT AS whole FROM g
+), n AS (
+  SELECT *, greatest(round(target)::BIGINT - whole * source_size, 0) AS need FROM h
+), t AS (
+  SELECT d.doc_id, d.source, d.size, n.source_size, n.target, n.whole, n.need,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before
+  FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+)
+SELECT doc_id, source, size, source_size, target, (whole * size + greatest(least(size, need - before), 0))::BIGINT AS taken FROM t
+"""
+
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS winner FROM p
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (1 + ((('0x' || substr(h, (1 + 5 * (k // 4))::BIGINT, 5))::BIGINT >> (5 * (3 - k % 4))::BIGINT) & 31))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> winner THEN winner END AS refers_to
+FROM r
+"""
+
 TOP_K = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
@@ -14,4 +57,107 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op8_top_k_search": TOP_K}
+NEAR = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d
+), e AS (
+  SELECT doc_id, len(g)::BIGINT AS n, unnest(g) AS g FROM x
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+    AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, k.b FROM reach r JOIN both_ways k ON r.b = k.a
+), c AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM x JOIN c USING (doc_id)
+"""
+
+
+def _quality() -> str:
+    from trawlspark.llm import quality
+
+    words = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.COMMON_WORDS))
+    left, steps, sizes = "t", [], []
+    for name, pattern in quality.CLASSES:
+        pattern = pattern.replace("'", "''")
+        steps.append(f"regexp_replace({left}, '{pattern}', '', 'g') AS r_{name}")
+        sizes.append(f"length({left}) - length(r_{name})")
+        left = f"r_{name}"
+    sizes.append(f"length({left})")
+    chain, before = "", "d"
+    for i, step in enumerate(steps):
+        chain += f"e{i} AS (SELECT *, {step} FROM {before}),\n"
+        before = f"e{i}"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, lang, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), {chain}
+c AS (
+  SELECT row_id, doc_id, lang, len(w)::BIGINT AS n_words, [{', '.join(sizes)}] AS q, w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM {before}
+), g AS (
+  SELECT row_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g
+  FROM c WHERE len(w) >= 5
+), rep AS (
+  SELECT row_id, i FROM g QUALIFY count(*) OVER (PARTITION BY row_id, g) > 1
+), cover AS (
+  SELECT row_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM rep, range(5) AS r(k) GROUP BY row_id
+), cls AS (
+  SELECT row_id, lang, unnest(range(len(q))) AS bin, unnest(q)::BIGINT AS n FROM c
+), word AS (
+  SELECT row_id, lang, x AS bin, count(*)::BIGINT AS n FROM (
+    SELECT row_id, lang, CASE WHEN (v = lower(v) OR v = upper(v[1]) || lower(v[2:])) AND lower(v) IN ({words}) THEN lower(v) ELSE '' END AS x
+    FROM (SELECT row_id, lang, unnest(w) AS v FROM c)) GROUP BY ALL
+), big AS (
+  SELECT lang FROM c WHERE lang IS NOT NULL GROUP BY lang
+  HAVING sum(n_words) > 0 AND sum(n_words) >= {quality.MIN_REFERENCE_SHARE} * (SELECT sum(n_words) FROM c WHERE lang IS NOT NULL)
+), cref AS (
+  SELECT lang, bin, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS s FROM cls WHERE lang IN (FROM big) GROUP BY lang, bin
+), wref AS (
+  SELECT lang, bin, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS s FROM word WHERE lang IN (FROM big) GROUP BY lang, bin
+), cp AS (
+  SELECT row_id, bin, n / greatest(sum(n) OVER (PARTITION BY row_id), 1) AS p FROM cls
+), wp AS (
+  SELECT row_id, bin, n / greatest(sum(n) OVER (PARTITION BY row_id), 1) AS p FROM word
+), cd AS (
+  SELECT row_id, min(js) AS class_distance FROM (
+    SELECT a.row_id, r.lang, sqrt(greatest((1 + sum(CASE WHEN a.p > 0 THEN
+      a.p * log2(a.p / ((a.p + r.s) / 2)) + CASE WHEN r.s > 0 THEN r.s * log2(r.s / ((a.p + r.s) / 2)) ELSE 0 END - r.s ELSE 0 END)) / 2, 0)) AS js
+    FROM cp a JOIN cref r ON a.bin = r.bin GROUP BY a.row_id, r.lang) GROUP BY row_id
+), wd AS (
+  SELECT row_id, min(js) AS word_distance FROM (
+    SELECT a.row_id, b.lang, sqrt(greatest((1 + sum(a.p * log2(a.p / ((a.p + coalesce(r.s, 0)) / 2))
+      + CASE WHEN r.s > 0 THEN r.s * log2(r.s / ((a.p + r.s) / 2)) - r.s ELSE 0 END)) / 2, 0)) AS js
+    FROM wp a CROSS JOIN big b LEFT JOIN wref r ON r.lang = b.lang AND r.bin = a.bin GROUP BY a.row_id, b.lang) GROUP BY row_id
+), o AS (
+  SELECT c.doc_id, c.n_words, list_sum(list_transform(c.w, lambda v: length(v)))::BIGINT AS chars, c.q,
+    (len(c.lines) - len(list_distinct(c.lines)))::BIGINT AS n_dup_lines, coalesce(cover.n_repeat_words, 0) AS n_repeat_words,
+    class_distance, word_distance
+  FROM c LEFT JOIN cover USING (row_id) LEFT JOIN cd USING (row_id) LEFT JOIN wd USING (row_id)
+), b AS (
+  SELECT *, coalesce(chars, 0) AS word_chars, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM o
+)
+SELECT doc_id, n_words, word_chars, q[{len(quality.CLASSES)}]::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce((word_chars >= {quality.MIN_CLASS_CHARS} AND class_distance > {quality.MAX_CLASS_DISTANCE})
+    OR (n_words >= {quality.MIN_COMMON_WORDS} AND word_distance > {quality.MAX_WORD_DISTANCE}), false) AS kept
+FROM b
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op4_mix_sources": MIX,
+    "op5_warc_chunks": WARC,
+    "op6_quality_rules": _quality(),
+    "op8_top_k_search": TOP_K,
+    "op9_near_duplicates": NEAR,
+}
