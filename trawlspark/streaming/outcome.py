@@ -8,7 +8,6 @@ to one Python worker.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -20,11 +19,11 @@ from ..operators.fetchlog import log_progress
 STATE = "job_id bigint, n bigint, ok bigint, bad bigint, found bigint, stopped boolean"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+def _state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """Totals after the batch before; only the first batch has none, so a missing folder is an error."""
+    if batch_id == 0:
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).parquet(f"{path}/state/{batch_id - 1}")
 
 
 def write_batch(
@@ -39,7 +38,7 @@ def write_batch(
 ) -> None:
     spark = batch.sparkSession
     # totals after batch k are in state/k, so a repeated batch starts from the same ones
-    state = _read(spark, f"{path}/state/{batch_id - 1}", STATE)
+    state = _state_before(spark, path, batch_id)
     batch = batch.persist()
     try:
         progress = log_progress(batch, seeds, hot_rows).join(state, "job_id", "left")
