@@ -44,11 +44,11 @@ WORDS = {
     "article": "article content post entry story body main text prose",
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs pager pagination toolbar skip tabs",
     "header": "header head masthead logo topbar branding",
-    "footer": "footer foot copyright legal imprint colophon",
+    "footer": "footer foot copyright legal imprint colophon contentinfo",
     "side": "sidebar side aside widget rail secondary complementary",
     "comment": "comment comments commentlist reply replies discussion discuss disqus thread respond",
     "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion banner",
-    "notice": "notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup paywall message",
+    "notice": "notice disclaimer warning cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup paywall message",
     "form": "form login search contact input",
     "share": "share sharing social follow related recommended more tags tag trending popular",
     "byline": "byline author meta date published",
@@ -361,6 +361,7 @@ _AFTER = [
     "<aside data-y=0><h3>{w}</h3><p>{l}</p></aside>", "<section id=comments class='comments' data-y=0><h2>{w}</h2><div class=comment><b>{w}</b><p>{l}</p></div><div class=comment><p>{s}</p></div></section>",
     "<ol class='commentlist' data-y=0><li>{l}</li><li>{s}</li></ol>", "<div class='comments' data-y=0><article class=comment><p>{l}</p></article><form><label>{w}</label><button>{w}</button></form></div>",
     "<div class='widget' data-y=0><p>{l}</p></div>", "<div class='related-posts' data-y=0>{a}<p>{s}</p>{a}</div>", "<div class='ads' data-y=0><p>{l}</p></div>",
+    "<div data-y=0>&copy; {w}. {s}</div>", "<p data-y=0>&copy; 2021 {w}</p>", "<div role=contentinfo data-y=0><p>{s}</p></div>", "<div class=disclaimer data-y=0>{s}</div>",
     "<form data-y=0><p>{s}</p><label>{w}</label><button>{w}</button></form>", "<div class='sponsored' data-y=0><h3>{w}</h3><p>{s}</p></div>", "<div class=subscribe data-y=0><p>{s}</p></div>",
 ]
 
