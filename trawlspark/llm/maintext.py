@@ -339,7 +339,7 @@ _INNER = [
     "<h1>{w}</h1>", "<h2>{w}</h2>", "<p>{l}</p>", "<p>{l}</p>", "<p>{l}</p>", "<p>{s}</p>", "<p>{w}.</p>", "<p>{s} {a} {s}</p>",
     "<ul><li>{s}</li><li>{w}</li></ul>", "<ol><li>{a}</li><li>{s}</li></ol>", "<blockquote>{s}</blockquote>", "<pre>{s}</pre>",
     "<table><tr><th>{w}</th><td>{w}</td></tr></table>", "<figure><img><figcaption>{s}</figcaption></figure>", "<p><b>{w}<br><p>{l}</p>",
-    "<div>{l}</div>", "<h3>{w}</h3>", "<p>{w} | {w}</p>", "<p>Licensed under {w}.</p>", "{l}<br><br>{s}", "<header><h1>{w}</h1></header>",
+    "<div>{l}</div>", "<h3>{w}</h3>", "<p>{w} | {w}</p>", "<p>Licensed under {w}.</p>", "<p>Copyright (c) 2019 {w}. {s}</p>", "<p>&copy; {w}</p>", "{l}<br><br>{s}", "<header><h1>{w}</h1></header>",
 ]
 _WITHIN = [
     "<div class='ad' data-y=0>{s}</div>", "<aside class=related data-y=0><h3>{w}</h3><ul><li>{a}</li><li>{a}</li></ul></aside>",
@@ -366,7 +366,7 @@ _AFTER = [
 ]
 
 
-def labelled_pages(count: int = 320, seed: int = 11) -> list[str]:
+def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
     """Pages of random layouts with data-y labels; words are made up, so that only form can be learned."""
     rng = random.Random(seed)
 
