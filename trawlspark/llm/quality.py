@@ -158,16 +158,21 @@ def references(counted: DataFrame, lang: str = "lang") -> list[tuple[list[float]
     return [(shares(r, "c", n_classes), shares(r, "w", n_words)) for r in sorted(kept, key=lambda r: r[lang])]
 
 
-def distance(histogram: Column, shares: Sequence[float]) -> Column:
-    """Jensen-Shannon distance (square root, logarithms to base 2) of a histogram to a distribution."""
-    total = F.greatest(F.aggregate(histogram, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(1))
+def distance(counts: Sequence[Column], total: Column, shares: Sequence[float]) -> Column:
+    """Jensen-Shannon distance (square root, logarithms to base 2) of a histogram to a distribution.
 
-    def part(n: Column, q: Column) -> Column:
-        p = n / total
+    One plain expression for each bin, which compiles to Java code; an empty bin adds half its share.
+    """
+    n = F.greatest(total, F.lit(1)).cast("double")
+
+    def part(count: Column, q: float) -> Column:
+        p = count / n
+        if not q:
+            return p
         m = (p + q) / 2
-        return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
+        return F.when(count > 0, p * F.log2(p / m) + q * F.log2(F.lit(q) / m)).otherwise(F.lit(float(q)))
 
-    parts = F.zip_with(histogram, F.lit(list(shares)).cast("array<double>"), part)
+    parts = F.array(*[part(c, q) for c, q in zip(counts, shares, strict=True)])
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
 
 
@@ -186,11 +191,19 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: b
     narrow = written(narrow if keep_text else narrow.drop(text), "quality")
     refs = references(narrow, lang)
 
-    def nearest(histogram: str, which: int) -> Column:
-        each = [distance(F.col(histogram), r[which]) for r in refs]
+    def nearest(histogram: str, which: int, total: Column) -> Column:
+        counts = [F.get(F.col(histogram), F.lit(i)) for i in range(len(refs[0][which]))] if refs else []
+        each = [distance(counts, total, r[which]) for r in refs]
         return F.array_min(F.array(*each)) if each else F.lit(None).cast("double")
 
-    out = narrow.withColumns({"class_distance": nearest("q_classes", 0), "word_distance": nearest("q_words", 1)})
+    chars = F.aggregate("q_classes", F.lit(0).cast("long"), lambda a, b: a + b)
+    out = narrow.withColumn("__n", chars)
+    out = out.withColumns(
+        {
+            "class_distance": nearest("q_classes", 0, F.col("__n")),
+            "word_distance": nearest("q_words", 1, F.col("n_words")),
+        }
+    ).drop("__n")
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
