@@ -3,7 +3,8 @@
 Both vocabularies here split a text before merging, and never across the place where a word ends and
 white space begins. So a text's ids are those of its words, each with the white space before it, one
 after the other; the library encodes only words that are not in the cache. Texts with white space
-outside ASCII, or with control characters that the splitters read differently, are encoded whole.
+outside ASCII, with control characters that the splitters read differently, or with the one letter
+(U+0130) whose small form ends in a mark, are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 #: Words kept in a worker's cache; it is emptied when full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 #: Code points encoded together.
 BATCH = 400_000
-_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _SPACED = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+$")
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Both vocabularies also split between a letter or digit and a stop.
+_STOP = re.compile(r"(?<=[^\W_])(?=[.,;:!?])")
+_ODD = re.compile("[\u0130\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Encoder:
@@ -30,6 +32,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size(True))]
         self.words: dict[str, bytes] = {}
         self.drops_space = drops_space
 
@@ -41,16 +45,38 @@ class Encoder:
         """Parts that can be encoded one by one; they make up the text unless white space is dropped."""
         if self.whole(text):
             return [text]
-        return (_WORD if self.drops_space else _SPACED).findall(text)
+        if self.drops_space:
+            return text.split()  # white space here is that of ASCII
+        return _SPACED.findall(text)
 
     def _learn(self, words: Iterable[str]) -> None:
+        """Put words in the cache, and the parts of a word that end before a stop."""
         new = list(words)
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
-        for start in range(0, len(new), 2000):
-            part = new[start : start + 2000]
-            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
+        made, split, rest = self.words, [], []
+        for word in new:
+            parts = [word] if self.whole(word) else _STOP.split(word)
+            if len(parts) > 1:
+                split.append((word, parts))
+            for part in parts:
+                if part not in made:
+                    # letters, with one space before them at most, are one pre-token: the model suffices
+                    if self.drops_space:
+                        known = part.lower() if part.isascii() and part.isalpha() else None
+                    else:
+                        known = _byte_letters(part) if (part[1:] if part[:1] == " " else part).isalpha() else None
+                    if known is None:
+                        rest.append(part)
+                        made[part] = b""
+                    else:
+                        made[part] = b"".join([self.bytes_of[t.id] for t in self.model.tokenize(known)])
+        for start in range(0, len(rest), 2000):
+            some = rest[start : start + 2000]
+            for part, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                made[part] = b"".join([self.bytes_of[i] for i in found.ids])
+        for word, parts in split:
+            made[word] = b"".join([made[p] for p in parts])
 
     def learn(self, texts: list[str]) -> None:
         """Put the words of the texts in the cache."""
@@ -74,10 +100,9 @@ class Encoder:
         split = [self.pieces(t) for t in texts]
         missing = set().union(*split).difference(self.words)
         if missing:
-            size = len(self.words)
             self._learn(missing)
-            if len(self.words) < size + len(missing):  # emptied: all words of this group anew
-                self._learn(set().union(*split).difference(self.words))
+            if missing := set().union(*split).difference(self.words):  # the cache was emptied
+                self._learn(missing)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -101,6 +126,21 @@ class Encoder:
             yield from self._group(group)
 
 
+@cache
+def _byte_table() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as they are, the others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _byte_letters(word: str) -> str:
+    if word.isascii():
+        return word.replace(" ", "\u0120")
+    table = _byte_table()
+    return "".join([table[b] for b in word.encode("utf-8")])
+
+
 def _slices(text: str) -> Iterator[str]:
     """Parts that end where a word ends."""
     start = 0
