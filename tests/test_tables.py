@@ -139,7 +139,7 @@ def test_configs(spark):
 
 def test_json_dates(spark):
     df = spark.range(1).select(F.timestamp_millis(F.lit(1500)).alias("t"))
-    assert configs.rows_as_json(df).first().json == '{"t":"1970-01-01T00:00:01.500Z"}'
+    assert configs.rows_as_json(df).first().json == '{"t":"1970-01-01T00:00:01.500+0000"}'
 
 
 def test_packed_media_counters(spark):
