@@ -34,7 +34,7 @@ from trawlspark.llm.stage import ship, written
 DEPTH = 5
 TREES = 36
 REGION = 24
-NEIGHBOURS = 3
+NEIGHBOURS = 1
 #: Rows of sorted order handled at once in a task.
 CHUNK = 100_000
 _SLICE = 4096
