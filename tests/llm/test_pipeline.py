@@ -26,7 +26,7 @@ def stages(spark):
 
 def test_columns(stages):
     for docs in stages[:-1]:
-        assert docs.columns == pipeline.COLUMNS
+        assert docs.columns == stages[0].columns
 
 
 def test_filters(stages):
