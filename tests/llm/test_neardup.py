@@ -81,6 +81,21 @@ def test_star_around_one_text(spark):
     check(spark, rows)
 
 
+def test_pairs_inside_a_template_family(spark, monkeypatch):
+    """A dense region of unlinked look-alikes (similarity 0.77) that hides many pairs at 0.82."""
+    monkeypatch.setattr(neardup, "TILE", 64, raising=False)
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(262)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}_{k}" for k in range(38)]
+        rows.append((i, " ".join(template + own)))
+        if i % 3 == 0:
+            rows.append((1000 + i, " ".join(template + own[:8] + [f"p{i}_{k}" for k in range(30)])))
+    rng.shuffle(rows)
+    check(spark, rows)
+
+
 def test_edges(spark):
     rows = [
         (1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "One\ttwo\n"), (None, "one two"),

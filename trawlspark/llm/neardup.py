@@ -5,18 +5,22 @@
 2. The forest: TREES sorted orders of the classes' signatures, each led by DEPTH minhashes of its own
    (the region) and continued by further ones. Rows are range-partitioned and sorted, so also a region
    with a third of all rows is spread over tasks. In a region of up to REGION rows all pairs are
-   candidates. In a denser one depth adapts: each row is compared with its neighbours in sorted order
-   (those with the longest common prefix) and with the region's pivots: its smallest row, and the
-   first of the longest run with one prefix (near the centre of a group of mutated copies).
+   candidates. In a denser one each row is first compared with its neighbours in sorted order and with
+   the region's pivots: its smallest row, and the first of the longest run with one prefix (near the
+   centre of a group of mutated copies).
 3. Pairs with a pivot are confirmed first. What they connect needs no further comparison, so of the
    other candidates only those between different components are confirmed, on the full sets.
 4. In dense regions the best-connected documents (hubs) are then compared with every row of the region
-   in another component, until a round finds no link: so members of a group that are linked with its
-   centre only are found too.
-5. Components come from alternating large-star and small-star steps, cut by written tables.
+   in another component, until a round finds no link. Like neighbours and pivots, hubs only leave less
+   to the next step.
+5. The rest of a dense region is compared whole: all pairs of its rows in different components, tile by
+   tile, on sketches of SKETCH bits (one of each of as many minhashes); pairs that the sketch does not
+   rule out are confirmed on the full sets. So no pair of a region is left out, at a cost that grows
+   with the square of the rows of a dense region that are linked with nothing.
+6. Components come from alternating large-star and small-star steps, cut by written tables.
 
 At the similarity bound itself a pair shares no region with probability
-(1 - 0.8^DEPTH)^TREES = 6e-7, above it with less.
+(1 - 0.8^DEPTH)^TREES = 6e-7, above it with less. A sketch rules it out with about 1e-7 (SIGMAS).
 """
 
 from __future__ import annotations
@@ -34,12 +38,18 @@ from trawlspark.llm.stage import ship, written
 DEPTH = 5
 TREES = 36
 REGION = 24
-NEIGHBOURS = 1
+NEIGHBOURS = 3
+#: Bits of a sketch; standard deviations below its expectation at which a pair is ruled out.
+SKETCH = 4096
+SIGMAS = 5.5
+#: Rows of each side of a tile, about.
+TILE = 1024
 #: Rows of sorted order handled at once in a task.
 CHUNK = 100_000
 _SLICE = 4096
 _RNG = np.random.default_rng(20240607)
 _FACTORS = _RNG.integers(1, 1 << 63, DEPTH * TREES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BIT_FACTORS = _RNG.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Minhashes that continue each tree's order after its own: one of each of the next four trees.
 _LATER = (np.arange(TREES)[:, None] + np.arange(1, 5)[None, :]) % TREES * DEPTH
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -74,6 +84,14 @@ def signature(items: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(16)).astype(np.uint32)
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """One bit of each of SKETCH further minhashes."""
+    best = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(items), _SLICE // 16):
+        np.minimum(best, (_BIT_FACTORS[:, None] * items[None, i : i + _SLICE // 16]).min(axis=1), out=best)
+    return np.packbits((_mix(best) >> np.uint64(63)).astype(np.uint8)).tobytes()
+
+
 def orders(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each tree: its region (64 bits, different between trees) and what follows in its order."""
     key = np.arange(TREES, dtype=np.uint64) + np.uint64(1)
@@ -290,6 +308,89 @@ def _hub_pairs(dense: DataFrame, links: DataFrame, label: DataFrame) -> DataFram
     return found.distinct()
 
 
+def _sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(v, n, bits) of (v, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [shingles(text.as_py(), width) for text in batch.column(1)]
+            n = pa.array([len(x) for x in items], pa.int64())
+            bits = pa.array([sketch(x) for x in items], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, bits], names=["v", "n", "bits"])
+
+    return texts.select("v", "text").mapInArrow(run, "v bigint, n bigint, bits binary")
+
+
+def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, percent: int) -> DataFrame:
+    """Distinct (a, b) of all pairs of rows of one dense region in different components, without those
+    that sketches rule out.
+
+    The rows of a region are dealt to blocks of about TILE rows, those of a component of TILE rows or
+    more to blocks of their own; a tile is two blocks, other than two of one large component.
+    """
+    rows = dense.join(label, "v", "left").select("region", "v", F.coalesce("label", "v").alias("l"))
+    counts = written(rows.groupBy("region", "l").agg(F.count("*").alias("c")), "counts")
+    mixed = counts.groupBy("region").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.sum(F.when(F.col("c") < TILE, F.col("c"))).alias("few"))
+    mixed = mixed.where("lo <> hi").select("region", F.coalesce("few", F.lit(0)).alias("few"))
+    large = F.col("c") >= TILE
+    dealt = rows.join(counts.join(mixed, "region"), ["region", "l"]).select(
+        "region", "v", "l", F.when(large, F.col("l")).otherwise(-1).alias("g"),
+        F.pmod(F.xxhash64("v"), F.ceil(F.when(large, F.col("c")).otherwise(F.col("few")) / TILE)).alias("k"),
+    )
+    dealt = written(dealt, "dealt")
+    blocks = written(dealt.select("region", "g", "k").distinct(), "blocks")
+    other = blocks.select("region", F.col("g").alias("g2"), F.col("k").alias("k2"))
+    tiles = blocks.join(other, "region").where("(g, k) <= (g2, k2) AND (g <> g2 OR g < 0)")
+    tiles = written(tiles.withColumn("t", F.xxhash64("region", "g", "k", "g2", "k2")), "tiles")
+    sides = tiles.select("region", "g", "k", "t", F.lit(0).alias("side")).unionByName(
+        tiles.select("region", F.col("g2").alias("g"), F.col("k2").alias("k"), "t", F.lit(1).alias("side"))
+    )
+    bits = written(_sketches(texts.join(dealt.select("v").distinct(), "v"), width), "sketches")
+    put = dealt.join(sides, ["region", "g", "k"]).select("t", "side", "v", "l").join(bits, "v")
+    put = put.select("t", "side", "v", "l", "n", "bits").repartition("t").sortWithinPartitions("t")
+    share = (100 + percent) / 200
+    limit = SKETCH * (1 - share) + SIGMAS * (SKETCH * share * (1 - share)) ** 0.5
+
+    def near(side, v, l, n, words) -> pa.RecordBatch:
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for i in range(0, len(x), 256):
+            at = x[i : i + 256]
+            far = np.zeros((len(at), len(y)), dtype=np.int16)
+            for w in range(words.shape[1]):
+                far += np.bitwise_count(words[at, w][:, None] ^ words[y, w][None, :])
+            p, q = np.nonzero((far <= limit) & (l[at][:, None] != l[y][None, :]))
+            p, q = at[p], y[q]
+            on = np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * percent
+            a.append(np.minimum(v[p[on]], v[q[on]]))
+            b.append(np.maximum(v[p[on]], v[q[on]]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def whole() -> pa.RecordBatch:
+            return near(*[np.concatenate(x) for x in list(zip(*held, strict=True))[1:]])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy() for i in range(5)]
+            raw = b"".join(batch.column(5).to_pylist())
+            columns.append(np.frombuffer(raw, dtype=np.uint64).reshape(batch.num_rows, SKETCH // 64))
+            t = columns[0]
+            cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
+            for start, end in zip(cut[:-1], cut[1:], strict=True):
+                if held and held[-1][0][0] != t[start]:
+                    yield whole()
+                    held = []
+                held.append([x[start:end] for x in columns])
+        if held:
+            yield whole()
+
+    return put.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex reachable, for all vertices of links (a, b).
 
@@ -353,6 +454,10 @@ def deduplicate(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
             break
         links = written(links.unionByName(more), "confirmed")
         label = components(links)
+    rest = written(_rest(dense, texts, label, width, percent), "rest")
+    more = written(confirm(rest, texts, width, percent), "hidden")
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
     own = F.coalesce("label", "v")
     named = written(classes.join(label, "v", "left").select("k1", "k2", "rep", own.alias("label")), "named")
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
