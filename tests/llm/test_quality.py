@@ -85,3 +85,13 @@ def test_verdict_and_edges(spark):
     assert unlabelled["kept"] and unlabelled["class_distance"] is None
     clash = spark.createDataFrame([(1, "en", rows[0][2], 5, "x")], SCHEMA + ", n_words int, kept string")
     assert quality.assess(clash).first()["n_words"] > 50
+
+
+def test_rare_language_has_its_own_reference(spark):
+    """A language far below MIN_REFERENCE_SHARE, in another script."""
+    rows = [(i, "en", " ".join(f"the word{i}x{k} of" for k in range(2000))) for i in range(60)]
+    rare = " ".join("абвгдежз"[k % 8] * (1 + k % 5) + "клмнопрст"[k % 9] * 4 + "уфхцч"[k // 9 % 5] for k in range(60))
+    rows += [(100, "xx", rare), (101, None, rare)]
+    out = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(out) == 62 and out[100]["kept"] and out[100]["class_distance"] < 1e-6
+    assert not out[100]["base_failed"] and out[101]["class_distance"] > quality.MAX_CLASS_DISTANCE

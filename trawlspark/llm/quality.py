@@ -51,7 +51,8 @@ MAX_WORD_DISTANCE = 0.32
 #: Lengths from which the two distances count.
 MIN_CLASS_CHARS = 300
 MIN_COMMON_WORDS = 80
-#: A language needs this share of all labelled words to be a reference.
+#: A language with this share of all labelled words is a reference for all documents, one with less
+#: for the documents labelled with it.
 MIN_REFERENCE_SHARE = 0.001
 
 
@@ -138,24 +139,48 @@ def _covered(keys: str) -> Column:
     return F.get(F.transform(F.transform(ordered, found), covered), F.lit(0))
 
 
-def references(counted: DataFrame, lang: str = "lang") -> list[tuple[list[float], list[float]]]:
+def references(counted: DataFrame, lang: str = "lang") -> tuple[list[tuple[list[float], list[float]]], DataFrame | None]:
     """Class and word distributions of each language, over all documents labelled with it.
 
-    One row a language reaches the driver; languages below MIN_REFERENCE_SHARE of the words are left
-    out, so there are at most 1 / MIN_REFERENCE_SHARE references.
+    Languages with MIN_REFERENCE_SHARE of the words reach the driver, at most 1 / MIN_REFERENCE_SHARE of
+    them. The others stay a table (__lang, __q0, __q1); None if there are none.
     """
     n_classes, n_words = len(CLASSES) + 1, len(_distinct_words()) + 1
     sums = [F.sum(F.col("q_classes")[i]).alias(f"c{i}") for i in range(n_classes)]
     sums += [F.sum(F.col("q_words")[i]).alias(f"w{i}") for i in range(n_words)]
     by_lang = counted.where(F.col(lang).isNotNull()).groupBy(lang).agg(F.sum("n_words").alias("n"), *sums)
+    by_lang = written(by_lang.where("n > 0"), "languages")
     total = by_lang.agg(F.sum("n")).first()[0] or 0
-    kept = by_lang.where((F.col("n") > 0) & (F.col("n") >= total * MIN_REFERENCE_SHARE)).collect()
+    often = F.col("n") >= total * MIN_REFERENCE_SHARE
+    kept = by_lang.where(often).collect()
+    rare = by_lang.where(~often)
+
+    def shared(prefix: str, n: int) -> Column:
+        values = F.array(*[F.col(f"{prefix}{i}") for i in range(n)])
+        whole = F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.transform(values, lambda x: x / F.greatest(whole, F.lit(1)))
 
     def shares(row, prefix: str, n: int) -> list[float]:
         values = [row[f"{prefix}{i}"] for i in range(n)]
         return [v / max(sum(values), 1) for v in values]
 
-    return [(shares(r, "c", n_classes), shares(r, "w", n_words)) for r in sorted(kept, key=lambda r: r[lang])]
+    table = rare.select(F.col(lang).alias("__lang"), shared("c", n_classes).alias("__q0"), shared("w", n_words).alias("__q1"))
+    often = [(shares(r, "c", n_classes), shares(r, "w", n_words)) for r in sorted(kept, key=lambda r: r[lang])]
+    return often, None if rare.isEmpty() else table
+
+
+def own_distance(histogram: str, total: Column, shares: str) -> Column:
+    """distance() of an array of counts to an array of shares of the same row; null without shares."""
+    n = F.greatest(total, F.lit(1)).cast("double")
+
+    def part(count: Column, q: Column) -> Column:
+        p, m = count / n, (count / n + q) / 2
+        both = p * F.log2(p / m) + q * F.log2(q / m)
+        return F.when(count <= 0, q).when(q <= 0, p).otherwise(both)
+
+    parts = F.zip_with(histogram, shares, part)
+    found = F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
+    return F.when(F.col(shares).isNotNull(), found)
 
 
 def distance(counts: Sequence[Column], total: Column, shares: Sequence[float]) -> Column:
@@ -183,27 +208,31 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: b
     any is judged; without keep_text the texts are left out of what is written and returned.
 
     base_failed: fewer than MIN_WORDS words, or over MAX_REPEAT_PERCENT of the words in repeated
-    windows. kept: not base_failed, and both distances (to the nearest reference) within bounds where
-    the text is long enough for them. Without references (no labelled words) distances are null and
+    windows. kept: not base_failed, and both distances (to the nearest of the frequent languages and the
+    document's own) within bounds where the text is long enough for them. Without references (no labelled words) distances are null and
     only the base rules count. Repeated rows and null ids are judged like any row.
     """
     narrow = counts(docs, text)
     narrow = written(narrow if keep_text else narrow.drop(text), "quality")
-    refs = references(narrow, lang)
+    refs, rare = references(narrow, lang)
 
     def nearest(histogram: str, which: int, total: Column) -> Column:
         counts = [F.get(F.col(histogram), F.lit(i)) for i in range(len(refs[0][which]))] if refs else []
         each = [distance(counts, total, r[which]) for r in refs]
+        if rare is not None:
+            each.append(own_distance(histogram, total, f"__q{which}"))
         return F.array_min(F.array(*each)) if each else F.lit(None).cast("double")
 
     chars = F.aggregate("q_classes", F.lit(0).cast("long"), lambda a, b: a + b)
     out = narrow.withColumn("__n", chars)
+    if rare is not None:
+        out = out.join(rare, out[lang] == rare["__lang"], "left")
     out = out.withColumns(
         {
             "class_distance": nearest("q_classes", 0, F.col("__n")),
             "word_distance": nearest("q_words", 1, F.col("n_words")),
         }
-    ).drop("__n")
+    ).drop("__n", "__lang", "__q0", "__q1")
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
