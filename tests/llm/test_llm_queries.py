@@ -15,5 +15,5 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_all_are_registered():
     found = entry_points.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in found

@@ -154,10 +154,48 @@ FROM b
 """
 
 
+#: crc32 table, and crc32 of a list of bytes b with the table tab.
+CRC_TABLE = """crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) t(i))
+)"""
+CRC = "xor(list_reduce(list_prepend(4294967295, {b}), lambda c, k: xor(c >> 8, tab[1 + (xor(c, k) & 255)])), 4294967295)"
+
+TRIE = f"""
+WITH {CRC_TABLE}, t AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) AS turns
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+  GROUP BY conv_id
+), h AS (
+  SELECT conv_id, turns, {CRC.format(b="list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 9 AS h FROM t, crc
+), r AS (
+  SELECT h.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, h.h), list_slice(h.turns, h.h + 1, len(h.turns))) AS turns
+  FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5
+), m AS (
+  SELECT conv_id, d, list_slice(turns, 1, d) AS p, d = len(turns) AS at_end
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)
+), n AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE strlen(any_value(p[d].text)) END AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256
+  FROM m GROUP BY p, d
+), c AS (
+  SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1
+), a AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (p)
+), s AS (
+  SELECT list_slice(p, 1, k) AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM a) GROUP BY 1
+)
+SELECT a.conv_id, a.d AS depth, u.conv_id AS parent_conv_id, a.n_convs, a.n_children, s.n_leaves, s.saved_tokens, a.ends_sha256
+FROM a JOIN s USING (p) LEFT JOIN n u ON a.d > 0 AND u.d = a.d - 1 AND u.p = list_slice(a.p, 1, a.d - 1)
+"""
+
 ORACLES: dict[str, str] = {
     "op4_mix_sources": MIX,
     "op5_warc_chunks": WARC,
     "op6_quality_rules": _quality(),
     "op8_top_k_search": TOP_K,
     "op9_near_duplicates": NEAR,
+    "op13_prefix_trie": TRIE,
 }
