@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlspark.llm import edits, idblocks, langid, maintext, mixing, neardup, packing, prefixtrie, quality, topk, warc
+from trawlspark.llm import edits, idblocks, langid, maintext, mixing, neardup, packing, prefixtrie, quality, simhash, topk, warc
 from trawlspark.llm.tokens import vocabulary_path
 from trawlspark.session import prepare, work_folder
 
@@ -69,6 +69,11 @@ def op10_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.edited_counts(docs.select("doc_id", "text"), log, vocabulary_path("byte_bpe_50k.json"))
 
 
+def op11_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.deduplicate(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.nodes(prefixtrie.regrafted(_table(spark, sf_dir, "conversations")))
 
@@ -85,5 +90,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_top_k_search": op8_top_k_search,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_edited_token_counts": op10_edited_token_counts,
+        "op11_simhash_grid": op11_simhash_grid,
         "op13_prefix_trie": op13_prefix_trie,
     }
