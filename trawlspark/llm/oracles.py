@@ -190,6 +190,40 @@ WITH {CRC_TABLE}, t AS (
 SELECT a.conv_id, a.d AS depth, u.conv_id AS parent_conv_id, a.n_convs, a.n_children, s.n_leaves, s.saved_tokens, a.ends_sha256
 FROM a JOIN s USING (p) LEFT JOIN n u ON a.d > 0 AND u.d = a.d - 1 AND u.p = list_slice(a.p, 1, a.d - 1)
 """
+VARIANTS = rf"""
+WITH RECURSIVE {CRC_TABLE}, d AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS raw FROM documents
+), c AS (
+  SELECT id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM d WHERE length(raw) >= 7 GROUP BY 1, 2
+), b AS (
+  SELECT run, c, hex(encode(id || ':' || run)) AS x FROM c
+), h AS (
+  SELECT run, c, {CRC.format(b="list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)")} AS h FROM b, crc
+), w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(c)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(c) >= 2
+), e AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w
+), k AS (
+  SELECT DISTINCT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS hole, left(word, i - 1) || substr(word, i + 1) AS less FROM e
+), p AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM k a JOIN k b ON a.hole = b.hole AND a.word <> b.word
+), l AS (
+  SELECT DISTINCT k.word, k.n, w.word AS other, w.n AS m FROM k JOIN w ON w.word = k.less
+), q AS (
+  SELECT * FROM p UNION ALL SELECT * FROM l UNION ALL SELECT other, m, word, n FROM l
+), f AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM q GROUP BY word
+), o AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN other END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n
+  FROM w LEFT JOIN f USING (word)
+), r AS (
+  SELECT word, word AS root, form AS next FROM o
+  UNION ALL SELECT r.word, o.word, o.form FROM r JOIN o ON o.word = r.next
+)
+SELECT o.word, o.n, o.n_near, o.form, o.form_n, r.root FROM o JOIN r ON r.word = o.word AND r.next IS NULL
+"""
 
 ORACLES: dict[str, str] = {
     "op4_mix_sources": MIX,
@@ -197,5 +231,6 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": _quality(),
     "op8_top_k_search": TOP_K,
     "op9_near_duplicates": NEAR,
+    "op12_spelling_variants": VARIANTS,
     "op13_prefix_trie": TRIE,
 }

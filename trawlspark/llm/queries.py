@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlspark.llm import edits, idblocks, langid, maintext, mixing, neardup, packing, prefixtrie, quality, simhash, topk, warc
+from trawlspark.llm import edits, idblocks, langid, maintext, mixing, neardup, packing, prefixtrie, quality, simhash, topk, variants, warc
 from trawlspark.llm.tokens import vocabulary_path
 from trawlspark.session import prepare, work_folder
 
@@ -74,6 +74,10 @@ def op11_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(_table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.nodes(prefixtrie.regrafted(_table(spark, sf_dir, "conversations")))
 
@@ -91,5 +95,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_duplicates": op9_near_duplicates,
         "op10_edited_token_counts": op10_edited_token_counts,
         "op11_simhash_grid": op11_simhash_grid,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_prefix_trie": op13_prefix_trie,
     }
