@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from trawlspark.operators import links as L
 
 PAGE = "http://mill.example/flour/rye"
@@ -151,3 +153,65 @@ def test_large_and_hostile_pages(spark):
     assert len(parse(spark, many).links) == 5000
     assert [x.uri_attribute for x in parse(spark, attrs).links] == ["deep"]
     parse(spark, open_ended)
+
+
+def texts(spark, html):
+    return [(x.element, x.uri_attribute, x.link_text) for x in parse(spark, html).links]
+
+
+def test_text_of_nested_elements(spark):
+    assert texts(spark, "<blockquote cite=v>a<blockquote>b</blockquote>c</blockquote>d") == [("blockquote", "v", "a b c")]
+    assert texts(spark, "<div data=o>x<div data=i>y</div>z</div>w") == [("div", "o", "x y z"), ("div", "i", "y")]
+    assert texts(spark, "<q cite=o>1<q cite=i>2</q>3</q>") == [("q", "o", "123"), ("q", "i", "2")]
+    assert texts(spark, "<ins cite=v>a<b>b</ins>c</b>") == [("ins", "v", "ab")]
+    assert texts(spark, "<ins cite=v>open <b>to the <i>end") == [("ins", "v", "open to the end")]
+    assert texts(spark, "</ins><ins cite=v>a</del></q>b</ins>") == [("ins", "v", "ab")]
+    assert texts(spark, "<a href=1>one<a href=2>two</a>") == [("a", "1", "one"), ("a", "2", "two")]
+
+
+def test_elements_that_end_by_themselves(spark):
+    assert texts(spark, "<ul><li><a href=1>one<li><a href=2>two<ul><li><a href=3>in</ul>out</ul>after") == [
+        ("a", "1", "one"), ("a", "2", "two"), ("a", "3", "in"),
+    ]
+    assert texts(spark, "<table><tr><td><ins cite=1>a<td><ins cite=2>b<tr><td><ins cite=3>c</table>d") == [
+        ("ins", "1", "a"), ("ins", "2", "b"), ("ins", "3", "c"),
+    ]
+    # a cell is not left by tags that are not its own
+    assert texts(spark, "<div data=0>x<table><tr><td>y</div>z</table>w</div>v") == [("div", "0", "x yz w")]
+    assert texts(spark, "<p><ins cite=1>a<p><ins cite=2>b</p>c") == [("ins", "1", "a"), ("ins", "2", "b")]
+
+
+def test_text_of_raw_elements(spark):
+    html = "<a href=1>x<script>no</script><style>no{}</style><textarea>&lt;b></textarea><!-- no --><iframe src=2>&lt;</iframe>y</a>"
+    assert texts(spark, html) == [("a", "1", "x<b>&lt;y"), ("iframe", "2", "&lt;")]
+
+
+def test_time_follows_the_number_of_open_elements(spark):
+    import time
+
+    from trawlspark.functions.markup import read
+
+    def seconds(page):
+        start = time.perf_counter()
+        read(page)
+        return time.perf_counter() - start
+
+    pieces = ("<x{0} cite=a>", "<ins cite=a>", "<div><td></div>", "<ul><b><li></li>", "<p><b></p>", "</x>", "<a href='", "<!--x", "&", "<q cite=\"a' ")
+    for piece in pieces:
+        small, large = ("".join(piece.format(i) for i in range(n)) for n in (4_000, 32_000))
+        seconds(small)
+        assert seconds(large) < 20 * seconds(small) + 0.2, piece
+
+
+def test_own_parser(spark):
+    from trawlspark.operators import parsers
+
+    rows = [("http://s.com/map.txt", "# map\n\n/a\r\n  http://t.com/b \n/a\nx?y==", "text/plain; charset=utf-8"), ("http://s.com/h", "<a href=c>d</a>", "text/html")]
+    df = spark.createDataFrame(rows, "uri string, html string, ct string")
+    got = L.parse_pages(df, content_type="ct", parsers=(*parsers.DEFAULT, parsers.LISTED))
+    found = {(r.uri, r.element, r.uri_attribute, r["uri_"]) for r in got.select("uri", F.inline("links").alias("element", "uri_attribute", "t", "n", "uri_", "s", "p", "si", "f")).collect()}
+    assert found == {
+        ("http://s.com/map.txt", "line", "/a", "http://s.com/a"), ("http://s.com/map.txt", "line", "http://t.com/b", "http://t.com/b"),
+        ("http://s.com/map.txt", "line", "x?y==", None), ("http://s.com/h", "a", "c", "http://s.com/c"),
+    }
+    assert not [x for r in L.parse_pages(df, content_type="ct").collect() for x in r.links if x.element == "line"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .html import BRACKETS, CSS_ELEMENT, address
+from .html import BRACKETS, CSS_ELEMENT, address, distinct_sorted
 from .lang import joined, let
 
 CSS_URL = rf"(?i)url{BRACKETS}"
@@ -42,3 +42,13 @@ def css_links(css: Column) -> Column:
             ),
         ),
     )
+
+
+def css_page(css: Column) -> Column:
+    """struct<no_index, no_follow, base, links> of a style sheet: no flags, no base."""
+    return F.struct(
+        F.lit(False).alias("no_index"),
+        F.lit(False).alias("no_follow"),
+        F.lit(None).cast("string").alias("base"),
+        distinct_sorted(css_links(css)).alias("links"),
+    )

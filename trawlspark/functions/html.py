@@ -1,18 +1,11 @@
-"""Link and flag extraction from HTML text, as Column expressions.
-
-Pages are scanned with a few linear regular expressions on the JVM; every
-repeated group is possessive, so that neither deep recursion nor quadratic
-back-tracking can occur on hostile input. Whole texts are read.
-"""
+"""Links as found in a page, before and after resolution, as Column expressions."""
 
 from __future__ import annotations
 
-from html.entities import html5
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lang import joined, let, squeeze
+from .lang import let, squeeze
 from .uri import canonical
 
 # Attributes that hold a URL.
@@ -24,7 +17,6 @@ CSS_ELEMENT = "css_url"
 # The bracketed address of a URL function in a style sheet, quoted or without brackets and quotes.
 # All repeats are possessive and end where the next function begins, so any text is passed once.
 BRACKETS = r"""\s*+\(\s*+("[^"]*+"|'[^']*+'|[^()"']*+)\s*+\)"""
-CSS_IMPORT = rf"(?i)@import\s++url{BRACKETS}"
 
 # links before resolution; ``source`` is the text reported when the URL is illegal
 RAW_LINK_TYPE = (
@@ -32,228 +24,8 @@ RAW_LINK_TYPE = (
     "source:string>>"
 )
 
-_ATTRS = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>=]++|=)*+"""
-_RAW_TEXT = "script|style|title|textarea|xmp|noembed|noframes|iframe"
-_RAW_TEXT_INITIALS = "stxni"
-_COMMENT = r"<!--.*?(?:-->|\z)"
-_EMPTY = "img|link|script|iframe|embed|source|track|input|frame|area|image"
-_BLOCK = (
-    "br|p|div|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|td|th|thead|tbody|tfoot|caption|section|"
-    "article|aside|header|footer|nav|form|fieldset|blockquote|pre|figure|figcaption|hr|address"
-)
-_ATTRIBUTE = r"""(?is)([^\s=/>"']++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+)"""
-_OTHER_ATTR = r"""[^\s=/>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
-_HAS_URL = (
-    r"(?=(?:[\s/]++(?!(?:" + "|".join(URL_ATTRIBUTES) + r")[\s=/>])" + _OTHER_ATTR + r")*+"
-    r"[\s/]++(?:" + "|".join(URL_ATTRIBUTES) + r")\s*+=)"
-)
-
-_HIDDEN = rf"(?is)(?=<[!{_RAW_TEXT_INITIALS}])(?:{_COMMENT}|(<({_RAW_TEXT})(?=[\s/>]){_ATTRS}>).*?(</\2\s*+>|\z))"
-# an anchor with its inner HTML, which ends at the next anchor at the latest
-_ANCHOR = rf"(?is)<a(?=[\s/>]){_ATTRS}>.*?(?=</a[\s/>]|<a[\s/>]|\z)"
-_ANCHOR_PARTS = rf"(?is)^(<a{_ATTRS}>)(.*)$"
-# every other open tag that matters: base, meta, the start of the body, URL holders
-_TAG = (
-    rf"(?is)<(?![/!]|a[\s/>])(?:body(?=[\s/>])|(?:base|meta)(?=[\s/])|[a-z][^\s/>]*+(?=\s){_HAS_URL})"
-    rf"{_ATTRS}>"
-)
-_OTHER_TAG = (
-    rf"(?is)(<(?!/|(?:a|base|{_EMPTY})[\s/>])([a-z][^\s/>]*+)(?=\s){_HAS_URL}{_ATTRS}>)"
-    r"(?=(.*?)(?:</\2[\s/>]|<\2[\s/>]|\z))"
-)
-_STYLE = (
-    rf"(?is)(?=<[!{_RAW_TEXT_INITIALS}])(?:{_COMMENT}"
-    rf"|<(script|title|textarea|xmp)(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*+>|\z)"
-    rf"|<style(?=[\s/>]){_ATTRS}>(.*?)(?:</style\s*+>|\z))"
-)
-
-
-def visible(html: Column) -> Column:
-    """Page without comments and without the content of raw-text elements."""
-    return F.regexp_replace(html, _HIDDEN, "$1$3")
-
-
-def attributes(attrs: Column) -> Column:
-    """array<struct<name, value>> of the attributes with a value inside a tag."""
-
-    def item(a: Column) -> Column:
-        def build(v: Column) -> Column:
-            bare = F.when(
-                v.startswith('"') | v.startswith("'"), F.substring(v, F.lit(2), F.length(v) - 2)
-            ).otherwise(v)
-            return F.struct(
-                F.lower(F.regexp_extract(a, _ATTRIBUTE, 1)).alias("name"),
-                let(bare, unescape).alias("value"),
-            )
-
-        return let(F.regexp_extract(a, _ATTRIBUTE, 2), build)
-
-    return F.transform(F.regexp_extract_all(attrs, F.lit(_ATTRIBUTE), F.lit(0)), item)
-
-
-def value_of(items: Column, name: str) -> Column:
-    """Value of the first attribute called ``name``; null when absent."""
-    return F.get(F.filter(items, lambda a: a["name"] == name), F.lit(0))["value"]
-
-
-def unescape(text: Column) -> Column:
-    """Decode character references by the rules of HTML 5.
-
-    Numbers have any length; names are those of HTML 5, and the old ones among them need no semicolon
-    unless a letter, digit or equals sign follows.
-    """
-    # one text literal keeps the plan small; Spark folds it to a map once
-    closed = "\n".join(f"{n[:-1]}\t{v}" for n, v in html5.items() if n.endswith(";") and "\n" not in v and "\t" not in v)
-    names = F.str_to_map(F.lit(closed), F.lit("\n"), F.lit("\t"))
-    old = "\n".join(f"{n}\t{v}" for n, v in html5.items() if not n.endswith(";"))
-    old_names = F.str_to_map(F.lit(old), F.lit("\n"), F.lit("\t"))
-
-    def code_point(digits: Column, base: int) -> Column:
-        number = F.when(F.length(digits) <= 8, F.conv(digits, base, 10).cast("bigint"))
-        ok = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-
-    def piece(p: Column) -> Column:
-        ref = F.regexp_extract(p, r"^(#[0-9]++;?+|#[xX][0-9a-fA-F]++;?+|[A-Za-z][A-Za-z0-9]*+;?+)", 1)
-        bare = F.rtrim(ref, F.lit(";"))
-        digits = F.regexp_replace(bare, "^#[xX]?0*+", "")
-        follows = F.substring(p, F.length(ref) + 1, F.lit(1))
-        char = (
-            F.when(bare.rlike("^#[xX]"), code_point(digits, 16))
-            .when(bare.startswith("#"), code_point(digits, 10))
-            .when(F.endswith(ref, F.lit(";")), F.try_element_at(names, bare))
-            .when(follows != "=", F.try_element_at(old_names, bare))
-        )
-        return F.when(
-            char.isNotNull(), F.concat(char, F.substring(p, F.length(ref) + 1, F.length(p)))
-        ).otherwise(F.concat(F.lit("&"), p))
-
-    return F.when(
-        F.contains(text, F.lit("&")),
-        joined(
-            F.transform(
-                F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(piece(p))
-            )
-        ),
-    ).otherwise(text)
-
-
-def inner_text(inner: Column) -> Column:
-    """Text of an element's inner HTML with white space collapsed."""
-    spaced = F.regexp_replace(inner, rf"(?is)<(?:{_BLOCK})(?=[\s/>]){_ATTRS}>", " ")
-    bare = F.when(
-        F.contains(inner, F.lit("<")), F.regexp_replace(spaced, r"(?s)<[a-zA-Z/!?][^>]*+>?", "")
-    ).otherwise(inner)
-    return let(
-        bare, lambda t: F.trim(F.regexp_replace(unescape(t), r"[ \t\n\f\r]+", " "))
-    )
-
-
-def open_tags(vis: Column) -> Column:
-    """array<struct<element, attrs array>> of all non-anchor tags of interest, in page order."""
-    return F.transform(
-        F.regexp_extract_all(vis, F.lit(_TAG), F.lit(0)),
-        lambda t: F.struct(
-            F.lower(F.regexp_extract(t, r"^<([^\s/>]++)", 1)).alias("element"),
-            attributes(F.regexp_extract(t, r"(?s)^<[^\s/>]++(.*)>$", 1)).alias("attrs"),
-        ),
-    )
-
-
-def base_href(tags: Column) -> Column:
-    """Trimmed ``href`` of the first base element that has one, else null."""
-    with_href = F.filter(
-        tags,
-        lambda t: (t["element"] == "base") & value_of(t["attrs"], "href").isNotNull(),
-    )
-    return squeeze(value_of(F.get(with_href, F.lit(0))["attrs"], "href"))
-
-
-def page_flags(tags: Column) -> Column:
-    """struct<no_index, no_follow> from the robots meta elements before the body."""
-    body_at = F.array_position(F.transform(tags, lambda t: t["element"]), "body")
-    metas = F.filter(
-        tags,
-        lambda t, i: (t["element"] == "meta") & ((body_at == 0) | (i < body_at)),
-    )
-    contents = F.transform(
-        F.filter(metas, lambda m: F.lower(F.trim(value_of(m["attrs"], "name"))) == "robots"),
-        lambda m: F.coalesce(value_of(m["attrs"], "content"), F.lit("")),
-    )
-    return let(
-        contents,
-        lambda cs: F.struct(
-            F.exists(cs, lambda c: c.rlike(r"(?i)\bnoindex\b")).alias("no_index"),
-            F.exists(cs, lambda c: c.rlike(r"(?i)\bnofollow\b")).alias("no_follow"),
-        ),
-    )
-
-
-def _tags(element, attrs, text) -> Column:
-    return F.struct(element.alias("element"), attrs.alias("attrs"), text.alias("text"))
-
-
-def link_tags(vis: Column, tags: Column) -> Column:
-    """array<struct<element, attrs, text>> of the elements that may hold a link."""
-    empty = _EMPTY.split("|")
-
-    def with_text(whole: Column, inner: Column) -> Column:
-        return F.struct(whole.alias("tag"), inner.alias("inner"))
-
-    anchors = F.transform(
-        F.regexp_extract_all(vis, F.lit(_ANCHOR), F.lit(0)),
-        lambda t: with_text(
-            F.regexp_extract(t, _ANCHOR_PARTS, 1), F.regexp_extract(t, _ANCHOR_PARTS, 2)
-        ),
-    )
-    # elements with text of their own are rare: the page is read again only for them
-    others = F.when(
-        F.exists(tags, lambda t: ~t["element"].isin("base", "meta", "body", *empty)),
-        F.zip_with(
-            F.regexp_extract_all(vis, F.lit(_OTHER_TAG), F.lit(1)),
-            F.regexp_extract_all(vis, F.lit(_OTHER_TAG), F.lit(3)),
-            with_text,
-        ),
-    ).otherwise(F.expr("cast(array() as array<struct<tag:string,inner:string>>)"))
-    return F.concat(
-        F.transform(
-            F.filter(tags, lambda t: t["element"].isin(*empty)),
-            lambda t: _tags(t["element"], t["attrs"], F.lit("")),
-        ),
-        F.transform(
-            F.concat(anchors, others),
-            lambda t: _tags(
-                F.lower(F.regexp_extract(t["tag"], r"^<([^\s/>]++)", 1)),
-                attributes(F.regexp_extract(t["tag"], r"(?s)^<[^\s/>]++(.*)>$", 1)),
-                t["inner"],
-            ),
-        ),
-    )
-
-
-def html_links(tags: Column, page_nofollow: Column) -> Column:
-    """Links before resolution, one per URL attribute with a value."""
-
-    def of_tag(t: Column) -> Column:
-        urls = F.transform(
-            F.filter(t["attrs"], lambda a: a["name"].isin(*URL_ATTRIBUTES)),
-            lambda a: squeeze(a["value"]),
-        )
-        no_follow = page_nofollow | F.coalesce(
-            F.lower(value_of(t["attrs"], "rel")) == "nofollow", F.lit(False)
-        )
-        return F.transform(
-            F.filter(urls, lambda v: v != ""),
-            lambda v: F.struct(
-                t["element"].alias("element"),
-                v.alias("uri_attribute"),
-                inner_text(t["text"]).alias("link_text"),
-                no_follow.alias("no_follow"),
-                F.lit(None).cast("string").alias("source"),
-            ),
-        )
-
-    return F.flatten(F.transform(tags, of_tag))
+# what a parser returns of a page
+PAGE_TYPE = f"struct<no_index:boolean,no_follow:boolean,base:string,links:{RAW_LINK_TYPE}>"
 
 
 def address(inside: Column) -> Column:
@@ -261,28 +33,6 @@ def address(inside: Column) -> Column:
     return squeeze(F.regexp_replace(squeeze(inside), r"^[\"']|[\"']$", ""))
 
 
-def import_links(html: Column) -> Column:
-    urls = F.flatten(
-        F.transform(
-            F.regexp_extract_all(html, F.lit(_STYLE), F.lit(2)),
-            lambda css: F.transform(F.regexp_extract_all(css, F.lit(CSS_IMPORT), F.lit(1)), address),
-        )
-    )
-    return F.when(
-        html.rlike("(?i)@import"),
-        F.transform(
-            F.filter(urls, lambda u: squeeze(u) != ""),
-            lambda u: F.struct(
-                F.lit(CSS_ELEMENT).alias("element"),
-                u.alias("uri_attribute"),
-                F.lit("").alias("link_text"),
-                F.lit(False).alias("no_follow"),
-                F.lit(None).cast("string").alias("source"),
-            ),
-        ),
-    ).otherwise(F.expr(f"cast(array() as {RAW_LINK_TYPE})"))
-
-
 def distinct_sorted(items: Column) -> Column:
     """Distinct elements of an array of structs in n log n (``array_distinct`` is quadratic)."""
     return let(

@@ -11,8 +11,8 @@ from ..functions.uri import canonical
 
 
 @lru_cache(maxsize=64)
-def _parts(url: str, base: str | None) -> Column:
-    """The expression is large, so it is built once per pair of column names."""
+def _parts(application: str, url: str, base: str | None) -> Column:
+    """The expression is large, so it is built once per application and pair of column names."""
     return F.inline(F.array(canonical(F.col(url), None if base is None else F.col(base))))
 
 
@@ -22,7 +22,7 @@ def canonicalize(df: DataFrame, url: str = "url", base: str | None = None) -> Da
     ``inline`` makes the columns outputs of a generator, so that filters and
     join keys on ``uri`` further up do not evaluate the whole expression again.
     """
-    return df.select("*", _parts(url, base))
+    return df.select("*", _parts(df.sparkSession.sparkContext.applicationId, url, base))
 
 
 def duplicate_urls(df: DataFrame, url: str = "url") -> DataFrame:

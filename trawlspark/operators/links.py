@@ -5,93 +5,76 @@ Extraction is narrow: no row leaves its task until links are counted by target.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import http
-from ..functions.css import css_links
-from ..functions.html import (
-    RAW_LINK_TYPE,
-    base_href,
-    distinct_sorted,
-    html_links,
-    import_links,
-    link_tags,
-    open_tags,
-    page_flags,
-    resolved_link,
-    visible,
-)
+from ..functions.html import PAGE_TYPE, distinct_sorted, resolved_link
 from ..functions.lang import let
 from ..functions.uri import canonical
+from ..session import ship
+from .parsers import DEFAULT, Parser, chosen
 
 PAGE_COLUMNS = ["no_index", "no_follow", "page_error", "links"]
 
 
 @lru_cache(maxsize=16)
-def _steps(uri: str, body: str, content_type: str | None) -> list[dict[str, Column]]:
-    """Column steps of ``parse_pages``, built once per set of column names.
+def _steps(application: str, uri: str, body: str, content_type: str | None, parsers: tuple[Parser, ...]) -> list[dict[str, Column]]:
+    """Column steps of ``parse_pages``, built once per application and set of column names.
 
-    The intermediate texts and arrays are columns of their own: Spark evaluates
+    The intermediate structs and arrays are columns of their own: Spark evaluates
     a column used by several later ones once.
     """
-    is_html: Column = F.lit(True)
-    is_css: Column = F.lit(False)
-    if content_type is not None:
-        is_html = http.media_is(F.col(content_type), http.HTML)
-        is_css = http.media_is(F.col(content_type), http.CSS)
-    href, tags = F.col("_href"), F.col("_tags")
+    text, which = F.col(body), F.col("_parser")
+    read = F.lit(None).cast(PAGE_TYPE)
+    for i, parser in reversed(list(enumerate(parsers))):
+        # a parser in Python gets null for the rows of other types
+        read = F.when(which == i, parser.parse(F.when(which == i, text)).cast(PAGE_TYPE)).otherwise(read)
+    href = F.col("_read.base")
     own = F.struct(F.col(uri).alias("uri"), F.lit(None).cast("string").alias("fail_message"))
     based = let(
         canonical(href, F.col(uri)),
         lambda c: F.struct(c["uri"].alias("uri"), c["fail_message"].alias("fail_message")),
     )
-    found = F.coalesce(
-        F.when(
-            F.col("_html"),
-            F.concat(
-                html_links(link_tags(F.col("_vis"), tags), F.col("_flags.no_follow")),
-                import_links(F.col(body)),
-            ),
-        ).when(F.col("_css"), css_links(F.col(body))),
-        F.expr(f"cast(array() as {RAW_LINK_TYPE})"),
-    )
     page = F.struct(
-        F.coalesce(F.col("_flags.no_index"), F.lit(False)).alias("no_index"),
-        F.coalesce(F.col("_flags.no_follow"), F.lit(False)).alias("no_follow"),
+        F.coalesce(F.col("_read.no_index"), F.lit(False)).alias("no_index"),
+        F.coalesce(F.col("_read.no_follow"), F.lit(False)).alias("no_follow"),
         F.col("_base.fail_message").alias("page_error"),
         F.when(
             F.col("_base.uri").isNotNull(),
             F.transform(
-                distinct_sorted(F.col("_raw")), lambda r: resolved_link(r, F.col("_base.uri"))
+                F.coalesce(F.col("_read.links"), F.array()), lambda r: resolved_link(r, F.col("_base.uri"))
             ),
         ).alias("links"),
     )
     return [
-        {"_html": is_html, "_css": is_css},
-        {"_vis": F.when(F.col("_html"), visible(F.col(body)))},
-        {"_tags": open_tags(F.col("_vis"))},
-        {"_flags": page_flags(tags), "_href": base_href(tags)},
+        {"_parser": chosen(parsers, None if content_type is None else F.col(content_type))},
+        {"_read": read},
         {"_base": F.when(href.isNull() | (href == ""), own).otherwise(based)},
-        {"_raw": found},
         # generated columns are computed once, whatever is asked of them further up
         {"": F.inline(F.array(page))},
     ]
 
 
 def parse_pages(
-    pages: DataFrame, uri: str = "uri", body: str = "html", content_type: str | None = None
+    pages: DataFrame,
+    uri: str = "uri",
+    body: str = "html",
+    content_type: str | None = None,
+    parsers: Sequence[Parser] = DEFAULT,
 ) -> DataFrame:
     """Replace the body by what was found in it: page flags and distinct links.
 
-    ``uri`` must be canonical. Without ``content_type`` all rows are HTML;
-    otherwise HTML and CSS are read by their own rules and other types give no
-    links. A page whose base element is illegal has ``page_error`` and no links.
+    ``uri`` must be canonical. With ``content_type`` each row is read by the first
+    of ``parsers`` for its media type, and rows of other types give no links;
+    without it all rows are read by the first parser. A page whose base element
+    is illegal has ``page_error`` and no links.
     """
     keep = [c for c in pages.columns if c != body]
-    *steps, last = _steps(uri, body, content_type)
+    application = ship(pages.sparkSession).sparkContext.applicationId
+    *steps, last = _steps(application, uri, body, content_type, tuple(parsers))
     staged = pages
     for step in steps:
         staged = staged.withColumns(step)

@@ -597,4 +597,15 @@ SELECT page_id, uri, {DECISION} AS decision FROM k""",
     "outcome_stream": OUTCOMES.replace("FROM y", "FROM y WHERE sp IS NOT NULL").replace(
         "coalesce(sp, last + 1)", "sp"
     ),
+    "element_text": f"""WITH {PAGES}, a AS (
+  SELECT page_id, site, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g'),
+    '(?s)<[a-zA-Z/!][^>]*$', '') AS t FROM p),
+b AS (SELECT page_id, site, regexp_replace(regexp_replace(t,
+    '(?i)</?(address|article|aside|blockquote|br|div|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(\\s[^>]*)?>', ' ', 'g'),
+    '<[a-zA-Z/!][^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, site, regexp_replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'),
+    '&amp;|&amp([^a-zA-Z0-9=]|$)', '&\\1', 'g') AS t FROM b)
+SELECT page_id, site || '/all' AS uri, trim(regexp_replace(t, '[ \\t\\n\\f\\r]+', ' ', 'g')) AS link_text FROM c""",
+    "listed_links": f"""WITH {PAGES} SELECT page_id, 'line' AS element, '/x/' || page_id AS uri_attribute, site || '/x/' || page_id AS uri
+FROM p WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, 'line', bare, bare FROM p WHERE page_id % 3 <> 0""",
 }

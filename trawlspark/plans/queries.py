@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import http, rules as R
 from ..functions.stop import KEEP
-from ..operators import fetchlog, filtering, frontier, jobs, links, robots
+from ..operators import fetchlog, filtering, frontier, jobs, links, parsers, robots
 from ..operators.canonicalize import canonicalize, duplicate_urls
 from ..session import prepare, work_folder
 from ..sources import configs as config_source
@@ -232,6 +232,27 @@ def broken_links(spark, sf):
     return links.broken_links(_docs(spark, sf))
 
 
+def element_text(spark, sf):
+    """Text of an element that holds a whole given page, left open at its end."""
+    rows = I.page_rows(spark, sf).withColumn("html", F.concat(F.lit('<section cite="/all">'), "html"))
+    found = links.parse_pages(rows).select("page_id", F.inline("links"))
+    return found.filter(F.col("element") == "section").select("page_id", "uri", "link_text")
+
+
+def listed_links(spark, sf):
+    """Addresses in plain lists, read by a parser of a third media type."""
+    pid = F.col("page_id").cast("string")
+    lines = F.concat(F.lit("# page "), pid, F.lit("\n\n/x/"), pid, F.lit("\r\n  "), I._bare(F.col("url")), F.lit(" \n/x/"), pid)
+    rows = I.pages(spark, sf).select(
+        "page_id",
+        F.concat(I.site_of(F.col("url")), F.lit("/list")).alias("uri"),
+        lines.alias("body"),
+        F.when(F.col("page_id") % 3 == 0, "text/markdown").otherwise("text/plain; charset=UTF-8").alias("content_type"),
+    )
+    read = links.parse_pages(rows, body="body", content_type="content_type", parsers=(*parsers.DEFAULT, parsers.LISTED))
+    return read.select("page_id", F.inline("links")).select("page_id", "element", "uri_attribute", "uri")
+
+
 def response_fields(spark, sf):
     kind = F.col("page_id") % 4
     value = (
@@ -784,6 +805,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_links": doc_links,
     "page_flags": page_flags,
     "broken_links": broken_links,
+    "element_text": element_text,
+    "listed_links": listed_links,
     "response_fields": response_fields,
     "document_tables": document_tables,
     "document_read": document_read,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +20,22 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package's source to the executors, once an application: functions in Python import it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).parent
+        target = os.path.join(tempfile.mkdtemp(prefix="ship-"), "trawlspark.zip")
+        with zipfile.ZipFile(target, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, file.relative_to(root.parent))
+        context.addPyFile(target)
+        _shipped.add(context.applicationId)
+    return spark
+
 
 def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
