@@ -101,3 +101,75 @@ def test_outcomes_are_emitted_once(spark, files, tmp_path, hot_rows):
     columns = ["job_id", "stop_pos", "state", "message"]
     assert strings(got, columns) == strings(want, columns)
     assert got.count() > 0
+
+
+def _log_rows(spark, folder, batches):
+    """Files of (job_id, event_id, second, status, links), one for each micro-batch."""
+    import time
+
+    schema = "job_id string, event_id bigint, second bigint, status int, links_extracted int"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return log.select("*", F.timestamp_seconds("second").alias("log_time"), (F.col("second") * 1000).alias("log_ms"))
+
+
+def _ended(spark, folder, log, checkpoint):
+    """One run of both streams; what it emitted."""
+    from trawlspark.streaming import timers
+
+    before = set()
+    try:
+        before = {r.job_id for r in timers.ended(spark, folder).collect()}
+    except Exception:
+        pass
+    outcome.outcome_stream(log, folder, f"{checkpoint}/a", 1, 1000, 1000, 1.1, timeout_ms=100_000).start().awaitTermination()
+    progress = timers.progress_stream(spark, folder, "string")
+    timers.ending_stream(progress, folder, f"{checkpoint}/b", 100_000).start().awaitTermination()
+    found = timers.ended(spark, folder).collect()
+    assert len({r.job_id for r in found}) == len(found)
+    return {(r.job_id, r.stop_pos, r.message) for r in found if r.job_id not in before}
+
+
+def test_silent_jobs_end_once(spark, tmp_path):
+    """Text ids; a job that falls silent ends when time passes its deadline, also after a restart."""
+    folder, given, late = str(tmp_path / "out"), str(tmp_path / "in"), "Crawl exceeded maximum crawl time"
+    rows = [("silent", 1, 0, 200, 5), ("quick", 2, 1, 200, 0), ("quick", 3, 2, 200, 0), ("slow", 4, 3, 200, 5)]
+    log = _log_rows(spark, given, [rows, [("slow", 5, 90, 200, 5)]])
+    # the queue of quick ran empty before its second fetch
+    assert _ended(spark, folder, log, str(tmp_path)) == {("quick", 2, "Completed Okay")}
+    # restart: another job's rows move time on; silent ends without a row of its own
+    log = _log_rows(spark, given, [[("other", 6, 101, 200, 5)]])
+    assert _ended(spark, folder, log, str(tmp_path)) == {("silent", 2, late)}
+    # a row after the deadline is no second end; slow stops at its own late row
+    log = _log_rows(spark, given, [[("silent", 7, 150, 200, 5), ("slow", 8, 151, 200, 5)], [("other", 9, 160, 200, 5)]])
+    assert _ended(spark, folder, log, str(tmp_path)) == {("slow", 3, late)}
+    assert _ended(spark, folder, log, str(tmp_path)) == set()
+    import os
+
+    assert len([f for f in os.listdir(f"{folder}/state")]) <= 2
+
+
+def test_deadlines_on_the_clock_of_the_machine(spark, tmp_path):
+    import time
+
+    from trawlspark.streaming import timers
+
+    folder = str(tmp_path)
+    row = ("job", 1, 1, 1, 1, None, None, None, "Aborted", "late")
+    spark.createDataFrame([row], f"job_id string, {timers.PROGRESS}").write.parquet(f"{folder}/progress/batch_id=0")
+    stream_ = timers.progress_stream(spark, folder, "string")
+    query = timers.ending_stream(stream_, folder, f"{folder}/c", 1500, timers.PROCESSING, interval="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            try:
+                found = timers.ended(spark, folder).collect()
+            except Exception:
+                found = []
+            if found:
+                break
+    finally:
+        query.stop()
+    assert [(r.job_id, r.stop_pos, r.message) for r in found] == [("job", 2, "late")]

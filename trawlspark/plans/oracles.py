@@ -608,4 +608,19 @@ c AS (SELECT page_id, site, regexp_replace(replace(replace(replace(replace(repla
 SELECT page_id, site || '/all' AS uri, trim(regexp_replace(t, '[ \\t\\n\\f\\r]+', ' ', 'g')) AS link_text FROM c""",
     "listed_links": f"""WITH {PAGES} SELECT page_id, 'line' AS element, '/x/' || page_id AS uri_attribute, site || '/x/' || page_id AS uri
 FROM p WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, 'line', bare, bare FROM p WHERE page_id % 3 <> 0""",
+    "ended_stream": f"""WITH {LOG}, g AS (
+  SELECT job_id, log_ms, row_number() OVER w AS pos, min(log_ms) OVER w + 864000000 AS deadline,
+    coalesce(sum((status BETWEEN 200 AND 299)::INT) OVER b, 0) AS ok, coalesce(sum((status NOT BETWEEN 200 AND 399)::INT) OVER b, 0) AS bad,
+    20 + coalesce(sum(links_extracted) OVER b, 0) - (row_number() OVER w - 1) AS pending
+  FROM l WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id),
+    b AS (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT job_id, count(*) AS n, min(log_ms) + 864000000 AS deadline, count(*) FILTER (status BETWEEN 200 AND 299) AS ok,
+    count(*) FILTER (status NOT BETWEEN 200 AND 399) AS bad, 20 + sum(links_extracted) - count(*) AS pending FROM l GROUP BY job_id),
+a AS (SELECT job_id, pos, ok, bad, pending, log_ms > deadline AS late FROM g
+  UNION ALL SELECT job_id, n + 1, ok, bad, pending, true FROM t WHERE deadline < (SELECT max(log_ms) FROM l)),
+r AS (SELECT job_id, pos, CASE WHEN pending = 0 THEN 'Completed: Completed Okay' WHEN pending >= 30 THEN 'Aborted: Too many URIs queued for crawling'
+    WHEN ok >= 40 THEN 'Aborted: Crawl exceeded maximum fetch requests' WHEN late THEN 'Aborted: Crawl exceeded maximum crawl time'
+    WHEN pos - 1 > 20 AND bad >= 0.5 * (pos - 1) THEN 'Aborted: Too many failed fetches' END AS said FROM a)
+SELECT 'job-' || job_id AS job_id, min(pos) AS stop_pos, split_part(arg_min(said, pos), ': ', 1) AS state, split_part(arg_min(said, pos), ': ', 2) AS message
+FROM r WHERE said IS NOT NULL GROUP BY job_id""",
 }

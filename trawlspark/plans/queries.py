@@ -15,7 +15,7 @@ from ..operators.canonicalize import canonicalize, duplicate_urls
 from ..session import prepare, work_folder
 from ..sources import configs as config_source
 from ..sources import tables
-from ..streaming import feeds, outcome
+from ..streaming import feeds, outcome, timers
 from ..streaming import journal as J
 from . import inputs as I
 
@@ -780,6 +780,22 @@ def outcome_stream(spark, sf):
     return outcome.outcomes(spark, folder)
 
 
+def ended_stream(spark, sf):
+    """Ends of jobs with text ids: stops found by the rule, and deadlines of jobs that fell silent."""
+    folder = work_folder(spark, "ended")
+    log = I.fetch_log_of(I.event_stream(spark, sf))
+    log = log.withColumn("job_id", F.concat(F.lit("job-"), F.col("job_id").cast("string")))
+    _run(
+        outcome.outcome_stream(
+            log, folder, f"{folder}/checkpoint", LOG_RULE["seeds"], LOG_RULE["max_queue"],
+            LOG_RULE["max_fetches"], LOG_RULE["max_fail"], timeout_ms=LOG_TIMEOUT_MS,
+        )
+    )
+    progress = timers.progress_stream(spark, folder, "string")
+    _run(timers.ending_stream(progress, folder, f"{folder}/timers", LOG_TIMEOUT_MS))
+    return timers.ended(spark, folder).select("job_id", "stop_pos", "state", "message")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "url_canonical": url_canonical,
     "url_duplicates": url_duplicates,
@@ -855,6 +871,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seen_stream": seen_stream,
     "decided_stream": decided_stream,
     "outcome_stream": outcome_stream,
+    "ended_stream": ended_stream,
 }
 
 

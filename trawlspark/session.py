@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # keyed state with timers needs it; state then lives on disk, not on the heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # call-site capture costs more than building the expressions themselves
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -75,3 +77,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, for tables written within a query."""
     return f"{checkpoint_root(spark).rstrip('/')}/trawlspark/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote; a missing one is fine."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
