@@ -115,8 +115,8 @@ def test_small_chunks_and_split_regions(spark, monkeypatch):
     for i in range(4):
         items[i + 1] = np.unique(np.r_[items[0][: 48 - i], rng.integers(0, 1 << 63, 2 + i, dtype=np.uint64)])
     sigs = [neardup.orders(neardup.signature(x)) for x in items]
-    rows = [(v, 50, [int(k) for k in s[0]], [int(k) for k in s[1]]) for v, s in enumerate(sigs)]
-    classes = spark.createDataFrame(rows, "v bigint, n bigint, regions array<bigint>, deeper array<bigint>")
+    rows = [(v, 50, v, [int(k) for k in s[0]], [int(k) for k in s[1]]) for v, s in enumerate(sigs)]
+    classes = spark.createDataFrame(rows, "v bigint, n bigint, l bigint, regions array<bigint>, deeper array<bigint>")
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         found = []
@@ -142,3 +142,15 @@ def test_whole_table_against_brute_force(spark):
     rows = [tuple(r) for r in docs.collect()]
     got = neardup.deduplicate(docs).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 2, 80)
+
+
+def test_distinct_leaves_one_row_of_each_component(spark):
+    rows = [
+        (1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "A b c d e f", "x"), (3, "other words", "x"), (3, "A B C D E F", "x"),
+        (None, "other words", "x"), (None, "alone", "x"), (None, "alone", "y"), (4, "", "x"), (4, None, "x"), (5, " ", "x"), (0, "two texts", "x"), (0, "of one id", "x"),
+    ]
+    got = neardup.distinct(spark.createDataFrame(rows, SCHEMA + ", label string")).collect()
+    assert sorted((r["doc_id"], (r["text"] or "").lower().strip()) for r in got if r["doc_id"] is not None) == [
+        (0, "of one id"), (0, "two texts"), (1, "a b c d e f"), (3, "other words"), (4, ""), (5, ""),
+    ]
+    assert [r["text"] for r in got if r["doc_id"] is None] == ["alone"] and {"doc_id", "text", "label"} == set(got[0].asDict())

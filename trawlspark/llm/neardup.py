@@ -8,8 +8,11 @@
    candidates. In a denser one each row is first compared with its neighbours in sorted order and with
    the region's pivots: its smallest row, and the first of the longest run with one prefix (near the
    centre of a group of mutated copies).
-3. Pairs with a pivot are confirmed first. What they connect needs no further comparison, so of the
-   other candidates only those between different components are confirmed, on the full sets.
+3. The first FIRST trees are read alone. Their pairs with a pivot are confirmed first; what these connect
+   needs no further comparison, so of the other candidates only those between different components are
+   confirmed, on the full sets. The rows of the other trees carry the components found so far, and only
+   pairs of rows in different ones leave the scan. So a large group of near copies costs the pairs of
+   FIRST orders, not of all.
 4. In dense regions the best-connected documents (hubs) are then compared with every row of the region
    in another component, until a round finds no link. Like neighbours and pivots, hubs only leave less
    to the next step.
@@ -37,6 +40,7 @@ from trawlspark.llm.stage import ship, written
 
 DEPTH = 5
 TREES = 36
+FIRST = 4
 REGION = 24
 NEIGHBOURS = 3
 #: Bits of a sketch; standard deviations below its expectation at which a pair is ruled out.
@@ -103,7 +107,8 @@ def orders(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, k1, k2, regions, deeper): set size, set key in two halves, the orders of each tree."""
+    """(doc_id, th, n, k1, k2, regions, deeper): the text's hash, set size, set key in two halves, the
+    orders of each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,25 +127,25 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             flat = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (regions, deeper)]
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in flat]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(k1), pa.array(k2), *lists],
-                names=["doc_id", "n", "k1", "k2", "regions", "deeper"],
+                [batch.column(0), batch.column(2), pa.array(n), pa.array(k1), pa.array(k2), *lists],
+                names=["doc_id", "th", "n", "k1", "k2", "regions", "deeper"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, regions array<bigint>, deeper array<bigint>"
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(
+        run, f"doc_id {kind}, th bigint, n bigint, k1 bigint, k2 bigint, regions array<bigint>, deeper array<bigint>"
     )
 
 
-_PAIRS = "a bigint, b bigint, pivot boolean, region bigint, v bigint, n bigint"
+_PAIRS = "a bigint, b bigint, pivot boolean, region bigint, v bigint, n bigint, l bigint"
 
 
 def _scan(percent: int):
-    """Candidates of sorted rows (region, deep, v, n). Rows at both ends of a task, whose region may go
-    on in another task, come out once more as (region, v, n); all rows of dense regions and of these
-    come out as (region, v, pivot)."""
+    """Candidates of sorted rows (region, deep, v, n, l), of which none has one component l on both sides.
+    Rows at both ends of a task, whose region may go on in another task, come out once more as
+    (region, v, n, l); all rows of dense regions and of these come out as (region, v, pivot)."""
 
-    def pairs(region: np.ndarray, deep: np.ndarray, v: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def pairs(region: np.ndarray, deep: np.ndarray, v: np.ndarray, n: np.ndarray, l: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
         length = np.diff(np.r_[start, len(region)])
         size, first = np.repeat(length, length), np.repeat(start, length)
@@ -174,13 +179,13 @@ def _scan(percent: int):
             a.append(here[on] - step)
             kind.append(np.zeros(on.sum(), dtype=bool))
         a, b, kind = np.concatenate(a), np.concatenate(b), np.concatenate(kind)
-        on = (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent) & (v[a] != v[b])
+        on = (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent) & (l[a] != l[b])
         return out(v[a[on]], v[b[on]], kind[on], None)
 
     def out(a, b, kind, edge, dense=False) -> pa.RecordBatch:
         m = len(a)
         if edge is None:
-            rest = [pa.nulls(m, pa.int64())] * 3
+            rest = [pa.nulls(m, pa.int64())] * 4
             low, high = np.minimum(a, b), np.maximum(a, b)
             lead = [pa.array(low), pa.array(high), pa.array(kind)]
         else:
@@ -188,7 +193,7 @@ def _scan(percent: int):
             marks = pa.array(np.ones(m, dtype=bool)) if dense else pa.nulls(m, pa.bool_())
             lead = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), marks]
             rest = [pa.array(x) for x in edge]
-        return pa.RecordBatch.from_arrays([*lead, *rest], names=["a", "b", "pivot", "region", "v", "n"])
+        return pa.RecordBatch.from_arrays([*lead, *rest], names=["a", "b", "pivot", "region", "v", "n", "l"])
 
     def ends(rows: list[np.ndarray], last: bool) -> pa.RecordBatch:
         """The rows of the first or last region; of a dense one its first and last rows."""
@@ -197,14 +202,14 @@ def _scan(percent: int):
         if len(on) > REGION:
             low = on[np.argmin(rows[2][on])]
             on = np.unique(np.r_[on[:NEIGHBOURS], low, on[-NEIGHBOURS:]])
-        return out([], [], [], (region[on], rows[2][on], rows[3][on]))
+        return out([], [], [], (region[on], rows[2][on], rows[3][on], rows[4][on]))
 
     def crowded(rows: list[np.ndarray]) -> pa.RecordBatch:
         region = rows[0]
         start = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
         length = np.diff(np.r_[start, len(region)])
         many = (np.repeat(length, length) > REGION) | (region == region[0]) | (region == region[-1])
-        return out([], [], [], (region[many], rows[2][many], rows[3][many]), dense=True)
+        return out([], [], [], (region[many], rows[2][many], rows[3][many], rows[4][many]), dense=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -250,19 +255,20 @@ def _across(edges: DataFrame, percent: int) -> DataFrame:
         for batch in run(batches):
             yield batch.filter(batch.column(0).is_valid())
 
-    return edges.select("region", F.col("v").alias("deep"), "v", "n").mapInArrow(go, _PAIRS).select("a", "b", "pivot")
+    return edges.select("region", F.col("v").alias("deep"), "v", "n", "l").mapInArrow(go, _PAIRS).select("a", "b", "pivot")
 
 
-def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct (a, b, pivot), a < b, of classes (v, n, regions, deeper), and the (region, v) of dense
-    regions; written once."""
-    trees = classes.select("v", "n", F.inline(F.arrays_zip("regions", "deeper"))).select(
-        F.col("regions").alias("region"), F.col("deeper").alias("deep"), "v", "n"
+def candidates(classes: DataFrame, percent: int, first: int = 0, last: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b, pivot), a < b, of classes (v, n, l, regions, deeper) with different components l in the
+    trees from first to last, and the (region, v) of dense regions; written once."""
+    some = [F.slice(c, first + 1, last - first).alias(c) for c in ("regions", "deeper")]
+    trees = classes.select("v", "n", "l", *some).select("v", "n", "l", F.inline(F.arrays_zip("regions", "deeper"))).select(
+        F.col("regions").alias("region"), F.col("deeper").alias("deep"), "v", "n", "l"
     )
     ordered = trees.repartitionByRange("region", "deep", "v").sortWithinPartitions("region", "deep", "v")
     found = written(ordered.mapInArrow(_scan(percent), _PAIRS), "forest")
     own = found.where("a is not null").select("a", "b", "pivot")
-    pairs = own.unionByName(_across(found.where("region is not null and pivot is null").select("region", "v", "n"), percent))
+    pairs = own.unionByName(_across(found.where("region is not null and pivot is null").select("region", "v", "n", "l"), percent))
     dense = found.where("region is not null and pivot").select("region", "v").distinct()
     # only regions of several rows matter
     several = dense.groupBy("region").count().where("count > 1").select("region")
@@ -418,6 +424,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("v"), "label")
 
 
+def _labelled(rows: DataFrame, label: DataFrame, vertex: str, name: str) -> DataFrame:
+    """rows with the component of a vertex; one without links is its own."""
+    own = label.select(F.col("v").alias(vertex), F.col("label").alias(name))
+    return rows.join(own, vertex, "left").withColumn(name, F.coalesce(name, vertex))
+
+
 def deduplicate(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs (doc_id, text).
 
@@ -426,6 +438,11 @@ def deduplicate(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     linked with nothing. Rows with a null doc_id take part; their own id never is a component_id
     unless no other is in the component. Repeated rows get the same answer.
     """
+    return _classified(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """What deduplicate returns, with the text's hash th and the component's label (-1 without words)."""
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets = written(_sets(docs, width), "sets")
@@ -434,20 +451,29 @@ def deduplicate(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     keys = ["k1", "k2"]
     members = sets.where("n > 0").join(classes, keys).where(F.col("doc_id").eqNullSafe(F.col("rep")))
     forest = written(members.dropDuplicates(keys).select("v", "n", "rep", "k1", "k2", "regions", "deeper"), "members")
-    pairs, dense = candidates(forest.select("v", "n", "regions", "deeper"), percent)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).unionByName(dense.select("v")).distinct()
-    needed = forest.join(wanted, "v").select("v", "rep", "k1", "k2")
-    texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["rep"])).select("v", "k1", "k2", "text")
-    texts = written(_of_class(texts, width).dropDuplicates(["v"]), "texts")
-    stars = written(confirm(pairs.where("pivot").select("a", "b"), texts, width, percent), "stars")
-    label = components(stars)
-    open_pairs = pairs.where(~F.col("pivot"))
-    for side in ("a", "b"):
-        own = label.select(F.col("v").alias(side), F.col("label").alias(f"l{side}"))
-        open_pairs = open_pairs.join(own, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
-    others = confirm(open_pairs.where("la <> lb").select("a", "b"), texts, width, percent)
-    links = written(stars.unionByName(others), "confirmed")
-    label = components(links)
+    links = label = None
+    dense = None
+    for first, last in ((0, FIRST), (FIRST, TREES)):
+        rows = forest.select("v", "n", "rep", "k1", "k2", "regions", "deeper")
+        rows = rows.withColumn("l", F.col("v")) if label is None else _labelled(rows, label, "v", "l")
+        pairs, some = candidates(rows.select("v", "n", "l", "regions", "deeper"), percent, first, last)
+        dense = some if dense is None else dense.unionByName(some)
+        wanted = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).unionByName(some.select("v")).distinct()
+        needed = forest.join(wanted, "v").select("v", "rep", "k1", "k2")
+        texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["rep"])).select("v", "k1", "k2", "text")
+        texts = written(_of_class(texts, width).dropDuplicates(["v"]), "texts")
+        found = confirm(pairs.where("pivot").select("a", "b"), texts, width, percent)
+        links = written(found if links is None else links.unionByName(found), "stars")
+        label = components(links)
+        others = pairs.where(~F.col("pivot"))
+        for side in ("a", "b"):
+            others = _labelled(others, label, side, f"l{side}")
+        found = confirm(others.where("la <> lb").select("a", "b"), texts, width, percent)
+        links = written(links.unionByName(found), "confirmed")
+        label = components(links)
+        every = texts if first == 0 else every.unionByName(texts)
+    dense = written(dense, "dense")
+    texts = written(every.join(dense.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"]), "texts")
     while True:
         more = written(confirm(_hub_pairs(dense, links, label), texts, width, percent), "hubs")
         if more.isEmpty():
@@ -461,10 +487,11 @@ def deduplicate(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     own = F.coalesce("label", "v")
     named = written(classes.join(label, "v", "left").select("k1", "k2", "rep", own.alias("label")), "named")
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "label").select("k1", "k2", "component_id")
-    full = sets.select("doc_id", "n", "k1", "k2")
-    out = full.where("n > 0").join(named, keys).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = full.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = named.join(lowest, "label").select("k1", "k2", "label", "component_id")
+    full = sets.select("doc_id", "th", "n", "k1", "k2")
+    size = F.col("n").alias("n_shingles")
+    out = full.where("n > 0").join(named, keys).select("doc_id", "th", size, "label", "component_id")
+    empty = full.where("n = 0").select("doc_id", "th", size, F.lit(-1).cast("bigint").alias("label"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -483,7 +510,22 @@ def _of_class(texts: DataFrame, width: int) -> DataFrame:
 
 
 def distinct(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are kept: one document of each component; a doc_id stays once."""
-    found = deduplicate(docs, width, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi")
-    return kept
+    """The rows of docs that are kept: one row of each component.
+
+    It has the component's smallest doc_id; of several such rows those with the smallest hash of the text,
+    and of these one. So repeated rows and copies under one doc_id leave one row, and a doc_id whose rows
+    lie in several components a row in each where it is the smallest. A row without a word is kept, once
+    for its doc_id.
+    """
+    kept = _classified(docs, width, percent).where("kept")
+    keys = kept.groupBy("doc_id", "label").agg(F.count("*").alias("c"), F.min("th").alias("th"))
+    keys = written(keys.select(F.col("doc_id").alias("__id"), F.col("label").alias("__l"), F.col("th").alias("__th"), "c"), "kept")
+
+    def rows(some: DataFrame, kind: str) -> DataFrame:
+        return docs.join(some, docs["doc_id"].eqNullSafe(some["__id"]) & (F.xxhash64(docs["text"]) == some["__th"]), kind)
+
+    out = rows(keys.where("c = 1"), "left_semi")
+    several = keys.where("c > 1")
+    if several.isEmpty():
+        return out
+    return out.unionByName(rows(several, "inner").dropDuplicates(["__id", "__l"]).select(*[docs[c] for c in docs.columns]))
