@@ -14,6 +14,8 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
+
 #: Words kept in a worker's cache; it is emptied when full.
 CACHE_WORDS = 1_000_000
 #: Code points encoded together.
@@ -21,6 +23,12 @@ BATCH = 400_000
 _SPACED = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+$")
 # Both vocabularies also split between a letter or digit and a stop.
 _STOP = re.compile(r"(?<=[^\W_])(?=[.,;:!?])")
+_STOPS = ".,;:!?"
+# Stops that are not alone behind a letter or digit: there a split would change the pre-tokens.
+_STOP_BEHIND_MARK = re.compile(r"[.,;:!?](?<=[^\w\s].|_.)", re.DOTALL)
+_STOP_BEHIND_ANY = re.compile(r"[.,;:!?](?<=\W.|_.)", re.DOTALL)
+# White space other than single spaces and line ends inside a text.
+_UNEVEN = re.compile(r"[ \n]{2}|[\t\r\x0b\x0c]|^[ \n]|[ \n]\Z")
 _ODD = re.compile("[\u0130\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -32,9 +40,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size(True))]
+        size = self.library.get_vocab_size(True)
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(size)]
+        # ids whose token ends a word, or in a byte vocabulary begins with a space
+        mark = str.endswith if drops_space else str.startswith
+        self.border = np.zeros(size, dtype=bool)
+        for token, i in self.library.get_vocab(True).items():
+            self.border[i] = mark(token, "</w>" if drops_space else "\u0120")
         self.words: dict[str, bytes] = {}
+        self.marked: dict[str, bytes] = {}
         self.drops_space = drops_space
 
     def whole(self, text: str) -> bool:
@@ -49,34 +63,88 @@ class Encoder:
             return text.split()  # white space here is that of ASCII
         return _SPACED.findall(text)
 
-    def _learn(self, words: Iterable[str]) -> None:
-        """Put words in the cache, and the parts of a word that end before a stop."""
+    def _split(self, text: str) -> tuple[list[str], bool]:
+        """Parts of a text, and whether they are marked.
+
+        Where all stops stand behind letters or digits they are parts of their own. A byte vocabulary's
+        text whose white space is single spaces and line ends is cut at the spaces: a part then has one
+        before it, or begins with the mark U+001E (texts that hold it are encoded whole).
+        """
+        if self.whole(text):
+            return [text], False
+        if self.drops_space:
+            if not _STOP_BEHIND_MARK.search(text):
+                for stop in _STOPS:
+                    text = text.replace(stop, " " + stop)
+            return text.split(), False
+        if not text or text[0] in _STOPS or _UNEVEN.search(text) or _STOP_BEHIND_ANY.search(text):
+            return _SPACED.findall(text), False
+        for stop in _STOPS:
+            text = text.replace(stop, " \x1e" + stop)
+        return ("\x1e" + text.replace("\n", " \x1e\n \x1e")).split(" "), True
+
+    def _letters(self, word: str) -> bool:
+        """Is the word letters, one pre-token? In a byte vocabulary with the one space before them."""
+        if self.drops_space:
+            return word.isalpha() and "\u0130" not in word
+        return word[:1] == " " and word[1:].isalpha() and "\u0130" not in word
+
+    def _learn(self, words: Iterable[str]) -> bool:
+        """Put words in the cache, and the parts of a word that end before a stop. Was it full and emptied?"""
         new = list(words)
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-        made, split, rest = self.words, [], []
+        emptied = self._room(len(new))
+        made, split, parts_of = self.words, [], {}
         for word in new:
-            parts = [word] if self.whole(word) else _STOP.split(word)
+            parts = [word] if self._letters(word) or self.whole(word) else _STOP.split(word)
             if len(parts) > 1:
                 split.append((word, parts))
             for part in parts:
                 if part not in made:
-                    # letters, with one space before them at most, are one pre-token: the model suffices
-                    if self.drops_space:
-                        known = part.lower() if part.isascii() and part.isalpha() else None
-                    else:
-                        known = _byte_letters(part) if (part[1:] if part[:1] == " " else part).isalpha() else None
-                    if known is None:
-                        rest.append(part)
-                        made[part] = b""
-                    else:
-                        made[part] = b"".join([self.bytes_of[t.id] for t in self.model.tokenize(known)])
+                    parts_of[part] = None
+        made.update(self._encoded(list(parts_of)))
+        for word, parts in split:
+            made[word] = b"".join([made[p] for p in parts])
+        return emptied
+
+    def _learn_marked(self, keys: set[str]) -> bool:
+        emptied = self._room(len(keys))
+        named = {key: key[1:] if key[0] == "\x1e" else " " + key for key in keys}
+        found = self._encoded(list(named.values()))
+        self.marked.update({key: found[part] for key, part in named.items()})
+        return emptied
+
+    def _room(self, new: int) -> bool:
+        if len(self.words) + len(self.marked) + new <= CACHE_WORDS:
+            return False
+        self.words.clear()
+        self.marked.clear()
+        return True
+
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of each part. Many plain words are encoded as one text; a word's ids end, or begin, where
+        the vocabulary marks it."""
+        out: dict[str, bytes] = {}
+        letters = [p for p in parts if self._letters(p)]
+        rest = [p for p in parts if not self._letters(p)]
+        for start in range(0, len(letters), 4000):
+            some = letters[start : start + 4000]
+            text = (" " if self.drops_space else "").join(some)
+            found = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ids = np.array(found, dtype="<u4")
+            borders = np.flatnonzero(self.border[ids])
+            if len(borders) != len(some):  # a word is not one pre-token after all
+                rest += some
+                continue
+            ends = borders + 1 if self.drops_space else np.r_[borders[1:], len(ids)]
+            data, last = ids.tobytes(), 0
+            for word, end in zip(some, (4 * ends).tolist(), strict=True):
+                out[word] = data[last:end]
+                last = end
         for start in range(0, len(rest), 2000):
             some = rest[start : start + 2000]
             for part, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                made[part] = b"".join([self.bytes_of[i] for i in found.ids])
-        for word, parts in split:
-            made[word] = b"".join([made[p] for p in parts])
+                out[part] = b"".join([self.bytes_of[i] for i in found.ids])
+        return out
 
     def learn(self, texts: list[str]) -> None:
         """Put the words of the texts in the cache."""
@@ -97,14 +165,16 @@ class Encoder:
         return [sum(self.counts(self.pieces(r))) for r in runs]
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
-        missing = set().union(*split).difference(self.words)
-        if missing:
-            self._learn(missing)
-            if missing := set().union(*split).difference(self.words):  # the cache was emptied
-                self._learn(missing)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        split = [self._split(t) for t in texts]
+        for cache_, learn, kind in ((self.words, self._learn, False), (self.marked, self._learn_marked, True)):
+            of_kind = [words for words, marked in split if marked == kind]
+            missing = set().union(*of_kind).difference(cache_)
+            if missing and learn(missing):  # the cache was emptied
+                for other, marked in ((self._learn, False), (self._learn_marked, True)):
+                    known = self.marked if marked else self.words
+                    other(set().union(*[w for w, m in split if m == marked]).difference(known))
+        plain, marked_ids = self.words.__getitem__, self.marked.__getitem__
+        return [b"".join(map(marked_ids if marked else plain, words)) for words, marked in split]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text, in order; null is empty. Texts are encoded in groups of bounded size, and
@@ -126,21 +196,6 @@ class Encoder:
             yield from self._group(group)
 
 
-@cache
-def _byte_table() -> dict[int, str]:
-    """Byte-level vocabularies write printable bytes as they are, the others from U+0100 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-def _byte_letters(word: str) -> str:
-    if word.isascii():
-        return word.replace(" ", "\u0120")
-    table = _byte_table()
-    return "".join([table[b] for b in word.encode("utf-8")])
-
-
 def _slices(text: str) -> Iterator[str]:
     """Parts that end where a word ends."""
     start = 0
