@@ -75,3 +75,15 @@ def test_empty_table_and_extra_columns(spark):
     assert warc.round_trip(empty, work_folder(spark, "warc-empty")).count() == 0
     clash = spark.createDataFrame([(1, "u", "x", "k", 3)], SCHEMA + ", kind string, digest int")
     assert warc.round_trip(clash, work_folder(spark, "warc-clash")).collect()[0]["record_type"] == "response"
+
+
+def test_repeated_ids_and_odd_ids(spark, tmp_path):
+    """One page id with payloads of different sizes and a revisit to it; ids with line ends and % signs."""
+    rows = [(5, "u", "x" * 10), (5, "u", "y" * 20), (3, "u", "x" * 10), (2, "u", "y" * 20)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "a")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got if r["page_id"] != 5) == [
+        (2, 20, "revisit", 5), (3, 10, "revisit", 5),
+    ]
+    rows = [("a\na", "u%0A", "payload"), ("%0A", "u", "payload"), ("", "u", "other"), ("b>", "u", "p")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string"), str(tmp_path / "b")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in got) == [("", 5, None), ("%0A", 7, "a\na"), ("a\na", 7, None), ("b>", 1, None)]

@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,23 +36,32 @@ def base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode("ascii")
 
 
-def _field(text: str) -> str:
-    """A header value on one line: control characters and % signs before them are percent-encoded."""
-    return "".join(c if c >= " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
+def _field(text: str, marks: str = "") -> str:
+    """A header value on one line: control characters, and those of marks, are percent-encoded."""
+    return "".join(c if c >= " " and c != "\x7f" and c not in marks else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
+
+
+def _id_field(page: str) -> str:
+    """An id in a header; _read_id gives it back."""
+    return _field(page, "% <>")
+
+
+def _read_id(value: str | None) -> str | None:
+    return None if value is None else unquote(value, errors="surrogatepass")
 
 
 def header(page: str | None, kind: str, uri: str | None, digest: str, size: int, refers_to: str | None) -> bytes:
     """WARC header, and the HTTP header that belongs to the record's block."""
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{_field(page or '')}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{_id_field(page or '')}>", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {_field(uri or '')}", f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
     ]
     if page is not None:
-        lines.append(f"X-Page-ID: {_field(page)}")
+        lines.append(f"X-Page-ID: {_id_field(page)}")
     if kind == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        lines.append(f"WARC-Refers-To: <urn:page:{_id_field(refers_to or '')}>")
         lines.append("WARC-Truncated: length")
     lines.append(f"Content-Length: {len(_HTTP) + size}")
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + _HTTP
@@ -181,7 +191,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                     if reader.left or kind == "response" and digest != stated:
                         raise ValueError(f"record {record[i]} is damaged")
                     refers = fields.get("WARC-Refers-To")
-                    out.append((fields.get("X-Page-ID"), kind, refers and refers[len("<urn:page:") : -1], stated, reader.size))
+                    out.append((_read_id(fields.get("X-Page-ID")), kind, _read_id(refers and refers[len("<urn:page:") : -1]), stated, reader.size))
                     reader, expected = _Reader(), 0
             names = ["page", "record_type", "refers_to", "payload_digest", "payload_bytes"]
             types = [pa.string()] * 4 + [pa.int64()]
@@ -197,14 +207,15 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUNK) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from written archives.
 
-    A revisit's size is that of the response it refers to.
+    A revisit's size is that of the responses with its digest: the page it refers to may have others.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     write_archive(pages, path, least, chunk)
     read = read_archive(pages.sparkSession, path)
-    sizes = read.where("record_type = 'response'").groupBy("page").agg(F.max("payload_bytes").alias("full"))
-    sizes = sizes.select(F.col("page").alias("refers_to"), "full")
-    out = read.join(sizes, "refers_to", "left")
+    sizes = read.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
+    # only digests of revisits matter; those are few keys, however many pages have them
+    again = read.where("record_type = 'revisit'").select("payload_digest").distinct()
+    out = read.join(sizes.join(again, "payload_digest", "left_semi"), "payload_digest", "left")
     return out.select(
         F.col("page").cast(kind).alias("page_id"),
         F.coalesce("full", "payload_bytes").alias("payload_bytes"),
