@@ -67,3 +67,31 @@ def test_reading_is_linear():
         start = time.perf_counter()
         maintext.main_text(part * 60_000, field)
         assert time.perf_counter() - start < 20, part
+
+
+def test_short_articles_in_all_frames():
+    """One to five paragraphs, alone or between a menu and a footer."""
+    field = maintext.default_field()
+    line = "The river rose by two metres on Monday, and the lower part of the town was flooded by the evening."
+    menu = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>Sport</a></li></ul></nav>"
+    foot = "<footer>&copy; 2020 The Paper. All rights reserved.</footer>"
+    for frame in ("<body><article>{}</article>", "<body><main>{}</main>", "<body><div class=content>{}</div>", "<body><div>{}</div>", "<body><section>{}</section>", "<body>{}"):
+        for count in range(1, 6):
+            want = " ".join([line] * count)
+            for before, after in (("", ""), (menu, foot)):
+                if (frame, count) == ("<body>{}", 1) and before:
+                    continue  # one paragraph that nothing tells from what is around it
+                page = "<html><head><title>T</title></head>" + frame.format(before + f"<p>{line}</p>" * count + after if frame == "<body>{}" else f"<p>{line}</p>" * count)
+                if frame != "<body>{}":
+                    page = page.replace("<body>", "<body>" + before) + after
+                assert maintext.main_text(page, field) == want, (frame, count, bool(before))
+
+
+def test_odd_attributes_and_embedded_text():
+    field = maintext.default_field()
+    line = "The river rose by two metres on Monday, and the lower part of the town was flooded by the evening."
+    for value in ("0.5", "''", "left", "9" * 5000, "-1", "1", "0"):
+        assert maintext.main_text(f"<body><article><p data-y={value}>{line}</p><p>{line}</p></article>", field) == f"{line} {line}"
+    page = f"<body><article><p>{line}</p><p>Its height <math><mi>h</mi><mo>=</mo><mn>2</mn></math> was a record for this part of the river.</p><noscript><p>{line}</p></noscript><object data=x><p>{line}</p></article>"
+    text = maintext.main_text(page, field)
+    assert "Its height h=2 was a record" in text and text.count(line) == 3

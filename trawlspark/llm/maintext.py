@@ -30,10 +30,11 @@ from trawlspark.llm.stage import ship
 # Element kinds of HTML.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr object canvas math semantics annotation mrow mi mn mo ms mtext mspace "
+    "mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom mfenced menclose".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title textarea select option svg math iframe object canvas".split())
+HIDDEN = frozenset("script style template title textarea select option svg iframe".split())
 RAW = frozenset("script style title textarea iframe".split())
 TAGS = (
     "article main section nav header footer aside form ul ol li table td th dl blockquote figure figcaption pre "
@@ -102,7 +103,7 @@ def _groups(attributes: str) -> tuple[list[int], int | None]:
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "data-y":
-            label = int(value)
+            label = int(value) if value in ("0", "1") else None  # of labelled pages; given ones may hold anything
             continue
         for word in _SPLIT.split(_CAMEL.sub(" ", value).lower()):
             if word in _GROUP:
@@ -341,6 +342,8 @@ _INNER = [
     "<table><tr><th>{w}</th><td>{w}</td></tr></table>", "<figure><img><figcaption>{s}</figcaption></figure>", "<p><b>{w}<br><p>{l}</p>",
     "<div>{l}</div>", "<h3>{w}</h3>", "<p>{w} | {w}</p>", "<p>Licensed under {w}.</p>", "<p>Copyright (c) 2019 {w}. {s}</p>", "<p>&copy; {w}</p>", "{l}<br><br>{s}", "<header><h1>{w}</h1></header>",
 ]
+_SHORT = ["<p>{l}</p>", "<p>{l}</p>", "<p>{s}</p>", "<p>{s} {s}</p>", "<p>{s} {a} {s}</p>", "<div>{l}</div>", "<p>{w}.</p>"]
+_BARE = ["<div data-y=1>{inner}</div>", "<section data-y=1>{inner}</section>", "<article data-y=1>{inner}</article>", "<body data-y=1>{inner}"]
 _WITHIN = [
     "<div class='ad' data-y=0>{s}</div>", "<aside class=related data-y=0><h3>{w}</h3><ul><li>{a}</li><li>{a}</li></ul></aside>",
     "<div class='share social' data-y=0>{a} {a}</div>", "<div class=newsletter data-y=0><p>{s}</p><form><label>{w}</label><button>{w}</button></form></div>",
@@ -366,7 +369,7 @@ _AFTER = [
 ]
 
 
-def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
+def labelled_pages(count: int = 800, seed: int = 11) -> list[str]:
     """Pages of random layouts with data-y labels; words are made up, so that only form can be learned."""
     rng = random.Random(seed)
 
@@ -383,15 +386,18 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
         return re.sub(r"\{([slwa])\}", lambda m: made[m[1]](), layout)
 
     pages = []
-    for _ in range(count):
-        inner = [rng.choice(_INNER) for _ in range(rng.randint(1, 9))]
-        if rng.random() < 0.6:
+    for number in range(count):
+        # every other page is short: a few paragraphs, little or nothing around them
+        short = number % 2 == 1
+        inner = [rng.choice(_SHORT if short else _INNER) for _ in range(rng.randint(1, 3 if short else 9))]
+        if rng.random() < (0.2 if short else 0.6):
             inner.insert(0, "<h1>{w}</h1>")
-        if rng.random() < 0.35:
+        if not short and rng.random() < 0.35:
             inner.insert(rng.randint(0, len(inner)), rng.choice(_WITHIN))
-        before = rng.sample(_BEFORE, rng.randint(0, 4))
-        after = rng.sample(_AFTER, rng.randint(0, 4))
-        frame = rng.choice(_MAIN).replace("{c}", rng.choice(["", " class=post"])).replace("{inner}", "".join(inner))
+        most = rng.choice((0, 1, 2)) if short else 4
+        before = rng.sample(_BEFORE, rng.randint(0, most))
+        after = rng.sample(_AFTER, rng.randint(0, most))
+        frame = rng.choice([*_MAIN, *_BARE] if short else _MAIN).replace("{c}", rng.choice(["", " class=post"])).replace("{inner}", "".join(inner))
         pages.append(fill("<html><head><title>{w}</title></head><body>" + "".join([*before, frame, *after]) + "</body></html>"))
     return pages
 
