@@ -19,6 +19,7 @@ from ..functions.http import is_fail, is_success
 from ..functions.robots import allowed
 from ..functions.rules import FIRST_MATCH, Rule, accepts
 from .robots import with_rules
+from .seen import SeenSet
 from .skew import Running, lay_out, running
 
 SEEN = "SeenAlready"
@@ -33,8 +34,6 @@ SCHEMES = ["http", "https"]
 # are shuffled to their buckets
 BROADCAST_BYTES = 16 << 20
 
-# union plans of more seen levels than this are replaced by one checkpoint
-SEEN_LEVELS = 8
 
 
 def decide(
@@ -136,7 +135,7 @@ def crawl(
 
     Edges and responses are bucketed by page once. Each level joins them with the fetched
     pages, keeps the first finder of each URI with a partial aggregation, drops
-    seen URIs and is checkpointed, so neither plans nor lost executors reach back
+    seen URIs, which stay in their buckets, and is checkpointed, so neither plans nor lost executors reach back
     beyond it. Jobs whose fetch budget is spent are not expanded any further.
     """
     # edges and responses move once; level after level then moves only itself
@@ -165,7 +164,7 @@ def crawl(
 
     fresh = seeds.select("job_id", "uri").dropDuplicates().withColumn("parent_pos", F.lit(0))
     levels: list[DataFrame] = []
-    seen: list[DataFrame] = []
+    seen = SeenSet(seeds.sparkSession)
     spent: DataFrame | None = None
     depth = 0
     try:
@@ -192,9 +191,7 @@ def crawl(
             levels.append(level)
             if depth >= max_depth or not largest:
                 break
-            if len(seen) >= SEEN_LEVELS:
-                seen = [reduce(DataFrame.unionByName, seen).checkpoint()]
-            seen.append(level.select("job_id", "uri"))
+            seen.add(level)
             parents = level.filter(is_success(F.col("status")))
             if max_fetches is not None:
                 fetched_well = parents.groupBy("job_id").agg(F.count("*").alias("_ok"))
@@ -213,12 +210,13 @@ def crawl(
                 .groupBy("job_id", F.col("_to").alias("uri"))
                 .agg(F.min("_p").alias("parent_pos"))
             )
-            fresh = unseen(found, reduce(DataFrame.unionByName, seen))
+            fresh = seen.unseen(found)
             depth += 1
     finally:
         for layout in (graph, stored):
             if layout is not None:
                 layout.drop()
+        seen.drop()
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -449,7 +449,7 @@ SELECT page_id, content_type, coalesce(starts_with(content_type, 'text/html'), f
   strlen(html) AS content_length, strlen(html) AS stored_bytes FROM p""",
     "document_read": f"""WITH {PAGES}, d AS (SELECT 'job-' || (page_id % 7) AS job_id, uri,
   CASE WHEN page_id % 3 > 0 THEN 'text/html' ELSE 'undefined' END AS content_type,
-  strlen(html) AS stored_bytes FROM p WHERE page_id % 7 IN (2, 5)),
+  strlen(html) AS stored_bytes FROM p),
 k AS (SELECT job_id, min(uri) AS uri FROM d WHERE contains(uri, '?') GROUP BY job_id)
 SELECT job_id, uri, content_type, stored_bytes FROM d JOIN k USING (job_id, uri)""",
     "metadata_read": f"""WITH {PAGES} SELECT 'job-3' AS job_id, uri, (page_id % 4)::INT AS depth,
@@ -623,4 +623,15 @@ r AS (SELECT job_id, pos, CASE WHEN pending = 0 THEN 'Completed: Completed Okay'
     WHEN pos - 1 > 20 AND bad >= 0.5 * (pos - 1) THEN 'Aborted: Too many failed fetches' END AS said FROM a)
 SELECT 'job-' || job_id AS job_id, min(pos) AS stop_pos, split_part(arg_min(said, pos), ': ', 1) AS state, split_part(arg_min(said, pos), ': ', 2) AS message
 FROM r WHERE said IS NOT NULL GROUP BY job_id""",
+    "robots_from_files": f"""WITH {PAGES}
+SELECT page_id, uri, {robots_allowed('site', 'path')} AS allowed FROM p""",
+    "retention_days": f"""WITH {LOG} SELECT job_id, event_id, log_ms FROM l WHERE log_ms >= 1706659200000 - 7 * 86400000""",
+    "config_upsert": f"""WITH {SITES} SELECT site AS crawler_id,
+  CASE WHEN starts_with(site, 'https:') THEN 'Again Crawl of ' ELSE 'Crawl of ' END || upper(site) AS crawler_name
+FROM s WHERE NOT ends_with(site, '.org')""",
+    "document_upsert": f"""WITH {PAGES}, d AS (
+  SELECT 'job-' || (page_id % 7) AS job_id, uri, page_id, 1 AS version, strlen(html) AS n FROM p
+  UNION ALL SELECT 'job-' || (page_id % 7), uri, page_id, 2, strlen(html) + 5 FROM p WHERE page_id % 2 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id, uri ORDER BY version DESC, page_id DESC) AS rn FROM d)
+SELECT job_id, uri, page_id, version, n AS stored_bytes FROM r WHERE rn = 1 AND NOT contains(uri, '?')""",
 }

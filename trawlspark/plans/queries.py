@@ -15,6 +15,8 @@ from ..operators.canonicalize import canonicalize, duplicate_urls
 from ..session import prepare, work_folder
 from ..sources import configs as config_source
 from ..sources import tables
+from ..sources.keyed import DayTable, KeyedTable
+from ..sources.robots_files import read_robots_files, write_robots_files
 from ..streaming import feeds, outcome, timers
 from ..streaming import journal as J
 from . import inputs as I
@@ -42,7 +44,7 @@ LOG_RULE = {"seeds": 20, "max_queue": 30, "max_fetches": 40, "max_fail": 0.5}
 MID_MONTH_MS = 1_705_363_200_000
 LOG_TIMEOUT_MS = 10 * 24 * 60 * 60 * 1000
 MAP_DEPTH = 4
-LEVEL_DEPTH = 3
+LEVEL_DEPTH = 4
 BUDGETS = {
     "fetches": (1_000_000_000, 700, 1.1),
     "queue": (300, 1_000_000_000, 1.1),
@@ -183,6 +185,14 @@ def robots_listing(spark, sf):
     )
 
 
+def robots_from_files(spark, sf):
+    """Which pages may be fetched by robots files read from folders; sites without a file allow all."""
+    folder = work_folder(spark, "robots")
+    write_robots_files(I.robots_files(spark, sf), folder)
+    rules = robots.robots_rules(read_robots_files(spark, folder), I.AGENT)
+    return robots.robots_allow(_page_uris(spark, sf), rules).select("page_id", "uri", "allowed")
+
+
 # --- links ------------------------------------------------------------------------
 
 
@@ -324,16 +334,9 @@ def document_tables(spark, sf):
 def document_read(spark, sf):
     """Point read of each job's document with the smallest URI that has a query."""
     folder = _document_tables(spark, sf)
-    keys = (
-        spark.read.parquet(f"{folder}/document")
-        .filter(F.col("job_id").isin("job-2", "job-5") & F.contains("uri", F.lit("?")))
-        .groupBy("job_id")
-        .agg(F.min("uri"))
-        .collect()
-    )
-    found = [tables.find_document(spark, f"{folder}/document", job, uri) for job, uri in keys]
-    rows = reduce(DataFrame.unionByName, found) if found else spark.read.parquet(f"{folder}/document").limit(0)
-    return rows.select("job_id", "uri", "content_type", F.octet_length("content").cast("bigint").alias("stored_bytes"))
+    stored = spark.read.parquet(f"{folder}/document")
+    keys = stored.filter(F.contains("uri", F.lit("?"))).groupBy("job_id").agg(F.min("uri").alias("uri"))
+    return tables.find_documents(spark, f"{folder}/document", keys).select("job_id", "uri", "content_type", F.octet_length("content").cast("bigint").alias("stored_bytes"))
 
 
 def metadata_read(spark, sf):
@@ -620,6 +623,40 @@ def retention(spark, sf):
     ).select("job_id", "event_id", "log_ms")
 
 
+def retention_days(spark, sf):
+    """The fetch log in folders by day, expired days dropped: rows left, by day of the log."""
+    folder = work_folder(spark, "days")
+    log = DayTable(spark, folder, "fetch_log", "log_ms")
+    log.append(I.fetch_log(spark, sf).select("job_id", "event_id", "log_ms"))
+    log.drop_expired(RETENTION_ASOF_MS)
+    return log.read(RETENTION_ASOF_MS)
+
+
+def config_upsert(spark, sf):
+    """Stored configurations: inserted, some overwritten by id, some deleted."""
+    stored = KeyedTable(spark, work_folder(spark, "configs"), ["crawler_id"], 8)
+    configs = I.configs(spark, sf)
+    stored.upsert(_stored(spark, sf))
+    secure = configs.filter(F.col("crawler_id").startswith("https:"))
+    changed = secure.withColumn("crawler_name", F.concat(F.lit("Again "), "crawler_name"))
+    stored.upsert(changed.select("crawler_id", config_source.config_json().alias("config_json")))
+    stored.delete(configs.filter(F.col("crawler_id").endswith(".org")))
+    return config_source.parse_configs(stored.read()).select("crawler_id", "crawler_name")
+
+
+def document_upsert(spark, sf):
+    """Documents keyed by (job, URI), fetched twice where the page id is even: the later version stays."""
+    stored = KeyedTable(spark, work_folder(spark, "documents"), ["job_id", "uri"], 16)
+    rows = I.page_rows(spark, sf).select(
+        F.concat(F.lit("job-"), (F.col("page_id") % 7).cast("string")).alias("job_id"), "uri", "page_id", "html", F.lit(1).alias("version")
+    )
+    stored.upsert(rows, ["page_id"])
+    again = rows.filter(F.col("page_id") % 2 == 0).withColumns({"html": F.concat("html", F.lit("again")), "version": F.lit(2)})
+    stored.upsert(again, ["page_id"])
+    wanted = rows.select("job_id", "uri").filter(~F.contains("uri", F.lit("?")))
+    return stored.find_all(wanted).select("job_id", "uri", "page_id", "version", F.octet_length("html").cast("bigint").alias("stored_bytes"))
+
+
 def upsert_jobs(spark, sf):
     """A table written at mid-month takes in the jobs that finished afterwards."""
     rows = I.snapshots_of(I.fetch_log(spark, sf)).select(
@@ -813,6 +850,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "robots_delay": robots_delay,
     "robots_stale": robots_stale,
     "robots_listing": robots_listing,
+    "robots_from_files": robots_from_files,
     "links_html": links_html,
     "links_per_page": links_per_page,
     "link_targets": link_targets,
@@ -857,6 +895,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jobs_by_day": jobs_by_day,
     "log_latest": log_latest,
     "retention": retention,
+    "retention_days": retention_days,
+    "config_upsert": config_upsert,
+    "document_upsert": document_upsert,
     "upsert_jobs": upsert_jobs,
     "config_json": config_json,
     "config_list": config_list,

@@ -83,3 +83,10 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that this package wrote; a missing one is fine."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str] | None:
+    """Names in a folder; null if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else None

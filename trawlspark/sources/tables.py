@@ -72,6 +72,12 @@ def find_document(spark: SparkSession, path: str, job_id: str, uri: str) -> Data
     return of_job(spark, path, job_id).filter(F.col("uri") == uri)
 
 
+def find_documents(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """Documents of many keys (job_id, uri): a semi-join by folder, job and URI."""
+    wanted = keys.select("job_id", "uri").withColumn("job_bucket", bucket_of(F.col("job_id").cast("string")))
+    return spark.read.parquet(path).join(wanted, ["job_bucket", "job_id", "uri"], "left_semi").drop("job_bucket")
+
+
 def metadata_of_job(spark: SparkSession, path: str, job_id: str) -> DataFrame:
     return of_job(spark, path, job_id).orderBy("depth", "fetched", "uri")
 
@@ -98,9 +104,10 @@ def write_jobs(jobs: DataFrame, by_date: str, by_crawler: str, mode: str = "appe
     )
 
 
-def document_rows(responses: DataFrame) -> DataFrame:
-    """Document table rows; an absent content type is written as "undefined"."""
+def document_rows(responses: DataFrame, *more: str) -> DataFrame:
+    """Document table rows, with more columns; an absent content type is written as "undefined"."""
     return responses.select(
+        *more,
         "crawler_id",
         "job_id",
         "uri",
@@ -109,8 +116,9 @@ def document_rows(responses: DataFrame) -> DataFrame:
     )
 
 
-def metadata_rows(responses: DataFrame) -> DataFrame:
+def metadata_rows(responses: DataFrame, *more: str) -> DataFrame:
     return responses.select(
+        *more,
         "crawler_id",
         "job_id",
         "uri",
