@@ -173,3 +173,25 @@ def test_deadlines_on_the_clock_of_the_machine(spark, tmp_path):
     finally:
         query.stop()
     assert [(r.job_id, r.stop_pos, r.message) for r in found] == [("job", 2, "late")]
+
+
+def test_bounded_memory_of_seen_links(spark, tmp_path):
+    """State shrinks behind the watermark; a repeat after the bound counts as new, one within it does not."""
+    given, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "job_id int, uri string, minute bigint"
+    for rows in ([(1, f"/{i}", 0) for i in range(1000, 1050)], [(1, "/1000", 5), (1, "/x", 5)], [(1, "/y", 100)], [(1, "/v", 101)], [(1, "/1000", 130), (1, "/z", 130)], [(1, "/1000", 135), (1, "/w", 200)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(given)
+        import time
+
+        time.sleep(0.05)
+    links = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(given).withColumn("at", F.timestamp_seconds((F.col("minute") + 10) * 60))
+    query = (
+        feeds.unseen_links(links, "at", "30 minutes").writeStream.outputMode("append")
+        .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch_id={i}"))
+        .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(state) >= 51 and state[-1] <= 4
+    got = sorted((r.uri, r.minute) for r in spark.read.parquet(out).collect() if not r.uri.startswith("/10") or r.uri == "/1000")
+    assert got == [("/1000", 0), ("/1000", 130), ("/v", 101), ("/w", 200), ("/x", 5), ("/y", 100), ("/z", 130)]

@@ -10,12 +10,14 @@ def latest(snapshots: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     """The last written row per key, as an overwrite by primary key leaves it.
 
     ``max_by`` keeps one row per key on each task before the shuffle; a window
-    would move every snapshot.
+    would move every snapshot. Of rows that are equal in ``order`` the one with the
+    largest hash counts, so reruns agree.
     """
     rest = [c for c in snapshots.columns if c not in keys]
+    hashed = [c for c in rest if snapshots.schema[c].dataType.typeName() not in ("map", "variant")]
     return (
         snapshots.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+        .agg(F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*hashed))).alias("_row"))
         .select(*keys, "_row.*")
     )
 
@@ -26,6 +28,11 @@ def latest_jobs(snapshots: DataFrame) -> DataFrame:
     return latest(ranked, ["job_id"], ["_finished", "snapshot_ms"]).drop("_finished")
 
 
+def find_job(jobs: DataFrame, crawler_id, job_id) -> DataFrame:
+    """The job of a crawler with an id."""
+    return jobs.filter((F.col("crawler_id") == crawler_id) & (F.col("job_id") == job_id))
+
+
 def jobs_of_crawler(jobs: DataFrame, crawler_id) -> DataFrame:
     return jobs.filter(F.col("crawler_id") == crawler_id).orderBy(F.desc("created_ms"), "job_id")
 

@@ -634,4 +634,19 @@ FROM s WHERE NOT ends_with(site, '.org')""",
   UNION ALL SELECT 'job-' || (page_id % 7), uri, page_id, 2, strlen(html) + 5 FROM p WHERE page_id % 2 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY job_id, uri ORDER BY version DESC, page_id DESC) AS rn FROM d)
 SELECT job_id, uri, page_id, version, n AS stored_bytes FROM r WHERE rn = 1 AND NOT contains(uri, '?')""",
+    "job_breakdown": f"""WITH {LOG}, x AS (
+  SELECT job_id, 'type' AS kind, coalesce(content_type, 'undefined') AS name, count(*) AS "count", sum(content_length)::BIGINT AS total_bytes
+  FROM l WHERE status BETWEEN 200 AND 299 GROUP BY ALL
+  UNION ALL SELECT job_id, 'code', 'HTTP ' || status, count(*), NULL FROM l GROUP BY job_id, status)
+SELECT *, (row_number() OVER (PARTITION BY job_id, kind ORDER BY name))::INT AS place,
+  CASE WHEN total_bytes IS NOT NULL THEN {bytes_text('total_bytes')} END AS bytes_text FROM x""",
+    "job_uris": f"""WITH {LOG} SELECT job_id, 20 + sum(links_extracted)::BIGINT AS uris_seen,
+  20 + sum(links_extracted)::BIGINT - count(*) AS uris_queued FROM l GROUP BY job_id""",
+    "uris_sketched": f"""WITH {LOG} SELECT job_id, count(DISTINCT uri) AS uris_seen, true AS "close" FROM l GROUP BY job_id""",
+    "jobs_by_key": f"""WITH {SNAPSHOTS}, a AS (SELECT crawler_id, job_id, snapshot_ms >= 1705363200000 AS later,
+    arg_max(struct_pack(snapshot_ms := snapshot_ms, event_id := event_id, state := state, message := message), (snapshot_ms, event_id)) AS r FROM j GROUP BY ALL),
+b AS (SELECT crawler_id, job_id, arg_max(r, later) AS r FROM a GROUP BY ALL)
+SELECT crawler_id, job_id, r.snapshot_ms, r.event_id, r.state, r.message FROM b
+WHERE job_id IN (SELECT job_id FROM j WHERE state = 'Completed')""",
+    "seen_stream_bounded": f"WITH {LOG} SELECT DISTINCT job_id, uri FROM l",
 }

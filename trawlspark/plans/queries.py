@@ -556,6 +556,30 @@ def _judged(spark, sf):
     )
 
 
+def job_uris(spark, sf):
+    return fetchlog.uri_totals(I.fetch_log(spark, sf), LOG_RULE["seeds"])
+
+
+def uris_sketched(spark, sf):
+    """Distinct URIs of each job from daily sketches, held against the exact number."""
+    log = I.fetch_log(spark, sf)
+    folder = work_folder(spark, "sketches")
+    fetchlog.uri_sketches(log.withColumn("day", F.to_date("log_time")), "day").write.partitionBy("day").parquet(folder)
+    estimate = fetchlog.sketched_counts(spark.read.parquet(folder)).withColumnRenamed("uris_seen", "_estimate")
+    off = F.abs(F.col("_estimate") - F.col("uris_seen"))
+    return fetchlog.uri_counts(log).join(estimate, "job_id").select("job_id", "uris_seen", (off <= 0.1 * F.col("uris_seen")).alias("close"))
+
+
+def jobs_by_key(spark, sf):
+    """Point reads of (crawler, job) on a table that takes in each day's snapshots by key."""
+    stored = KeyedTable(spark, work_folder(spark, "jobs"), ["crawler_id", "job_id"], 8)
+    snapshots = I.snapshots_of(I.fetch_log(spark, sf)).select("crawler_id", "job_id", "snapshot_ms", "event_id", "state", "message")
+    for part in (F.col("snapshot_ms") < MID_MONTH_MS, F.col("snapshot_ms") >= MID_MONTH_MS):
+        stored.upsert(snapshots.filter(part), ["snapshot_ms", "event_id"])
+    wanted = snapshots.filter(F.col("state") == "Completed").select("crawler_id", "job_id")
+    return stored.find_all(wanted)
+
+
 def stop_point(spark, sf):
     return _judged(spark, sf).filter(F.col("state") != KEEP[0]).groupBy("job_id").agg(
         F.min("pos").alias("stop_pos")
@@ -794,6 +818,14 @@ def seen_stream(spark, sf):
     return spark.read.parquet(f"{folder}/rows").select("job_id", "uri")
 
 
+def seen_stream_bounded(spark, sf):
+    """First appearances, remembered for 400 days of event time, which is longer than the given events span."""
+    folder = work_folder(spark, "seen")
+    rows = I.fetch_log_of(I.event_stream(spark, sf)).select("job_id", "uri", "log_time")
+    _run(_upserting(feeds.unseen_links(rows, "log_time", "400 days"), folder, "append"))
+    return spark.read.parquet(f"{folder}/rows").select("job_id", "uri")
+
+
 def decided_stream(spark, sf):
     folder = work_folder(spark, "decided")
     pages = I.table_stream(spark, sf, "pages")
@@ -884,6 +916,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "media_counters": _on_log(fetchlog.media_counters),
     "counter_entries": counter_entries,
     "job_summary": _on_log(fetchlog.job_summary),
+    "job_breakdown": _on_log(fetchlog.job_breakdown),
+    "job_uris": job_uris,
+    "uris_sketched": uris_sketched,
+    "jobs_by_key": jobs_by_key,
     "uris_seen": _on_log(fetchlog.uri_counts),
     "fetch_log_running": fetch_log_running,
     "stop_point": stop_point,
@@ -910,6 +946,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "counters_stream": counters_stream,
     "job_states_stream": job_states_stream,
     "seen_stream": seen_stream,
+    "seen_stream_bounded": seen_stream_bounded,
     "decided_stream": decided_stream,
     "outcome_stream": outcome_stream,
     "ended_stream": ended_stream,

@@ -38,7 +38,9 @@ def unseen_links(
     links: DataFrame, event_time: str | None = None, bound: str | None = None
 ) -> DataFrame:
     """First appearance of each (job_id, uri). State grows with the distinct URIs
-    unless ``bound`` limits how long one is remembered."""
+    unless ``bound`` limits how long one is remembered: a repeat within it is dropped,
+    one after the watermark has passed it and a batch has evicted it counts as new.
+    Rows older than the watermark are dropped."""
     if event_time is None or bound is None:
         return links.dropDuplicates(["job_id", "uri"])
     return links.withWatermark(event_time, bound).dropDuplicatesWithinWatermark(["job_id", "uri"])
