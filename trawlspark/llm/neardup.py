@@ -347,17 +347,20 @@ def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, perc
     blocks = written(dealt.select("region", "g", "k").distinct(), "blocks")
     other = blocks.select("region", F.col("g").alias("g2"), F.col("k").alias("k2"))
     tiles = blocks.join(other, "region").where("(g, k) <= (g2, k2) AND (g <> g2 OR g < 0)")
-    tiles = written(tiles.withColumn("t", F.xxhash64("region", "g", "k", "g2", "k2")), "tiles")
-    sides = tiles.select("region", "g", "k", "t", F.lit(0).alias("side")).unionByName(
-        tiles.select("region", F.col("g2").alias("g"), F.col("k2").alias("k"), "t", F.lit(1).alias("side"))
+    tiles = tiles.withColumns({"t": F.xxhash64("region", "g", "k", "g2", "k2"), "one": F.expr("(g, k) = (g2, k2)")})
+    tiles = written(tiles, "tiles")
+    sides = tiles.select("region", "g", "k", "t", "one", F.lit(0).alias("side")).unionByName(
+        tiles.select("region", F.col("g2").alias("g"), F.col("k2").alias("k"), "t", "one", F.lit(1).alias("side"))
     )
-    bits = written(_sketches(texts.join(dealt.select("v").distinct(), "v"), width), "sketches")
-    put = dealt.join(sides, ["region", "g", "k"]).select("t", "side", "v", "l").join(bits, "v")
-    put = put.select("t", "side", "v", "l", "n", "bits").repartition("t").sortWithinPartitions("t")
+    # a row's dense regions, at most one of each tree: a pair counts in the first that it shares
+    shared = dealt.groupBy("v").agg(F.collect_set("region").alias("regions"))
+    bits = written(_sketches(texts.join(shared.select("v"), "v"), width).join(shared, "v"), "sketches")
+    put = dealt.join(sides, ["region", "g", "k"]).select("t", "one", "side", "v", "l", "region").join(bits, "v")
+    put = put.select("t", "one", "side", "v", "l", "region", "n", "bits", "regions").repartition("t").sortWithinPartitions("t")
     share = (100 + percent) / 200
     limit = SKETCH * (1 - share) + SIGMAS * (SKETCH * share * (1 - share)) ** 0.5
 
-    def near(side, v, l, n, words) -> pa.RecordBatch:
+    def near(one, side, v, l, region, n, words, regions) -> pa.RecordBatch:
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for i in range(0, len(x), 256):
@@ -367,7 +370,8 @@ def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, perc
                 far += np.bitwise_count(words[at, w][:, None] ^ words[y, w][None, :])
             p, q = np.nonzero((far <= limit) & (l[at][:, None] != l[y][None, :]))
             p, q = at[p], y[q]
-            on = np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * percent
+            on = (np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * percent) & (~one[p] | (v[p] < v[q]))
+            on[on] = [min(regions[i] & regions[j]) == r for i, j, r in zip(p[on], q[on], region[p[on]], strict=True)]
             a.append(np.minimum(v[p[on]], v[q[on]]))
             b.append(np.maximum(v[p[on]], v[q[on]]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -381,9 +385,10 @@ def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, perc
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(i).to_numpy() for i in range(5)]
-            raw = b"".join(batch.column(5).to_pylist())
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            raw = b"".join(batch.column(7).to_pylist())
             columns.append(np.frombuffer(raw, dtype=np.uint64).reshape(batch.num_rows, SKETCH // 64))
+            columns.append(np.fromiter(map(frozenset, batch.column(8).to_pylist()), dtype=object, count=batch.num_rows))
             t = columns[0]
             cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
             for start, end in zip(cut[:-1], cut[1:], strict=True):
@@ -394,7 +399,7 @@ def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, perc
         if held:
             yield whole()
 
-    return put.mapInArrow(run, "a bigint, b bigint").distinct()
+    return put.mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -462,13 +467,16 @@ def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
         needed = forest.join(wanted, "v").select("v", "rep", "k1", "k2")
         texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["rep"])).select("v", "k1", "k2", "text")
         texts = written(_of_class(texts, width).dropDuplicates(["v"]), "texts")
-        found = confirm(pairs.where("pivot").select("a", "b"), texts, width, percent)
-        links = written(found if links is None else links.unionByName(found), "stars")
-        label = components(links)
-        others = pairs.where(~F.col("pivot"))
-        for side in ("a", "b"):
-            others = _labelled(others, label, side, f"l{side}")
-        found = confirm(others.where("la <> lb").select("a", "b"), texts, width, percent)
+        if label is None:
+            links = written(confirm(pairs.where("pivot").select("a", "b"), texts, width, percent), "stars")
+            label = components(links)
+            others = pairs.where(~F.col("pivot"))
+            for side in ("a", "b"):
+                others = _labelled(others, label, side, f"l{side}")
+            others = others.where("la <> lb")
+        else:
+            others = pairs  # all of them between what the first trees left apart
+        found = confirm(others.select("a", "b"), texts, width, percent)
         links = written(links.unionByName(found), "confirmed")
         label = components(links)
         every = texts if first == 0 else every.unionByName(texts)
