@@ -11,14 +11,10 @@ from .queries import (
     MAP_DEPTH,
     MAX_BYTES,
     MID_MONTH_MS,
-    PAGE_RULES,
     RETENTION_ASOF_MS,
     ROBOTS_CONFIG_MS,
     STALE_ASOF_MS,
 )
-from ..functions import rules as R
-from ..functions import stop
-from ..operators.filtering import AGENT_MISSING, SEEDS_MISSING
 
 # --- shared parts -----------------------------------------------------------------
 
@@ -65,10 +61,47 @@ ENCODED = "replace(replace(url_encode(href), '%2F', '/'), '%2C', ',')"
 LINKS = f"l AS (SELECT DISTINCT page_id, page_uri, site, href, txt, site || {ENCODED} AS uri FROM h)"
 
 
-def rule_case(uri: str, kind: str, what: str) -> str:
+# The page rules in the order they are tried, written out: accepted or not, and the pattern.
+AS_WRITTEN = [
+    (False, "https?://[^/]*cheap-pills"),
+    (True, "http://blog[.]"),
+    (False, "http://[^?]*[.]html"),
+    (True, "https://(www|m)[.]"),
+    (True, "(?i)HTTP://"),
+    (False, "https://[^/]*/fr/"),
+    (True, "https://[^/]*/(fr|de)/"),
+]
+REJECTS_FIRST = [
+    (False, "https?://[^/]*cheap-pills"),
+    (False, "http://[^?]*[.]html"),
+    (False, "https://[^/]*/fr/"),
+    (True, "http://blog[.]"),
+    (True, "https://(www|m)[.]"),
+    (True, "(?i)HTTP://"),
+    (True, "https://[^/]*/(fr|de)/"),
+]
+
+# Messages of configuration checks, state and message of each outcome.
+NO_AGENT = (
+    "Please set a sensible userAgent value in your crawler configuration."
+    "This is used to form a User-agent header during HTTP fetch requests "
+    "to help identify your crawler to the web server. Some web servers will "
+    "block requests if a user agent is not defined. "
+    "The user agent is also used when evaluating Robots Exclusion rules."
+)
+NO_SEEDS = "seed URIs are required to start a crawler"
+OUTCOME_TEXTS = [
+    ("Completed", "Completed Okay"),
+    ("Aborted", "Too many URIs queued for crawling"),
+    ("Aborted", "Crawl exceeded maximum fetch requests"),
+    ("Aborted", "Too many failed fetches"),
+]
+
+
+def rule_case(uri: str, rules: list[tuple[bool, str]], what: str) -> str:
     """CASE over the page rules; ``what`` is accepted, pattern or text."""
     out = []
-    for accept, regex in R.ordered_rules(PAGE_RULES, kind):
+    for accept, regex in rules:
         value = {
             "accepted": str(accept).lower(),
             "pattern": f"'{regex}'",
@@ -84,10 +117,10 @@ def rule_case(uri: str, kind: str, what: str) -> str:
     return "CASE " + " ".join(out) + f" ELSE {other} END"
 
 
-def filtered(kind: str) -> str:
+def filtered(rules: list[tuple[bool, str]]) -> str:
     return (
-        f"WITH {PAGES} SELECT page_id, uri, {rule_case('uri', kind, 'accepted')} AS accepted, "
-        f"{rule_case('uri', kind, 'pattern')} AS pattern FROM p"
+        f"WITH {PAGES} SELECT page_id, uri, {rule_case('uri', rules, 'accepted')} AS accepted, "
+        f"{rule_case('uri', rules, 'pattern')} AS pattern FROM p"
     )
 
 
@@ -185,16 +218,13 @@ def stop_case(max_queue, max_fetches, max_fail) -> str:
     return (
         f"CASE WHEN pending = 0 THEN 1 WHEN pending >= {max_queue} THEN 2"
         f" WHEN succeeds >= {max_fetches} THEN 3"
-        f" WHEN attempts > seeds AND attempts >= {stop.MIN_ATTEMPTS}"
+        f" WHEN attempts > seeds AND attempts >= 5"
         f" AND fails::DOUBLE / attempts::DOUBLE >= {max_fail} THEN 4 ELSE 0 END"
     )
 
 
 def outcome_text(column: str, part: int) -> str:
-    names = [
-        stop.COMPLETED, stop.TOO_MANY_QUEUED, stop.TOO_MANY_FETCHES, stop.TOO_MANY_FAILED,
-    ]
-    whens = " ".join(f"WHEN {i + 1} THEN '{n[part]}'" for i, n in enumerate(names))
+    whens = " ".join(f"WHEN {i + 1} THEN '{n[part]}'" for i, n in enumerate(OUTCOME_TEXTS))
     return f"CASE coalesce({column}, 1) {whens} END"
 
 
@@ -309,7 +339,7 @@ CANDIDATES = f"""{PAGES}, {HREFS}, {LINKS}, k AS (
 
 DECISION = (
     "CASE WHEN scheme <> 'http' THEN 'UnsupportedScheme'"
-    f" WHEN NOT ({rule_case('uri', R.FIRST_MATCH, 'accepted')}) THEN 'UriFilterRejected'"
+    f" WHEN NOT ({rule_case('uri', AS_WRITTEN, 'accepted')}) THEN 'UriFilterRejected'"
     f" WHEN NOT ({robots_allowed('site', 'path')}) THEN 'RobotsExcluded' ELSE 'OkayToFetch' END"
 )
 
@@ -363,11 +393,11 @@ SELECT DISTINCT page_id, href, site || {ENCODED} AS uri, site FROM h""",
         + " AS fail_message FROM p"
         for ref, uri in RELATIVE
     ),
-    "filter_first_match": filtered(R.FIRST_MATCH),
-    "filter_priority_reject": filtered(R.PRIORITY_REJECT),
+    "filter_first_match": filtered(AS_WRITTEN),
+    "filter_priority_reject": filtered(REJECTS_FIRST),
     "filter_explain": f"""WITH {PAGES} SELECT page_id, uri,
-  {rule_case('uri', R.FIRST_MATCH, 'text')} AS first_match,
-  {rule_case('uri', R.PRIORITY_REJECT, 'text')} AS priority_reject FROM p""",
+  {rule_case('uri', AS_WRITTEN, 'text')} AS first_match,
+  {rule_case('uri', REJECTS_FIRST, 'text')} AS priority_reject FROM p""",
     "rule_lines": """WITH x AS (
   SELECT page_id, 0 AS pos, 'accept' AS key, url AS value, NULL AS line FROM pages
   UNION ALL SELECT page_id, 1, NULL, NULL, ' accept: ' || url FROM pages
@@ -385,8 +415,8 @@ SELECT page_id, pos, key, value, CASE WHEN line IS NOT NULL THEN
     "config_validate": f"""WITH {CONFIGS}, {CASES}, r AS (
   SELECT site, bool_and(got) AS ok, string_agg(text, ' and ' ORDER BY pos) AS texts
   FROM m WHERE kind = 'seed' GROUP BY site),
-z AS (SELECT c.site, CASE WHEN n % 4 = 1 THEN '{AGENT_MISSING}'
-  WHEN n % 5 = 0 THEN '{SEEDS_MISSING}'
+z AS (SELECT c.site, CASE WHEN n % 4 = 1 THEN '{NO_AGENT}'
+  WHEN n % 5 = 0 THEN '{NO_SEEDS}'
   WHEN NOT ok THEN 'The crawler URI filter rejected the seeds: ' || texts END AS reason
   FROM c LEFT JOIN r ON r.site = c.site)
 SELECT site AS config_id, reason IS NULL AS valid, reason FROM z""",
@@ -539,8 +569,8 @@ SELECT *, uris_seen - pos AS uris_queued FROM x""",
 y AS (SELECT job_id, max(pos) AS last, min(CASE WHEN log_ms > m + {LOG_TIMEOUT_MS} THEN pos END)
   AS sp FROM x GROUP BY job_id)
 SELECT job_id, coalesce(sp, last + 1) AS stop_pos,
-  CASE WHEN sp IS NULL THEN '{stop.COMPLETED[0]}' ELSE '{stop.TIMEOUT[0]}' END AS state,
-  CASE WHEN sp IS NULL THEN '{stop.COMPLETED[1]}' ELSE '{stop.TIMEOUT[1]}' END AS message FROM y""",
+  CASE WHEN sp IS NULL THEN 'Completed' ELSE 'Aborted' END AS state,
+  CASE WHEN sp IS NULL THEN 'Completed Okay' ELSE 'Crawl exceeded maximum crawl time' END AS message FROM y""",
     "politeness_schedule": f"""WITH {LOG}, x AS (
   SELECT *, greatest(event_id % 7 * 100, 250) AS delay_ms FROM l)
 SELECT job_id, event_id, delay_ms, (sum(delay_ms) OVER ({W})
