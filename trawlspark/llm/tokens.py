@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 
 #: Words kept in a worker's cache; it is emptied when full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_400_000
 #: Code points encoded together.
 BATCH = 400_000
 _SPACED = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+$")
