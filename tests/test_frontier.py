@@ -239,3 +239,17 @@ def test_repeated_responses_and_seen_rows_change_nothing(spark):
                                   "job_id bigint, uri string, scheme string, path string, site string, user_agent string")
     seen = found.select("job_id", "uri").union(found.select("job_id", "uri"))
     assert [r.decision for r in frontier.decide(found, [(True, "http")], seen=seen).collect()] == [frontier.SEEN]
+
+
+def test_rules_over_one_stored_table(spark):
+    rows = [(j, p, max(0, 9 - p), p - 1, p - 1, 0, 1) for j in (1, 2) for p in range(1, 8 + j)]
+    progress = spark.createDataFrame(
+        rows, "job_id bigint, pos bigint, pending bigint, succeeds bigint, attempts bigint, fails bigint, seeds bigint"
+    )
+    budgets = {"fetches": (100, 4, 2.0), "queue": (3, 100, 2.0), "none": (100, 100, 2.0)}
+    got = frontier.outcomes_by_rule(progress, {n: frontier.limits(*b) for n, b in budgets.items()})
+    want = set()
+    for name, limits in budgets.items():
+        stops = frontier.outcomes(frontier.with_outcome(progress, *limits))
+        want |= {(*r, name) for r in stops.collect()}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 6

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trawlspark.operators import skew
 from trawlspark.operators.skew import Running, lay_out, ordered_slices, running
 
 
@@ -78,3 +79,19 @@ def test_layout_side_is_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
     layout.drop()
+
+
+def test_keys_with_one_hash_are_not_hot(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HASHES", 1)
+    df = spark.createDataFrame([(f"p{i}", f"t{i % 3}") for i in range(12)], "page string, to string")
+    layout = skew.lay_out(df, "page", "to", 5)
+    assert layout.hot is None
+    asked = spark.createDataFrame([("p3",), ("x",)], "page string")
+    assert [tuple(r) for r in layout.join(asked).collect()] == [("p3", "t0")]
+    layout.drop()
+
+
+def test_given_slices(spark):
+    df = spark.createDataFrame([(k, p, p % 3) for k in (1, 2) for p in range(1, 21)], "k int, p int, x int")
+    got = skew.running(df, ["k"], ["p"], {"s": skew.Running(F.col("x"), before=True)}, slices=F.floor(F.col("p") / 4))
+    assert {(r.k, r.p): r.s for r in got.collect()} == {(k, p): sum(q % 3 for q in range(1, p)) for k in (1, 2) for p in range(1, 21)}

@@ -34,6 +34,8 @@ SCHEMES = ["http", "https"]
 # are shuffled to their buckets
 BROADCAST_BYTES = 16 << 20
 
+# places of a job's queue that one task sums up
+PLACES = 250_000
 
 
 def decide(
@@ -263,6 +265,7 @@ def with_progress(crawled: DataFrame, hot_rows: int | None = None) -> DataFrame:
     rows = crawled.join(new_links, ["job_id", "pos"], "left").withColumn(
         "new_links", F.coalesce("new_links", F.lit(0))
     )
+    rows = rows.checkpoint()
     status = F.col("status")
     seed = (F.col("depth") == 0).cast("bigint")
     out = running(
@@ -274,7 +277,8 @@ def with_progress(crawled: DataFrame, hot_rows: int | None = None) -> DataFrame:
             "fails": Running((is_fail(status)).cast("bigint"), before=True),
             "_found": Running(F.col("new_links"), before=True),
         },
-        hot_rows,
+        # places count from 1 without gaps
+        slices=F.floor(F.col("pos") / (hot_rows or PLACES)),
     )
     seeds = crawled.groupBy("job_id").agg(F.sum(seed).alias("seeds"))
     return (
@@ -286,6 +290,23 @@ def with_progress(crawled: DataFrame, hot_rows: int | None = None) -> DataFrame:
     )
 
 
+def limits(
+    max_queue: int, max_fetches: int, max_fail: float, timed_out: Column | None = None
+) -> Column:
+    """The stop rule over the progress columns: struct<state, message>."""
+    return stop.stop_outcome(
+        F.col("pending"),
+        F.col("succeeds"),
+        F.col("attempts"),
+        F.col("fails"),
+        F.col("seeds"),
+        F.lit(max_queue),
+        F.lit(max_fetches),
+        F.lit(max_fail),
+        timed_out,
+    )
+
+
 def with_outcome(
     progress: DataFrame,
     max_queue: int,
@@ -299,17 +320,7 @@ def with_outcome(
     Another ``rule`` is any struct<state, message> column over the progress columns.
     """
     if rule is None:
-        rule = stop.stop_outcome(
-            F.col("pending"),
-            F.col("succeeds"),
-            F.col("attempts"),
-            F.col("fails"),
-            F.col("seeds"),
-            F.lit(max_queue),
-            F.lit(max_fetches),
-            F.lit(max_fail),
-            timed_out,
-        )
+        rule = limits(max_queue, max_fetches, max_fail, timed_out)
     return progress.select("*", F.inline(F.array(rule)))
 
 
@@ -334,6 +345,43 @@ def outcomes(judged: DataFrame, keys: tuple[str, ...] = ("job_id",)) -> DataFram
     )
 
 
+def outcomes_by_rule(
+    progress: DataFrame, rules: dict[str, Column], keys: tuple[str, ...] = ("job_id",), name: str = "budget"
+) -> DataFrame:
+    """``outcomes`` under each of several rules, with the rule's name, from one stored table of progress.
+
+    One pass finds the first places that stop, as numbers, so that no row is sorted for an
+    aggregate of texts; states and messages are then read at these places only.
+    """
+    firsts = [
+        F.min(F.when(rule["state"] != stop.KEEP[0], F.col("pos"))).alias(f"_{i}")
+        for i, rule in enumerate(rules.values())
+    ]
+    each = [F.struct(F.lit(n).alias(name), F.col(f"_{i}").alias("pos")) for i, n in enumerate(rules)]
+    places = (
+        progress.groupBy(*keys)
+        .agg(F.max("pos").alias("_last"), *firsts)
+        .select(*keys, "_last", F.inline(F.array(*each)))
+        .checkpoint()
+    )
+    stopping = places.filter(F.col("pos").isNotNull()).select(*keys, name, "pos")
+    if places.count() * 200 <= BROADCAST_BYTES:
+        stopping = F.broadcast(stopping)
+    chosen = F.coalesce(*[F.when(F.col(name) == n, rule) for n, rule in rules.items()])
+    there = (
+        progress.join(stopping, [*keys, "pos"])
+        .groupBy(*keys, name)
+        .agg(F.min(chosen).alias("_stop"))
+    )
+    return places.join(there, [*keys, name], "left").select(
+        *keys,
+        F.coalesce("pos", F.col("_last") + 1).alias("stop_pos"),
+        F.coalesce(F.col("_stop.state"), F.lit(stop.COMPLETED[0])).alias("state"),
+        F.coalesce(F.col("_stop.message"), F.lit(stop.COMPLETED[1])).alias("message"),
+        name,
+    )
+
+
 def fetched(judged: DataFrame, stops: DataFrame, keys: tuple[str, ...] = ("job_id",)) -> DataFrame:
     """Rows before the stop point of their job."""
     return judged.join(stops.select(*keys, "stop_pos"), list(keys)).filter(

@@ -20,6 +20,9 @@ from ..session import work_folder
 HOT_ROWS = 2_000_000
 SLICE = "_slice"
 
+# keys are first counted by that many hashes, which no shuffle has to carry
+HASHES = 1 << 16
+
 # more files than this cost more to list than larger buckets cost to read
 MAX_BUCKETS = 20_000
 
@@ -94,9 +97,17 @@ def running(
     columns: dict[str, Running],
     max_rows: int | None = None,
     largest: int | None = None,
+    slices: Column | None = None,
 ) -> DataFrame:
-    """Add running values per key in the given order, which must be total."""
-    sliced, hot = ordered_slices(df, keys, order, max_rows, largest)
+    """Add running values per key in the given order, which must be total.
+
+    ``slices`` is a number that never falls with the order, for callers that know one;
+    nothing is counted or sampled then. ``df`` is read twice and should be stored.
+    """
+    if slices is None:
+        sliced, hot = ordered_slices(df, keys, order, max_rows, largest)
+    else:
+        sliced, hot = df.withColumn(SLICE, slices), True
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     out = sliced.withColumns({n: c.over(inside, hot) for n, c in columns.items()})
     if not hot:
@@ -164,17 +175,16 @@ def lay_out(
 
     With ``spread``, a key above ``max_rows`` rows is cut into salts by a hash of
     that column, and so into several buckets. ``df`` is read twice then, once for
-    the keys only; it should be a stored table rather than a costly plan.
+    the keys only; it should be a stored table rather than a costly plan. Keys are
+    counted one by one only if a hash of them has that many rows.
     """
     max_rows = max_rows or HOT_ROWS
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot, by = None, [key]
     if spread is not None:
-        counts = df.groupBy(key).agg(F.count("*").alias("_n")).agg(
-            F.sum("_n").alias("total"), F.max("_n").alias("largest")
-        )
-        total, largest = counts.first()
+        hashes = df.groupBy(F.pmod(F.xxhash64(key), F.lit(HASHES)).alias("_h")).agg(F.count("*").alias("_n"))
+        total, largest = hashes.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
         buckets = max(buckets, min(math.ceil((total or 0) / max_rows), MAX_BUCKETS))
         if largest and largest > max_rows:
             # at most total / max_rows keys
@@ -183,6 +193,9 @@ def lay_out(
                 .select(key, F.ceil(F.col("_n") / max_rows).cast("int").alias("_salts"))
                 .checkpoint()
             )
+        if hot is not None and hot.isEmpty():  # only several keys with one hash
+            hot = None
+        if hot is not None:
             salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))
             df = df.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_salts")
             by = [key, "_salt"]
@@ -191,7 +204,6 @@ def lay_out(
         df.repartition(buckets, *by)
         .write.option("path", work_folder(spark, name))
         .bucketBy(buckets, *by)
-        .sortBy(*by)
         .saveAsTable(name)
     )
     return Layout(name, key, hot, spark)
