@@ -69,3 +69,15 @@ def test_written_and_read(spark):
     empty = work_folder(spark, f"ids-{uuid.uuid4().hex}")
     idblocks.write_ids(df.where("false"), empty, PATH, True, 2)
     assert idblocks.read_ids(spark, empty).count() == 0
+
+
+def test_words_of_letters_and_signs_need_the_model_only():
+    enc = Encoder(vocabulary_path("byte_bpe_50k.json"), False)
+    words = [" und", "Word", " grüße", "ñandú***", " ab%%%", " x$", " ĳssel-", " a(b", " 12", " don't", " Σ", "&&&"]
+    found, rest = enc._modelled(words)
+    assert rest == words[7:]
+    for word, ids in found.items():
+        assert np.frombuffer(ids, "<u4").tolist() == enc.library.encode(word, add_special_tokens=False).ids
+    texts = ["und Word, so. Grüße\nneu***", "", "a  b\n\n", "und so"] * 3
+    want = [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want

@@ -47,53 +47,52 @@ def plan_cuts(
     the stream; penalties: of a cut at each."""
     if not len(ends):
         return []
-    place, cost, parent = [0], [0.0], [-1]
-    index = {0: 0}
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # (cost + place, state), v increasing
+    total, never = int(ends[-1]), float("inf")
+    # by place, those of place p at p + limit, so that no place before it is negative
+    cost, parent = [never] * (total + limit + 1), [0] * (total + limit + 1)
+    cost[limit] = 0.0
+    values: deque[float] = deque([0.0])  # cost + place, increasing
+    places: deque[int] = deque([0])
     steps = powers(limit)
 
     def push(at: int, value: float, of: int) -> None:
-        index[at] = len(place)
+        cost[at + limit], parent[at + limit] = value, of
         v = value + at
-        while queue and queue[-1][0] >= v:
-            queue.pop()
-        queue.append((v, len(place)))
-        place.append(at)
-        cost.append(value)
-        parent.append(of)
-
-    total = int(ends[-1])
+        while values and values[-1] >= v:
+            values.pop(), places.pop()
+        values.append(v)
+        places.append(at)
+
     for j, penalty in zip(ends.tolist(), penalties.tolist(), strict=True):
-        while place[queue[0][1]] + limit < j:
-            head = queue.popleft()[1]
-            full = place[head] + limit
-            if full not in index:
-                push(full, cost[head] + inside, head)
-            elif not queue:  # the place is known, only dominated: it must lead on
-                queue.append((cost[index[full]] + full, index[full]))
-        v, best = queue[0]
-        value = v + limit - j
+        while places[0] + limit < j:
+            values.popleft()
+            head = places.popleft()
+            full = head + limit
+            if cost[full + limit] == never:
+                push(full, cost[full] + inside, head)
+            elif not places:  # the place is known, only dominated: it must lead on
+                values.append(cost[full + limit] + full)
+                places.append(full)
+        value, best, at = values[0] + limit - j, places[0], j + limit
         for step in steps:
-            k = index.get(j - step)
-            if k is not None and cost[k] < value:
-                value, best = cost[k], k
+            known = cost[at - step]
+            if known < value:
+                value, best = known, j - step
         if j < total:
             push(j, value + penalty, best)
-        else:
-            break
     # the last window: padded, or cut into powers of two
     tail: list[int] = []
-    for k in range(len(place) - 1, -1, -1):
-        if place[k] < total - limit:
-            break
-        parts = [1 << b for b in range(limit.bit_length(), -1, -1) if (total - place[k]) >> b & 1]
-        other = cost[k] + inside * (len(parts) - 1)
+    for k in range(total - 1, max(total - limit, 0) - 1, -1):
+        if cost[k + limit] == never:
+            continue
+        parts = [1 << b for b in range(limit.bit_length(), -1, -1) if (total - k) >> b & 1]
+        other = cost[k + limit] + inside * (len(parts) - 1)
         if other < value:
             value, best, tail = other, k, parts[:-1]
-    cuts = [total, *np.flip(place[best] + np.cumsum(tail, dtype=np.int64)).tolist()]
+    cuts = [total, *np.flip(best + np.cumsum(tail, dtype=np.int64)).tolist()]
     while best > 0:
-        cuts.append(place[best])
-        best = parent[best]
+        cuts.append(best)
+        best = parent[best + limit]
     return cuts[::-1]
 
 

@@ -15,15 +15,20 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept in a worker's cache; it is emptied when full.
 CACHE_WORDS = 1_400_000
-#: Code points encoded together.
+#: Code points of a slice of a long text, and of texts that are encoded together: as Python strings, as an Arrow column.
 BATCH = 400_000
+GROUP = 10_000_000
 _SPACED = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+$")
 # Both vocabularies also split between a letter or digit and a stop.
 _STOP = re.compile(r"(?<=[^\W_])(?=[.,;:!?])")
 _STOPS = ".,;:!?"
+# Letters, then signs: a byte vocabulary's splitter makes these one part each. These letters are as old as Unicode.
+_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 _UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 # Plain searches for single characters are several times faster than a class of them.
 _ODD = (
@@ -76,8 +81,8 @@ class Encoder:
             return text.split()  # white space here is that of ASCII
         return _SPACED.findall(text)
 
-    def _split(self, text: str) -> tuple[list[str], bool]:
-        """Parts of a text, and whether they are marked.
+    def _split(self, text: str) -> tuple[list[str] | str, bool]:
+        """Parts of a text, and whether they are marked; marked ones are one string, with spaces between.
 
         Where all stops stand behind letters or digits they are parts of their own. A byte vocabulary's
         text whose white space is single spaces and line ends is cut at the spaces: a part then has one
@@ -95,7 +100,7 @@ class Encoder:
             return _SPACED.findall(text), False
         for stop in _STOPS:
             text = text.replace(stop, " \x1e" + stop)
-        return ("\x1e" + text.replace("\n", " \x1e\n \x1e")).split(" "), True
+        return "\x1e" + text.replace("\n", " \x1e\n \x1e"), True
 
     def _letters(self, word: str) -> bool:
         """Is the word letters, one pre-token? In a byte vocabulary with the one space before them."""
@@ -120,7 +125,7 @@ class Encoder:
             made[word] = b"".join([made[p] for p in parts])
         return emptied
 
-    def _learn_marked(self, keys: set[str]) -> bool:
+    def _learn_marked(self, keys: list[str]) -> bool:
         emptied = self._room(len(keys))
         named = {key: key[1:] if key[0] == "\x1e" else " " + key for key in keys}
         found = self._encoded(list(named.values()))
@@ -134,10 +139,31 @@ class Encoder:
         self.marked.clear()
         return True
 
+    def _modelled(self, parts: list[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of the words of common letters, each by the model alone, and the other parts."""
+        out, rest, ids, signs = {}, [], self.bytes_of, {"": b""}
+        tokenize, letter = self.library.model.tokenize, _byte_letters().__getitem__
+        for part in parts:
+            found = _WORD.fullmatch(part)
+            if not found:
+                rest.append(part)
+                continue
+            word, sign = found.groups()
+            if word.isascii():
+                word = "\u0120" + word[1:] if word[0] == " " else word
+            else:
+                word = "".join(map(letter, word.encode()))
+            if sign not in signs:
+                signs[sign] = b"".join([ids[t.id] for t in tokenize(sign)])
+            out[part] = b"".join([ids[t.id] for t in tokenize(word)]) + signs[sign]
+        return out, rest
+
     def _encoded(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of each part. Many plain words are encoded as one text; a word's ids end, or begin, where
         the vocabulary marks it."""
         out: dict[str, bytes] = {}
+        if not self.drops_space:
+            out, parts = self._modelled(parts)
         letters = [p for p in parts if self._letters(p)]
         rest = [p for p in parts if not self._letters(p)]
         for start in range(0, len(letters), 4000):
@@ -179,21 +205,52 @@ class Encoder:
         return [sum(self.counts(self.pieces(r))) for r in runs]
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        for cache_, learn, kind in ((self.words, self._learn, False), (self.marked, self._learn_marked, True)):
-            of_kind = [words for words, marked in split if marked == kind]
-            missing = {w for words in of_kind for w in words if w not in cache_}
-            if missing and learn(missing):  # the cache was emptied
-                for other, marked in ((self._learn, False), (self._learn_marked, True)):
-                    known = self.marked if marked else self.words
-                    other(set().union(*[w for w, m in split if m == marked]).difference(known))
-        plain, marked_ids = self.words.__getitem__, self.marked.__getitem__
-        return [b"".join(map(marked_ids if marked else plain, words)) for words, marked in split]
+        out: list[bytes] = [b""] * len(texts)
+        lists, columns, size = ([], []), ([], []), 0  # numbers of texts, and their words
+        for i, text in enumerate(texts):
+            words, marked = self._split(text)
+            (columns if marked else lists)[0].append(i)
+            (columns if marked else lists)[1].append(words)
+            size += 0 if marked else len(text)
+            if size > BATCH or i == len(texts) - 1:
+                for k, ids in zip(lists[0], self._listed(lists[1]), strict=True):
+                    out[k] = ids
+                lists, size = ([], []), 0
+        for k, ids in zip(columns[0], self._marked_group(columns[1]), strict=True):
+            out[k] = ids
+        return out
+
+    def _listed(self, lists: list[list[str]]) -> list[bytes]:
+        missing = {w for words in lists for w in words if w not in self.words}
+        if missing and self._learn(missing):  # the cache was emptied
+            self._learn(set().union(*lists).difference(self.words))
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in lists]
+
+    def _marked_group(self, texts: list[str]) -> list[bytes]:
+        """Ids of marked texts. Their words are numbered, and the ids put in their places, by Arrow."""
+        if not texts:
+            return []
+        words = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = words.flatten().dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.marked.get, keys))
+        missing = [k for k, ids in zip(keys, found, strict=True) if ids is None]
+        if missing:
+            if self._learn_marked(missing):  # the cache was emptied
+                self._learn_marked([k for k in keys if k not in self.marked])
+            found = list(map(self.marked.__getitem__, keys))
+        ids = pa.array(found, pa.binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, dtype=np.int32)[words.offsets.to_numpy()].tolist()
+        view = memoryview(data)
+        return [bytes(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text, in order; null is empty. Texts are encoded in groups of bounded size, and
         long ones in slices that begin with white space."""
         group, size = [], 0
+        most = BATCH if self.drops_space else GROUP
         for text in texts:
             text = text or ""
             if len(text) > 4 * BATCH and not self.whole(text):
@@ -203,7 +260,7 @@ class Encoder:
                 continue
             group.append(text)
             size += len(text)
-            if size > BATCH or len(group) >= 1000:
+            if size > most or len(group) >= most // 400:
                 yield from self._group(group)
                 group, size = [], 0
         if group:
@@ -221,6 +278,14 @@ def _slices(text: str) -> Iterator[str]:
         start = stop
 
 
+@cache
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)).difference(shown))
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 @cache
 def encoder(path: str, drops_space: bool) -> Encoder:
     """One encoder a worker and vocabulary, so that its cache serves all tasks."""
