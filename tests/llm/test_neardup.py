@@ -2,6 +2,7 @@
 
 import random
 import re
+import uuid
 
 import numpy as np
 import pytest
@@ -154,3 +155,23 @@ def test_distinct_leaves_one_row_of_each_component(spark):
         (0, "of one id"), (0, "two texts"), (1, "a b c d e f"), (3, "other words"), (4, ""), (5, ""),
     ]
     assert [r["text"] for r in got if r["doc_id"] is None] == ["alone"] and {"doc_id", "text", "label"} == set(got[0].asDict())
+
+
+def test_links_between_known_components(spark):
+    label = spark.createDataFrame([(2, 1), (3, 1), (5, 4)], "v bigint, label bigint")
+    links = spark.createDataFrame([(3, 5), (2, 3), (7, 9), (5, 7)], "a bigint, b bigint")
+    got = {r["v"]: r["label"] for r in neardup.extended(label, links).collect()}
+    assert got == {2: 1, 3: 1, 4: 1, 5: 1, 7: 1, 9: 1}
+    inside = spark.createDataFrame([(2, 3), (4, 5)], "a bigint, b bigint")
+    assert neardup.extended(label, inside) is label
+
+
+def test_tables_between_steps_are_deleted(spark, monkeypatch, tmp_path):
+    from trawlspark.llm import stage
+
+    monkeypatch.setattr(stage, "work_folder", lambda _, name: str(tmp_path / f"{name}-{uuid.uuid4().hex}"))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base[:k] + ["x"] + base[k:])) for k in range(40)]
+    kept = neardup.distinct(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, 80)
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["kept"]

@@ -28,7 +28,7 @@ At the similarity bound itself a pair shares no region with probability
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlspark.llm.stage import ship, written
+from trawlspark.llm.stage import Scratch, ship, written
+
+#: Writes a table of a name and gives it back.
+Put = Callable[[DataFrame, str], DataFrame]
 
 DEPTH = 5
 TREES = 36
@@ -258,7 +261,9 @@ def _across(edges: DataFrame, percent: int) -> DataFrame:
     return edges.select("region", F.col("v").alias("deep"), "v", "n", "l").mapInArrow(go, _PAIRS).select("a", "b", "pivot")
 
 
-def candidates(classes: DataFrame, percent: int, first: int = 0, last: int = TREES) -> tuple[DataFrame, DataFrame]:
+def candidates(
+    classes: DataFrame, percent: int, first: int = 0, last: int = TREES, put: Put = written
+) -> tuple[DataFrame, DataFrame]:
     """Distinct (a, b, pivot), a < b, of classes (v, n, l, regions, deeper) with different components l in the
     trees from first to last, and the (region, v) of dense regions; written once."""
     some = [F.slice(c, first + 1, last - first).alias(c) for c in ("regions", "deeper")]
@@ -266,13 +271,13 @@ def candidates(classes: DataFrame, percent: int, first: int = 0, last: int = TRE
         F.col("regions").alias("region"), F.col("deeper").alias("deep"), "v", "n", "l"
     )
     ordered = trees.repartitionByRange("region", "deep", "v").sortWithinPartitions("region", "deep", "v")
-    found = written(ordered.mapInArrow(_scan(percent), _PAIRS), "forest")
+    found = put(ordered.mapInArrow(_scan(percent), _PAIRS), "forest")
     own = found.where("a is not null").select("a", "b", "pivot")
     pairs = own.unionByName(_across(found.where("region is not null and pivot is null").select("region", "v", "n", "l"), percent))
     dense = found.where("region is not null and pivot").select("region", "v").distinct()
     # only regions of several rows matter
     several = dense.groupBy("region").count().where("count > 1").select("region")
-    return written(pairs.groupBy("a", "b").agg(F.max("pivot").alias("pivot")), "pairs"), written(
+    return put(pairs.groupBy("a", "b").agg(F.max("pivot").alias("pivot")), "pairs"), put(
         dense.join(several, "region"), "dense"
     )
 
@@ -298,12 +303,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _hub_pairs(dense: DataFrame, links: DataFrame, label: DataFrame) -> DataFrame:
+def _hub_pairs(dense: DataFrame, links: DataFrame, label: DataFrame, put: Put) -> DataFrame:
     """Pairs of each dense region's rows with its two hubs: the vertex with most links, and the one
     with most links in another component; only rows of other components."""
     ends = links.select(F.explode(F.array("a", "b")).alias("v"))
     rows = dense.join(label, "v", "left").join(ends.groupBy("v").agg(F.count("*").alias("d")), "v", "left")
-    rows = written(rows.select("region", "v", F.coalesce("label", "v").alias("l"), F.coalesce("d", F.lit(0)).alias("d")), "rows")
+    rows = put(rows.select("region", "v", F.coalesce("label", "v").alias("l"), F.coalesce("d", F.lit(0)).alias("d")), "rows")
     found = None
     for _ in range(2):
         best = rows.groupBy("region").agg(F.max(F.struct("d", "v", "l")).alias("hub")).select("region", F.col("hub.v").alias("h"), F.col("hub.l").alias("hl"))
@@ -327,7 +332,7 @@ def _sketches(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("v", "text").mapInArrow(run, "v bigint, n bigint, bits binary")
 
 
-def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, percent: int) -> DataFrame:
+def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, percent: int, put: Put) -> DataFrame:
     """Distinct (a, b) of all pairs of rows of one dense region in different components, without those
     that sketches rule out.
 
@@ -335,7 +340,7 @@ def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, perc
     more to blocks of their own; a tile is two blocks, other than two of one large component.
     """
     rows = dense.join(label, "v", "left").select("region", "v", F.coalesce("label", "v").alias("l"))
-    counts = written(rows.groupBy("region", "l").agg(F.count("*").alias("c")), "counts")
+    counts = put(rows.groupBy("region", "l").agg(F.count("*").alias("c")), "counts")
     mixed = counts.groupBy("region").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.sum(F.when(F.col("c") < TILE, F.col("c"))).alias("few"))
     mixed = mixed.where("lo <> hi").select("region", F.coalesce("few", F.lit(0)).alias("few"))
     large = F.col("c") >= TILE
@@ -343,18 +348,18 @@ def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, perc
         "region", "v", "l", F.when(large, F.col("l")).otherwise(-1).alias("g"),
         F.pmod(F.xxhash64("v"), F.ceil(F.when(large, F.col("c")).otherwise(F.col("few")) / TILE)).alias("k"),
     )
-    dealt = written(dealt, "dealt")
-    blocks = written(dealt.select("region", "g", "k").distinct(), "blocks")
+    dealt = put(dealt, "dealt")
+    blocks = put(dealt.select("region", "g", "k").distinct(), "blocks")
     other = blocks.select("region", F.col("g").alias("g2"), F.col("k").alias("k2"))
     tiles = blocks.join(other, "region").where("(g, k) <= (g2, k2) AND (g <> g2 OR g < 0)")
     tiles = tiles.withColumns({"t": F.xxhash64("region", "g", "k", "g2", "k2"), "one": F.expr("(g, k) = (g2, k2)")})
-    tiles = written(tiles, "tiles")
+    tiles = put(tiles, "tiles")
     sides = tiles.select("region", "g", "k", "t", "one", F.lit(0).alias("side")).unionByName(
         tiles.select("region", F.col("g2").alias("g"), F.col("k2").alias("k"), "t", "one", F.lit(1).alias("side"))
     )
     # a row's dense regions, at most one of each tree: a pair counts in the first that it shares
     shared = dealt.groupBy("v").agg(F.collect_set("region").alias("regions"))
-    bits = written(_sketches(texts.join(shared.select("v"), "v"), width).join(shared, "v"), "sketches")
+    bits = put(_sketches(texts.join(shared.select("v"), "v"), width).join(shared, "v"), "sketches")
     put = dealt.join(sides, ["region", "g", "k"]).select("t", "one", "side", "v", "l", "region").join(bits, "v")
     put = put.select("t", "one", "side", "v", "l", "region", "n", "bits", "regions").repartition("t").sortWithinPartitions("t")
     share = (100 + percent) / 200
@@ -402,31 +407,45 @@ def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, perc
     return put.mapInArrow(run, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, label): the smallest vertex reachable, for all vertices of links (a, b).
+def components(links: DataFrame, put: Put = written) -> DataFrame:
+    """(v, label): the smallest vertex reachable, for all vertices of links (a, b) but the smallest themselves.
 
     Every round points vertices nearer to their minimum by two aggregates with map-side minima and
     joins that AQE can split; rounds grow with the logarithm of the longest path.
     """
-    edges = written(links.where("a <> b").select("a", "b").distinct(), "links")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(large.where("a <> b").distinct(), "large")
-        turned = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = turned.groupBy("a").agg(F.min("b").alias("m"))
-        near = turned.join(low, "a")
-        small = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            low.select("a", F.col("m").alias("b"))
-        )
-        edges = written(small.where("a <> b").distinct(), "small")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1000003)).first())
-        if now == before:
-            break
-        before = now
-    return edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("v"), "label")
+    edges = links.select("a", "b").where("a <> b")
+    with Scratch(links.sparkSession, "rounds") as rounds:
+        while True:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+            large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            edges = rounds.written(large.where("a <> b").distinct(), "large")
+            turned = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            low = turned.groupBy("a").agg(F.min("b").alias("m"))
+            near = turned.join(low, "a")
+            small = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+                low.select("a", F.col("m").alias("b"))
+            )
+            edges = rounds.written(small.where("a <> b").distinct(), "small")
+            # done when all are stars: a vertex has one smaller neighbour, or is the smallest of its own
+            ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+                edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+            )
+            if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
+                return put(edges.select(F.col("a").alias("v"), F.col("b").alias("label")), "label")
+
+
+def extended(label: DataFrame, links: DataFrame, put: Put = written) -> DataFrame:
+    """(v, label) of components with further links (a, b). Only these are followed, as links between the
+    components that they connect; what is connected already costs no more rounds."""
+    both = _labelled(_labelled(links, label, "a", "la"), label, "b", "lb").where("la <> lb")
+    new = put(both.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "between")
+    if new.isEmpty():
+        return label
+    above = components(new, put)
+    up = above.select(F.col("v").alias("label"), F.col("label").alias("top"))
+    known = label.join(up, "label", "left").select("v", F.coalesce("top", "label").alias("label"))
+    return put(known.unionByName(above), "label")
 
 
 def _labelled(rows: DataFrame, label: DataFrame, vertex: str, name: str) -> DataFrame:
@@ -446,61 +465,66 @@ def deduplicate(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     return _classified(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _classified(docs: DataFrame, width: int, percent: int, put: Put = written) -> DataFrame:
     """What deduplicate returns, with the text's hash th and the component's label (-1 without words)."""
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sets = written(_sets(docs, width), "sets")
-    classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
+    sets = put(_sets(docs, width), "sets")
     keys = ["k1", "k2"]
-    members = sets.where("n > 0").join(classes, keys).where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    forest = written(members.dropDuplicates(keys).select("v", "n", "rep", "k1", "k2", "regions", "deeper"), "members")
+    with Scratch(docs.sparkSession, "neardup") as tables:
+        classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+        classes = tables.written(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
+        members = sets.where("n > 0").join(classes, keys).where(F.col("doc_id").eqNullSafe(F.col("rep")))
+        forest = members.dropDuplicates(keys).select("v", "n", "rep", "k1", "k2", "regions", "deeper")
+        label = _linked(docs, tables.written(forest, "members"), width, percent, tables.written)
+        own = F.coalesce("label", "v")
+        named = tables.written(classes.join(label, "v", "left").select("k1", "k2", "rep", own.alias("label")), "labelled")
+        lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+        named = put(named.join(lowest, "label").select("k1", "k2", "label", "component_id"), "named")
+    full = sets.select("doc_id", "th", "n", "k1", "k2")
+    size = F.col("n").alias("n_shingles")
+    out = full.where("n > 0").join(named, keys).select("doc_id", "th", size, "label", "component_id")
+    empty = full.where("n = 0").select("doc_id", "th", size, F.lit(-1).cast("bigint").alias("label"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _linked(docs: DataFrame, forest: DataFrame, width: int, percent: int, put: Put) -> DataFrame:
+    """(v, label) of the components of the classes in forest (v, n, rep, k1, k2, regions, deeper)."""
     links = label = None
     dense = None
     for first, last in ((0, FIRST), (FIRST, TREES)):
         rows = forest.select("v", "n", "rep", "k1", "k2", "regions", "deeper")
         rows = rows.withColumn("l", F.col("v")) if label is None else _labelled(rows, label, "v", "l")
-        pairs, some = candidates(rows.select("v", "n", "l", "regions", "deeper"), percent, first, last)
+        pairs, some = candidates(rows.select("v", "n", "l", "regions", "deeper"), percent, first, last, put)
         dense = some if dense is None else dense.unionByName(some)
         wanted = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).unionByName(some.select("v")).distinct()
         needed = forest.join(wanted, "v").select("v", "rep", "k1", "k2")
         texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["rep"])).select("v", "k1", "k2", "text")
-        texts = written(_of_class(texts, width).dropDuplicates(["v"]), "texts")
+        texts = put(_of_class(texts, width).dropDuplicates(["v"]), "texts")
         if label is None:
-            links = written(confirm(pairs.where("pivot").select("a", "b"), texts, width, percent), "stars")
-            label = components(links)
+            links = put(confirm(pairs.where("pivot").select("a", "b"), texts, width, percent), "stars")
+            label = components(links, put)
             others = pairs.where(~F.col("pivot"))
             for side in ("a", "b"):
                 others = _labelled(others, label, side, f"l{side}")
             others = others.where("la <> lb")
         else:
             others = pairs  # all of them between what the first trees left apart
-        found = confirm(others.select("a", "b"), texts, width, percent)
-        links = written(links.unionByName(found), "confirmed")
-        label = components(links)
+        found = put(confirm(others.select("a", "b"), texts, width, percent), "confirmed")
+        links = links.unionByName(found)
+        label = extended(label, found, put)
         every = texts if first == 0 else every.unionByName(texts)
-    dense = written(dense, "dense")
-    texts = written(every.join(dense.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"]), "texts")
+    dense = put(dense, "dense")
+    texts = put(every.join(dense.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"]), "texts")
     while True:
-        more = written(confirm(_hub_pairs(dense, links, label), texts, width, percent), "hubs")
+        more = put(confirm(_hub_pairs(dense, links, label, put), texts, width, percent), "hubs")
         if more.isEmpty():
             break
-        links = written(links.unionByName(more), "confirmed")
-        label = components(links)
-    rest = written(_rest(dense, texts, label, width, percent), "rest")
-    more = written(confirm(rest, texts, width, percent), "hidden")
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
-    own = F.coalesce("label", "v")
-    named = written(classes.join(label, "v", "left").select("k1", "k2", "rep", own.alias("label")), "named")
-    lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "label").select("k1", "k2", "label", "component_id")
-    full = sets.select("doc_id", "th", "n", "k1", "k2")
-    size = F.col("n").alias("n_shingles")
-    out = full.where("n > 0").join(named, keys).select("doc_id", "th", size, "label", "component_id")
-    empty = full.where("n = 0").select("doc_id", "th", size, F.lit(-1).cast("bigint").alias("label"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        links = links.unionByName(more)
+        label = extended(label, more, put)
+    rest = put(_rest(dense, texts, label, width, percent, put), "rest")
+    more = put(confirm(rest, texts, width, percent), "hidden")
+    return label if more.isEmpty() else extended(label, more, put)
 
 
 def _of_class(texts: DataFrame, width: int) -> DataFrame:
@@ -525,9 +549,10 @@ def distinct(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     lie in several components a row in each where it is the smallest. A row without a word is kept, once
     for its doc_id.
     """
-    kept = _classified(docs, width, percent).where("kept")
-    keys = kept.groupBy("doc_id", "label").agg(F.count("*").alias("c"), F.min("th").alias("th"))
-    keys = written(keys.select(F.col("doc_id").alias("__id"), F.col("label").alias("__l"), F.col("th").alias("__th"), "c"), "kept")
+    with Scratch(docs.sparkSession, "distinct") as tables:
+        kept = _classified(docs, width, percent, tables.written).where("kept")
+        keys = kept.groupBy("doc_id", "label").agg(F.count("*").alias("c"), F.min("th").alias("th"))
+        keys = written(keys.select(F.col("doc_id").alias("__id"), F.col("label").alias("__l"), F.col("th").alias("__th"), "c"), "kept")
 
     def rows(some: DataFrame, kind: str) -> DataFrame:
         return docs.join(some, docs["doc_id"].eqNullSafe(some["__id"]) & (F.xxhash64(docs["text"]) == some["__th"]), kind)

@@ -293,7 +293,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     found = written(fingerprints(docs), "fingerprints")
     classes = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    label = components(links(classes))
+    label = components(written(links(classes), "links"))
     named = classes.join(label.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     named = written(named, "named")
     lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 import trawlspark
-from trawlspark.session import work_folder
+from trawlspark.session import delete_folder, work_folder
 
 _shipped: set[str] = set()
 
@@ -26,6 +27,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that only the steps inside a `with` need; they are deleted behind it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, work_folder(spark, name)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        delete_folder(self.spark, self.folder)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package's source to the executors, once an application: their functions import it."""
     context = spark.sparkContext
