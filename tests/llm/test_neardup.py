@@ -97,6 +97,26 @@ def test_pairs_inside_a_template_family(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_pairs_to_confirm_follow_the_rows_of_a_family(spark, monkeypatch):
+    """Look-alikes (similarity 0.77), few of them linked: pairs of a dense region never become rows of a table."""
+    confirm, made = neardup.confirm, []
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "confirm", counted)
+    monkeypatch.setattr(neardup, "TILE", 64)
+    monkeypatch.setattr(neardup, "TILE_ITEMS", 20_000)
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(130)]
+    rows = [(i, " ".join(template + [f"o{i}_{k}" for k in range(19)])) for i in range(400)]
+    rows += [(1000 + i, f"{rows[i][1]} x{i} y{i}") for i in range(0, 400, 40)]
+    rng.shuffle(rows)
+    check(spark, rows)
+    assert sum(made) < 60 * len(rows)
+
+
 def test_edges(spark):
     rows = [
         (1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "One\ttwo\n"), (None, "one two"),
@@ -138,6 +158,42 @@ def test_components(spark, links):
     assert all(label == 0 for label in got.values())
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_in_one_task_or_many(spark, monkeypatch, few):
+    monkeypatch.setattr(neardup, "FEW_LINKS", few, raising=False)
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
+    root = list(range(300))
+    for _ in range(300):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["v"]: r["label"] for r in neardup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {v: root[v] for pair in links for v in pair if root[v] != v}
+
+
+def test_few_links_are_followed_without_shuffles(spark, monkeypatch):
+    """Rounds over a handful of links: no table of a round comes from several tasks."""
+    files = []
+    take = neardup.Scratch.written
+
+    def counted(self, df, name):
+        out = take(self, df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(neardup.Scratch, "written", counted)
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint").repartition(8)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert neardup.components(links).where("label = 0").count() == 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files and max(files) == 1
+
+
 def test_whole_table_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]

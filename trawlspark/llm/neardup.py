@@ -14,13 +14,15 @@
    pairs of rows in different ones leave the scan. So a large group of near copies costs the pairs of
    FIRST orders, not of all.
 4. In dense regions the best-connected documents (hubs) are then compared with every row of the region
-   in another component, until a round finds no link. Like neighbours and pivots, hubs only leave less
+   in another component, until a round finds few links. Like neighbours and pivots, hubs only leave less
    to the next step.
 5. The rest of a dense region is compared whole: all pairs of its rows in different components, tile by
    tile, on sketches of SKETCH bits (one of each of as many minhashes); pairs that the sketch does not
-   rule out are confirmed on the full sets. So no pair of a region is left out, at a cost that grows
+   rule out are confirmed in the tile, on the full sets that its rows bring along. So no pair of a region
+   is left out, and only links leave a tile: pairs are never rows of a table. The work in the tiles grows
    with the square of the rows of a dense region that are linked with nothing.
-6. Components come from alternating large-star and small-star steps, cut by written tables.
+6. Components come from alternating large-star and small-star steps, cut by written tables; up to
+   FEW_LINKS links are followed in one task, without shuffles.
 
 At the similarity bound itself a pair shares no region with probability
 (1 - 0.8^DEPTH)^TREES = 6e-7, above it with less. A sketch rules it out with about 1e-7 (SIGMAS).
@@ -33,7 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlspark.llm.stage import Scratch, ship, written
@@ -47,10 +49,15 @@ FIRST = 4
 REGION = 24
 NEIGHBOURS = 3
 #: Bits of a sketch; standard deviations below its expectation at which a pair is ruled out.
-SKETCH = 4096
+SKETCH = 2048
 SIGMAS = 5.5
-#: Rows of each side of a tile, about.
+#: Rows of each side of a tile, and the sizes of their sets together, about.
 TILE = 1024
+TILE_ITEMS = 4_000_000
+#: Links that one task follows.
+FEW_LINKS = 30_000
+#: Links of a round of hubs below which no other follows.
+FEW_HUB_LINKS = 100
 #: Rows of sorted order handled at once in a task.
 CHUNK = 100_000
 _SLICE = 4096
@@ -265,7 +272,7 @@ def candidates(
     classes: DataFrame, percent: int, first: int = 0, last: int = TREES, put: Put = written
 ) -> tuple[DataFrame, DataFrame]:
     """Distinct (a, b, pivot), a < b, of classes (v, n, l, regions, deeper) with different components l in the
-    trees from first to last, and the (region, v) of dense regions; written once."""
+    trees from first to last, and the (region, v, n) of dense regions; written once."""
     some = [F.slice(c, first + 1, last - first).alias(c) for c in ("regions", "deeper")]
     trees = classes.select("v", "n", "l", *some).select("v", "n", "l", F.inline(F.arrays_zip("regions", "deeper"))).select(
         F.col("regions").alias("region"), F.col("deeper").alias("deep"), "v", "n", "l"
@@ -274,7 +281,7 @@ def candidates(
     found = put(ordered.mapInArrow(_scan(percent), _PAIRS), "forest")
     own = found.where("a is not null").select("a", "b", "pivot")
     pairs = own.unionByName(_across(found.where("region is not null and pivot is null").select("region", "v", "n", "l"), percent))
-    dense = found.where("region is not null and pivot").select("region", "v").distinct()
+    dense = found.where("region is not null and pivot").select("region", "v", "n").distinct()
     # only regions of several rows matter
     several = dense.groupBy("region").count().where("count > 1").select("region")
     return put(pairs.groupBy("a", "b").agg(F.max("pivot").alias("pivot")), "pairs"), put(
@@ -309,44 +316,58 @@ def _hub_pairs(dense: DataFrame, links: DataFrame, label: DataFrame, put: Put) -
     ends = links.select(F.explode(F.array("a", "b")).alias("v"))
     rows = dense.join(label, "v", "left").join(ends.groupBy("v").agg(F.count("*").alias("d")), "v", "left")
     rows = put(rows.select("region", "v", F.coalesce("label", "v").alias("l"), F.coalesce("d", F.lit(0)).alias("d")), "rows")
-    found = None
-    for _ in range(2):
-        best = rows.groupBy("region").agg(F.max(F.struct("d", "v", "l")).alias("hub")).select("region", F.col("hub.v").alias("h"), F.col("hub.l").alias("hl"))
-        rows = rows.join(best, "region").where("l <> hl")
-        new = rows.select(F.least("v", "h").alias("a"), F.greatest("v", "h").alias("b"))
-        rows = rows.drop("h", "hl")
-        found = new if found is None else found.unionByName(new)
-    return found.distinct()
+    best = rows.groupBy("region", "l").agg(F.max(F.struct("d", "v")).alias("hub"))
+    place = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("hub"), "l"))
+    first, second = F.col("place") == 1, F.col("place") == 2
+    hubs = best.withColumn("place", place).where("place <= 2").groupBy("region").agg(
+        F.max(F.when(first, F.col("hub.v"))).alias("h1"), F.max(F.when(first, F.col("l"))).alias("l1"),
+        F.max(F.when(second, F.col("hub.v"))).alias("h2"), F.max(F.when(second, F.col("l"))).alias("l2"),
+    ).where("h2 is not null")
+    apart = rows.join(hubs, "region").where("l <> l1").select("v", F.explode(F.array("h1", F.when(F.col("l") != F.col("l2"), F.col("h2")))).alias("h"))
+    return apart.where("h is not null").select(F.least("v", "h").alias("a"), F.greatest("v", "h").alias("b")).distinct()
 
 
 def _sketches(texts: DataFrame, width: int) -> DataFrame:
-    """(v, n, bits) of (v, text)."""
+    """(v, n, bits, items) of (v, text); items: the set's sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = [shingles(text.as_py(), width) for text in batch.column(1)]
             n = pa.array([len(x) for x in items], pa.int64())
             bits = pa.array([sketch(x) for x in items], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, bits], names=["v", "n", "bits"])
+            whole = pa.array([x.tobytes() for x in items], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, bits, whole], names=["v", "n", "bits", "items"])
 
-    return texts.select("v", "text").mapInArrow(run, "v bigint, n bigint, bits binary")
+    return texts.select("v", "text").mapInArrow(run, "v bigint, n bigint, bits binary, items binary")
+
+
+def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others, none of them empty."""
+    flat = np.concatenate(others)
+    at = own.searchsorted(flat)
+    at[at == len(own)] = 0
+    starts = np.cumsum([0, *[len(x) for x in others[:-1]]])
+    return np.add.reduceat((own[at] == flat).astype(np.int64), starts)
 
 
 def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, percent: int, put: Put) -> DataFrame:
-    """Distinct (a, b) of all pairs of rows of one dense region in different components, without those
-    that sketches rule out.
+    """The links (a, b) among all pairs of rows of one dense region in different components.
 
-    The rows of a region are dealt to blocks of about TILE rows, those of a component of TILE rows or
-    more to blocks of their own; a tile is two blocks, other than two of one large component.
+    The rows of a region are dealt to blocks of about TILE rows, and TILE_ITEMS shingles, those of a
+    component of TILE rows or more to blocks of their own; a tile is two blocks, other than two of one
+    large component.
     """
-    rows = dense.join(label, "v", "left").select("region", "v", F.coalesce("label", "v").alias("l"))
-    counts = put(rows.groupBy("region", "l").agg(F.count("*").alias("c")), "counts")
-    mixed = counts.groupBy("region").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.sum(F.when(F.col("c") < TILE, F.col("c"))).alias("few"))
-    mixed = mixed.where("lo <> hi").select("region", F.coalesce("few", F.lit(0)).alias("few"))
+    rows = dense.join(label, "v", "left").select("region", "v", "n", F.coalesce("label", "v").alias("l"))
+    counts = rows.groupBy("region", "l").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
     large = F.col("c") >= TILE
+    needed = F.greatest(F.col("c") / TILE, F.col("items") / TILE_ITEMS)
+    counts = put(counts.withColumn("blocks", needed), "counts")
+    mixed = counts.groupBy("region").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), *[F.sum(F.when(~large, F.col(x))).alias(f"few_{x}") for x in ("c", "items")])
+    few = F.greatest(F.col("few_c") / TILE, F.col("few_items") / TILE_ITEMS)
+    mixed = mixed.where("lo <> hi").select("region", F.coalesce(few, F.lit(0.0)).alias("few"))
     dealt = rows.join(counts.join(mixed, "region"), ["region", "l"]).select(
         "region", "v", "l", F.when(large, F.col("l")).otherwise(-1).alias("g"),
-        F.pmod(F.xxhash64("v"), F.ceil(F.when(large, F.col("c")).otherwise(F.col("few")) / TILE)).alias("k"),
+        F.pmod(F.xxhash64("v"), F.ceil(F.when(large, F.col("blocks")).otherwise(F.col("few")))).alias("k"),
     )
     dealt = put(dealt, "dealt")
     blocks = put(dealt.select("region", "g", "k").distinct(), "blocks")
@@ -361,11 +382,11 @@ def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, perc
     shared = dealt.groupBy("v").agg(F.collect_set("region").alias("regions"))
     bits = put(_sketches(texts.join(shared.select("v"), "v"), width).join(shared, "v"), "sketches")
     put = dealt.join(sides, ["region", "g", "k"]).select("t", "one", "side", "v", "l", "region").join(bits, "v")
-    put = put.select("t", "one", "side", "v", "l", "region", "n", "bits", "regions").repartition("t").sortWithinPartitions("t")
+    put = put.select("t", "one", "side", "v", "l", "region", "n", "bits", "regions", "items").repartition("t").sortWithinPartitions("t")
     share = (100 + percent) / 200
     limit = SKETCH * (1 - share) + SIGMAS * (SKETCH * share * (1 - share)) ** 0.5
 
-    def near(one, side, v, l, region, n, words, regions) -> pa.RecordBatch:
+    def near(one, side, v, l, region, n, words, regions, items) -> pa.RecordBatch:
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for i in range(0, len(x), 256):
@@ -377,8 +398,14 @@ def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, perc
             p, q = at[p], y[q]
             on = (np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * percent) & (~one[p] | (v[p] < v[q]))
             on[on] = [min(regions[i] & regions[j]) == r for i, j, r in zip(p[on], q[on], region[p[on]], strict=True)]
-            a.append(np.minimum(v[p[on]], v[q[on]]))
-            b.append(np.maximum(v[p[on]], v[q[on]]))
+            p, q = p[on], q[on]
+            cut = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True]) if len(p) else []
+            for start, end in zip(cut[:-1], cut[1:], strict=True):
+                i, js = p[start], q[start:end]
+                common = _shared(np.frombuffer(items[i], dtype=np.uint64), [np.frombuffer(items[j], dtype=np.uint64) for j in js])
+                js = js[100 * common >= percent * (n[i] + n[js] - common)]
+                a.append(np.minimum(v[i], v[js]))
+                b.append(np.maximum(v[i], v[js]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,6 +421,7 @@ def _rest(dense: DataFrame, texts: DataFrame, label: DataFrame, width: int, perc
             raw = b"".join(batch.column(7).to_pylist())
             columns.append(np.frombuffer(raw, dtype=np.uint64).reshape(batch.num_rows, SKETCH // 64))
             columns.append(np.fromiter(map(frozenset, batch.column(8).to_pylist()), dtype=object, count=batch.num_rows))
+            columns.append(np.fromiter(batch.column(9).to_pylist(), dtype=object, count=batch.num_rows))
             t = columns[0]
             cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
             for start, end in zip(cut[:-1], cut[1:], strict=True):
@@ -414,24 +442,32 @@ def components(links: DataFrame, put: Put = written) -> DataFrame:
     joins that AQE can split; rounds grow with the logarithm of the longest path.
     """
     edges = links.select("a", "b").where("a <> b")
+    few = edges.limit(FEW_LINKS + 1).count() <= FEW_LINKS
+
+    def held(rows: DataFrame) -> DataFrame:
+        return rows.coalesce(1) if few else rows
+
+    def least(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows
+
     with Scratch(links.sparkSession, "rounds") as rounds:
         while True:
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            both = held(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
             low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-            large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            large = both.join(least(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             edges = rounds.written(large.where("a <> b").distinct(), "large")
-            turned = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            turned = held(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
             low = turned.groupBy("a").agg(F.min("b").alias("m"))
-            near = turned.join(low, "a")
+            near = turned.join(least(low), "a")
             small = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
                 low.select("a", F.col("m").alias("b"))
             )
-            edges = rounds.written(small.where("a <> b").distinct(), "small")
+            edges = rounds.written(held(small.where("a <> b")).distinct(), "small")
             # done when all are stars: a vertex has one smaller neighbour, or is the smallest of its own
             ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
                 edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down"))
             )
-            if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
+            if held(ends).groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
                 return put(edges.select(F.col("a").alias("v"), F.col("b").alias("label")), "label")
 
 
@@ -472,11 +508,10 @@ def _classified(docs: DataFrame, width: int, percent: int, put: Put = written) -
     sets = put(_sets(docs, width), "sets")
     keys = ["k1", "k2"]
     with Scratch(docs.sparkSession, "neardup") as tables:
-        classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+        # equal sets have equal sizes and orders
+        classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "regions", "deeper")])
         classes = tables.written(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
-        members = sets.where("n > 0").join(classes, keys).where(F.col("doc_id").eqNullSafe(F.col("rep")))
-        forest = members.dropDuplicates(keys).select("v", "n", "rep", "k1", "k2", "regions", "deeper")
-        label = _linked(docs, tables.written(forest, "members"), width, percent, tables.written)
+        label = _linked(docs, classes, width, percent, tables.written)
         own = F.coalesce("label", "v")
         named = tables.written(classes.join(label, "v", "left").select("k1", "k2", "rep", own.alias("label")), "labelled")
         lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -518,13 +553,11 @@ def _linked(docs: DataFrame, forest: DataFrame, width: int, percent: int, put: P
     texts = put(every.join(dense.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"]), "texts")
     while True:
         more = put(confirm(_hub_pairs(dense, links, label, put), texts, width, percent), "hubs")
-        if more.isEmpty():
+        label = extended(label, more, put)
+        if more.count() < FEW_HUB_LINKS:
             break
         links = links.unionByName(more)
-        label = extended(label, more, put)
-    rest = put(_rest(dense, texts, label, width, percent, put), "rest")
-    more = put(confirm(rest, texts, width, percent), "hidden")
-    return label if more.isEmpty() else extended(label, more, put)
+    return extended(label, put(_rest(dense, texts, label, width, percent, put), "hidden"), put)
 
 
 def _of_class(texts: DataFrame, width: int) -> DataFrame:
