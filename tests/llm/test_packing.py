@@ -1,14 +1,17 @@
 """Packing: exact round trips, and cuts against an exhaustive search."""
 
+import gc
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trawlspark.llm import packing
-from trawlspark.llm.tokens import encoder, vocabulary_path
+from trawlspark.llm import packing, tokens
+from trawlspark.llm.tokens import Encoder, encoder, vocabulary_path
 
 PATH = vocabulary_path("byte_bpe_50k.json")
 
@@ -84,3 +87,29 @@ def test_empty_and_clashing_columns(spark):
     clash = spark.createDataFrame([(1, "a b", 3)], "doc_id bigint, text string, offset int").withColumn("length", F.lit(1))
     row = packing.pack(clash, PATH, 1).collect()
     assert [(r["doc_id"], r["start"], r["length"]) for r in row] == [(1, 0, 2), (1, 2, 1)] or row[0]["length"] == 3
+
+
+def test_cached_words_take_little_memory():
+    own = Encoder(PATH, False)
+    texts = [" ".join(f"word{i}" for i in range(k, k + 1000)) for k in range(0, 60_000, 1000)]
+    gc.collect()
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        for _ in own.encode(texts):
+            pass
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert held < 80 * 60_000
+
+
+def test_ids_do_not_depend_on_the_cache(monkeypatch):
+    """Known words, new ones, and a cache that is emptied between and within groups of texts."""
+    own = Encoder(PATH, False)
+    texts = ["one two. three", "two three, four\none", "four", "five six seven. eight nine ten", "one two. three"]
+    want = [np.array(own.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    for most in (1000, 8, 3):
+        monkeypatch.setattr(tokens, "CACHE_WORDS", most)
+        assert [next(own.encode([t])) for t in texts] == want and list(own.encode(texts)) == want
