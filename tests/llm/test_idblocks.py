@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trawlspark.llm import idblocks
+from trawlspark.llm import idblocks, tokens
 from trawlspark.llm.tokens import Encoder, vocabulary_path
 from trawlspark.session import work_folder
 
@@ -81,3 +81,34 @@ def test_words_of_letters_and_signs_need_the_model_only():
     texts = ["und Word, so. Grüße\nneu***", "", "a  b\n\n", "und so"] * 3
     want = [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+
+
+def test_plain_words_of_the_word_vocabulary_need_the_model_only(monkeypatch):
+    enc = Encoder(PATH, True)
+    letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0xC0, 0x250)) if chr(c).isalpha() and c != 0x130]
+    words = ["und", "Word", "GRÜSSE", "Ñandú***", "ab%%%", "x$", "Ĳssel-", "a(b", "12", "don't", "Σ", "&&&", "e\u0301", ""]
+    found, rest = enc._modelled([*words, *letters, *["a" + x + "B" for x in letters]])
+    assert rest == words[7:]
+    for word, ids in found.items():
+        assert np.frombuffer(ids, "<u4").tolist() == enc.library.encode(word, add_special_tokens=False).ids
+    texts = ["Und  Word, so. Grüße\n\tneu***", "", " \n", "a  b\n\n", "und so\r\n", "Z_. x", "H\u0331. \u1e96 E\u0301 ok"] * 3
+    want = [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
+    asked = []
+    monkeypatch.setattr(Encoder, "_letters", lambda self, word: asked.append(word))
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+    # known words are Arrow columns, and the library is asked for the others alone
+    assert not enc.words and len(enc.marked[0]) == len(set(enc.marked[0].to_pylist()))
+    assert asked and not any(w.isascii() and w.isalpha() for w in asked)
+
+
+@pytest.mark.parametrize("drops_space, name", [(True, "word_bpe_49k.json"), (False, "byte_bpe_50k.json")])
+def test_slices_groups_and_a_full_cache_change_no_ids(drops_space, name, monkeypatch):
+    for limit, value in (("BATCH", 40), ("GROUP", 400), ("CACHE_WORDS", 25)):
+        monkeypatch.setattr(tokens, limit, value)
+    enc = Encoder(vocabulary_path(name), drops_space)
+    rng = np.random.default_rng(1)
+    parts = ["ein", "Wort", "\xe9", "\xc9", "e\u0301", "H\u0331", " ", "  ", "\n", "\t", ". ", ", ", "'s", "***", "_", "7", "\u03a3", "\u6f22", "<|endoftext|>", "?", "\u017f"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, n))) for n in (*[40] * 300, *[600] * 20)] + ["n" * 900, None]
+    texts += ["".join(rng.choice(["\xa0", "a", " "], 30)) for _ in range(20)]
+    for text, found in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == enc.library.encode(text or "", add_special_tokens=False).ids

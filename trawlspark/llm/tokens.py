@@ -85,9 +85,10 @@ class Encoder:
     def _split(self, text: str) -> tuple[list[str] | str, bool]:
         """Parts of a text, and whether they are marked; marked ones are one string, with spaces between.
 
-        Where all stops stand behind letters or digits they are parts of their own. A byte vocabulary's
-        text whose white space is single spaces and line ends is cut at the spaces: a part then has one
-        before it, or begins with the mark U+001E (texts that hold it are encoded whole).
+        Where all stops stand behind letters or digits they are parts of their own. If white space is
+        dropped, any of it may stand between marked parts. A byte vocabulary's text whose white space is
+        single spaces and line ends is cut at the spaces: a part then has one before it, or begins with
+        the mark U+001E (texts that hold it are encoded whole).
         """
         if self.whole(text):
             return [text], False
@@ -95,7 +96,7 @@ class Encoder:
             if _stops_stand_alone(text, spaces=True):
                 for stop in _STOPS:
                     text = text.replace(stop, " " + stop)
-            return text.split(), False
+            return text, True
         uneven = not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNEVEN)
         if uneven or not _stops_stand_alone(text, spaces=False):
             return _SPACED.findall(text), False
@@ -137,7 +138,7 @@ class Encoder:
             new = words.filter(pa.array(unknown))
             at[unknown] = len(self.marked[0]) + np.arange(len(new))
             keys = new.to_pylist()
-            named = [key[1:] if key[0] == "\x1e" else " " + key for key in keys]
+            named = keys if self.drops_space else [key[1:] if key[0] == "\x1e" else " " + key for key in keys]
             found = self._encoded(list(dict.fromkeys(named)))
             ids = pa.array([found[part] for part in named], pa.binary())
             self.marked = tuple(pa.concat_arrays([old, more]) for old, more in zip(self.marked, (new, ids), strict=True))
@@ -160,6 +161,8 @@ class Encoder:
                 rest.append(part)
                 continue
             word, sign = found.groups()
+            if self.drops_space:  # this vocabulary is of small letters
+                word = word.lower()
             if word.isascii():
                 word = "\u0120" + word[1:] if word[0] == " " else word
             else:
@@ -172,9 +175,7 @@ class Encoder:
     def _encoded(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of each part. Many plain words are encoded as one text; a word's ids end, or begin, where
         the vocabulary marks it."""
-        out: dict[str, bytes] = {}
-        if not self.drops_space:
-            out, parts = self._modelled(parts)
+        out, parts = self._modelled(parts)
         letters = [p for p in parts if self._letters(p)]
         rest = [p for p in parts if not self._letters(p)]
         for start in range(0, len(letters), 4000):
@@ -242,7 +243,8 @@ class Encoder:
         """Ids of marked texts. Their words are numbered, and the ids put in their places, by Arrow."""
         if not texts:
             return []
-        words = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        column = pa.array(texts, pa.string())
+        words = pc.ascii_split_whitespace(column) if self.drops_space else pc.split_pattern(column, " ")
         coded = words.flatten().dictionary_encode()
         ids = self._marked_ids(coded.dictionary).take(coded.indices)
         _, offsets, data = ids.buffers()
@@ -254,29 +256,29 @@ class Encoder:
         """Ids of each text, in order; null is empty. Texts are encoded in groups of bounded size, and
         long ones in slices that begin with white space."""
         group, size = [], 0
-        most = BATCH if self.drops_space else GROUP
+        step, long = (GROUP, GROUP) if self.drops_space else (BATCH, 4 * BATCH)
         for text in texts:
             text = text or ""
-            if len(text) > 4 * BATCH and not self.whole(text):
+            if len(text) > long and not self.whole(text):
                 yield from self._group(group)
                 group, size = [], 0
-                yield b"".join(self._group([part])[0] for part in _slices(text))
+                yield b"".join(self._group([part])[0] for part in _slices(text, step))
                 continue
             group.append(text)
             size += len(text)
-            if size > most or len(group) >= most // 400:
+            if size > GROUP or len(group) >= GROUP // 400:
                 yield from self._group(group)
                 group, size = [], 0
         if group:
             yield from self._group(group)
 
 
-def _slices(text: str) -> Iterator[str]:
-    """Parts that end where a word ends."""
+def _slices(text: str, step: int) -> Iterator[str]:
+    """Parts of `step` characters or more that end where a word ends."""
     start = 0
     ends = re.compile(r"(?<=[^ \t\n\r\x0b\x0c])[ \t\n\r\x0b\x0c]")
     while start < len(text):
-        found = ends.search(text, start + BATCH)
+        found = ends.search(text, start + step)
         stop = found.start() if found else len(text)
         yield text[start:stop]
         start = stop
