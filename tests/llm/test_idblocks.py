@@ -103,7 +103,7 @@ def test_plain_words_of_the_word_vocabulary_need_the_model_only(monkeypatch):
 
 @pytest.mark.parametrize("drops_space, name", [(True, "word_bpe_49k.json"), (False, "byte_bpe_50k.json")])
 def test_slices_groups_and_a_full_cache_change_no_ids(drops_space, name, monkeypatch):
-    for limit, value in (("BATCH", 40), ("GROUP", 400), ("CACHE_WORDS", 25)):
+    for limit, value in (("BATCH", 40), ("GROUP", 400), ("CACHE_WORDS", 25), ("LEARNED", 7)):
         monkeypatch.setattr(tokens, limit, value)
     enc = Encoder(vocabulary_path(name), drops_space)
     rng = np.random.default_rng(1)

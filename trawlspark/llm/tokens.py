@@ -23,6 +23,8 @@ CACHE_WORDS = 1_400_000
 #: Code points of a slice of a long text, and of texts that are encoded together: as Python strings, as an Arrow column.
 BATCH = 400_000
 GROUP = 10_000_000
+#: New words that are Python objects at once, on their way to the Arrow columns.
+LEARNED = 100_000
 _SPACED = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+$")
 # Both vocabularies also split between a letter or digit and a stop.
 _STOP = re.compile(r"(?<=[^\W_])(?=[.,;:!?])")
@@ -137,11 +139,14 @@ class Encoder:
             at = at.fill_null(0).to_numpy().copy()
             new = words.filter(pa.array(unknown))
             at[unknown] = len(self.marked[0]) + np.arange(len(new))
-            keys = new.to_pylist()
-            named = keys if self.drops_space else [key[1:] if key[0] == "\x1e" else " " + key for key in keys]
-            found = self._encoded(list(dict.fromkeys(named)))
-            ids = pa.array([found[part] for part in named], pa.binary())
-            self.marked = tuple(pa.concat_arrays([old, more]) for old, more in zip(self.marked, (new, ids), strict=True))
+            columns = [self.marked]
+            for start in range(0, len(new), LEARNED):
+                some = new.slice(start, LEARNED)
+                keys = some.to_pylist()
+                named = keys if self.drops_space else [key[1:] if key[0] == "\x1e" else " " + key for key in keys]
+                found = self._encoded(list(dict.fromkeys(named)))
+                columns.append((some, pa.array([found[part] for part in named], pa.binary())))
+            self.marked = tuple(map(pa.concat_arrays, zip(*columns, strict=True)))
         return self.marked[1].take(pa.array(at))
 
     def _room(self, new: int) -> bool:
