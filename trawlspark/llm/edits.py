@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlspark.llm.stage import ship
-from trawlspark.llm.tokens import BATCH, Encoder, encoder
+from trawlspark.llm.tokens import GROUP, Encoder, encoder
 
 #: A leaf with more characters makes its tree grow leaves anew.
 LEAF = 4096
@@ -30,24 +30,36 @@ class TokenTree:
     """Counts of one text. tokens and chars are those of the present text, encoded the characters that
     edits have encoded anew."""
 
-    def __init__(self, text: str, library: Encoder):
+    def __init__(self, text: str, library: Encoder, sizes: tuple[np.ndarray, np.ndarray] | None = None):
+        """sizes: those of the text's pieces, if known."""
         self.library = library
         self.encoded = 0
-        self._build(library.pieces(text))
+        self._build(text, sizes)
 
-    def _build(self, pieces: list[str]) -> None:
-        size = 1
-        while size < max(len(pieces), 1):
+    def _build(self, text: str, sizes: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        found = sizes or next(self.library.sizes([text]))
+        n, size = len(found[0]), 1
+        while size < max(n, 1):
             size *= 2
-        self.size, self.leaves = size, pieces + [""] * (size - len(pieces))
+        # a leaf is a part of the built text, until an edit changes it
+        self.size, self.built, self.changed = size, text, {}
+        self.begin = np.full(size + 1, len(text))
+        self.begin[0] = 0
+        np.cumsum(found[0], out=self.begin[1 : n + 1])
         self.sums = np.zeros((2, 2 * size), dtype=np.int64)
-        self.sums[0, size : size + len(pieces)] = [len(p) for p in pieces]
-        self.sums[1, size : size + len(pieces)] = self.library.counts(pieces)
+        self.sums[:, size : size + n] = found
         level = size
         while level > 1:
             self.sums[:, level // 2 : level] = self.sums[:, level : 2 * level : 2] + self.sums[:, level + 1 : 2 * level : 2]
             level //= 2
 
+    def _leaves(self, first: int, stop: int) -> list[str]:
+        ends = self.begin[first : stop + 1].tolist()
+        found = [self.built[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        if self.changed:
+            found = [self.changed.get(first + k, leaf) for k, leaf in enumerate(found)]
+        return found
+
     @property
     def chars(self) -> int:
         return int(self.sums[0, 1])
@@ -58,7 +70,7 @@ class TokenTree:
 
     @property
     def text(self) -> str:
-        return "".join(self.leaves)
+        return "".join(self._leaves(0, self.size)) if self.changed else self.built
 
     def _find(self, at: int) -> tuple[int, int]:
         """Leaf that holds character `at`, and the characters before that leaf."""
@@ -76,18 +88,18 @@ class TokenTree:
         start = min(max(start, 0), self.chars)
         stop = min(start + max(length, 0), self.chars)
         if not self.chars:
-            self._build(self.library.pieces(insert))
+            self._build(insert)
             self.encoded += len(insert)
             return
         first, before = self._find(max(start - 1, 0))
         if before > 0:
             first, before = self._find(before - 1)
         last, at = self._find(min(stop, self.chars - 1))
-        after = at + len(self.leaves[last])
+        after = at + int(self.sums[0, self.size + last])
         if after < self.chars:
-            last, at = self._find(after)
-            after = at + len(self.leaves[last])
-        region = "".join(self.leaves[first : last + 1])
+            last, _ = self._find(after)
+        old = self._leaves(first, last + 1)
+        region = "".join(old)
         region = region[: start - before] + insert + region[stop - before :]
         pieces = self.library.pieces(region)
         self.encoded += len(region)
@@ -95,14 +107,15 @@ class TokenTree:
         if len(pieces) > room:
             pieces = [*pieces[: room - 1], "".join(pieces[room - 1 :])]
         if self.library.whole(region) or len(pieces[-1] if pieces else "") > LEAF:
-            self._build(self.library.pieces("".join([*self.leaves[:first], region, *self.leaves[last + 1 :]])))
+            self._build("".join([*self._leaves(0, first), region, *self._leaves(last + 1, self.size)]))
             return
-        counts = self.library.counts_of_runs(pieces)
-        for k in range(room):
-            self.leaves[first + k] = pieces[k] if k < len(pieces) else ""
-            node = self.size + first + k
-            self.sums[0, node] = len(self.leaves[first + k])
-            self.sums[1, node] = counts[k] if k < len(pieces) else 0
+        leaves = slice(self.size + first, self.size + last + 1)
+        known = dict(zip(old, self.sums[1, leaves].tolist(), strict=True))  # most leaves of the context stay
+        new = [p for p in pieces if p not in known]
+        known.update(zip(new, self.library.counts_of_runs(new), strict=True))
+        pieces += [""] * (room - len(pieces))
+        self.changed.update(enumerate(pieces, first))
+        self.sums[:, leaves] = [[len(p) for p in pieces], [known[p] if p else 0 for p in pieces]]
         low, high = (self.size + first) // 2, (self.size + last) // 2
         while low:
             span = slice(low, high + 1)
@@ -110,6 +123,19 @@ class TokenTree:
             low, high = low // 2, high // 2
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows in groups of GROUP bytes or a little more, so that enough words are counted at once."""
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.nbytes
+        if size >= GROUP:
+            yield pa.Table.from_batches(group)
+            group, size = [], 0
+    if group:
+        yield pa.Table.from_batches(group)
+
+
 _OUT = "n_edits bigint, tokens_before bigint, tokens_after bigint, chars_after bigint, encoded_chars bigint"
 
 
@@ -128,48 +154,49 @@ def edited_counts(docs: DataFrame, edits: DataFrame, tokenizer: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(tokenizer, False)
-        current, trees = None, []  # trees: [tree, rows with this text, tokens before, edits]
+        names = ["doc_id", *(c.split()[0] for c in _OUT.split(", "))]
+        current, trees, done = None, [], []  # trees: [tree, rows with this text, tokens before, edits]
+
+        def close() -> None:
+            for tree, times, before, n in trees:
+                done.extend([(current, n, before, tree.tokens, tree.chars, tree.encoded)] * times)
 
         def flush() -> pa.RecordBatch:
-            rows = [
-                (current, n, before, tree.tokens, tree.chars, tree.encoded)
-                for tree, times, before, n in trees
-                for _ in range(times)
-            ]
-            names = ["doc_id", *(c.split()[0] for c in _OUT.split(", "))]
             types = [id_type] + [pa.int64()] * 5
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+            columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)]
+            done.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for batch in batches:
+        for batch in _grouped(batches):
             id_type = batch.schema.field(0).type
             ids, is_edit, texts, start, length = (batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4))
-            done, ahead = [], 0
+            ahead, sizes = 0, iter(())
             for i in range(batch.num_rows):
                 if not is_edit[i]:
-                    if i >= ahead:  # words of the texts to come, learned together
+                    if i >= ahead:  # pieces of the texts to come, counted together
                         ahead, size = i, 0
-                        while ahead < batch.num_rows and size < BATCH:
+                        while ahead < batch.num_rows and size < GROUP:
                             size += 0 if is_edit[ahead] else len(texts[ahead] or "")
                             ahead += 1
-                        library.learn([texts[k] or "" for k in range(i, ahead) if not is_edit[k]])
+                        sizes = library.sizes([texts[k] or "" for k in range(i, ahead) if not is_edit[k]])
                     if trees and (ids[i] != current or ids[i] is None):
-                        done.append(flush())
+                        close()
                         trees = []
-                    current, text = ids[i], texts[i] or ""
+                    current, text, found = ids[i], texts[i] or "", next(sizes)
                     same = next((t for t in trees if t[0].text == text), None)
                     if same:
                         same[1] += 1
                     else:
-                        tree = TokenTree(text, library)
+                        tree = TokenTree(text, library, found)
                         trees.append([tree, 1, tree.tokens, 0])
                 elif trees and ids[i] == current:
                     for t in trees:
                         t[0].edit(start[i] or 0, length[i] or 0, texts[i] or "")
                         t[3] += 1
             if done:
-                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
-        if trees:
+                yield flush()
+        close()
+        if done:
             yield flush()
 
     def rows(df: DataFrame, is_edit: bool, *columns) -> DataFrame:

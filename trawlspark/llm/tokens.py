@@ -203,18 +203,64 @@ class Encoder:
                 out[part] = b"".join([self.bytes_of[i] for i in found.ids])
         return out
 
-    def learn(self, texts: list[str]) -> None:
-        """Put the words of the texts in the cache."""
-        missing = set().union(*map(self.pieces, texts)).difference(self.words)
+    def sizes(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Code points, and number of ids, of each of the pieces of each text, in order. Long texts are read
+        in slices that begin with white space."""
+        marked, lists, size = [], [], 0
+        # Arrow reads all known words for each group, so a few texts go without it
+        plain = self.drops_space or sum(map(len, texts)) < len(self.marked[0])
+        out: list[tuple[np.ndarray, np.ndarray]] = [_NONE] * len(texts)
+        for i, text in enumerate(texts):
+            if len(text) > 4 * BATCH and not self.whole(text):
+                parts = map(self.pieces, _slices(text, BATCH))
+                out[i] = tuple(map(np.concatenate, zip(*(_sized(p, self.counts(p)) for p in parts), strict=True)))
+                continue
+            words, is_marked = (self.pieces(text), False) if plain else self._split(text)
+            if is_marked:
+                marked.append((i, words))
+                continue
+            lists.append((i, words))
+            size += len(text)
+            if size > BATCH:
+                self._size_lists(lists, out)
+                lists, size = [], 0
+        self._size_lists(lists, out)
+        for (k, _), found in zip(marked, self._marked_sizes([words for _, words in marked]), strict=True):
+            out[k] = found
+        yield from out
+
+    def _size_lists(self, lists: list[tuple[int, list[str]]], out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        missing = {p for _, pieces in lists for p in pieces if p not in self.words}
         if missing:
             self._learn(missing)
+        for k, pieces in lists:
+            out[k] = _sized(pieces, self.counts(pieces))
+
+    def _marked_sizes(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """sizes() of a byte vocabulary's marked texts. A piece begins with a part that has a space before it,
+        or is a line end; other parts belong to the piece before."""
+        if not texts:
+            return
+        words = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = words.flatten().dictionary_encode()
+        known, at = coded.dictionary, coded.indices.to_numpy()
+        inside = pc.starts_with(known, "\x1e").to_numpy(zero_copy_only=False)
+        chars = pc.utf8_length(known).to_numpy() + np.where(inside, -1, 1)
+        ids = pc.binary_length(self._marked_ids(known)).to_numpy() >> 2
+        first = (~inside | pc.equal(known, "\x1e\n").to_numpy(zero_copy_only=False))[at]
+        offsets = words.offsets.to_numpy()
+        first[offsets[:-1]] = True
+        begin = np.flatnonzero(first)
+        chars, ids = (np.add.reduceat(column[at], begin, dtype=np.int64) for column in (chars, ids))
+        cuts = np.searchsorted(begin, offsets).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield chars[a:b], ids[a:b]
 
     def counts(self, pieces: list[str]) -> list[int]:
         """Number of ids of each of some pieces."""
-        missing = [p for p in pieces if p not in self.words]
-        if missing:
-            self._learn(set(missing))
-            self._learn({p for p in pieces if p not in self.words})
+        missing = {p for p in pieces if p not in self.words}
+        if missing and self._learn(missing):  # the cache was emptied
+            self._learn(set(pieces))
         return [len(self.words[p]) >> 2 for p in pieces]
 
     def counts_of_runs(self, runs: list[str]) -> list[int]:
@@ -278,6 +324,13 @@ class Encoder:
             yield from self._group(group)
 
 
+_NONE = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+
+
+def _sized(pieces: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([len(p) for p in pieces], dtype=np.int64), np.array(counts, dtype=np.int64)
+
+
 def _slices(text: str, step: int) -> Iterator[str]:
     """Parts of `step` characters or more that end where a word ends."""
     start = 0
